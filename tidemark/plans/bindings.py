@@ -9,6 +9,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import DATA
 from ..session import configure
@@ -54,6 +55,10 @@ class Tables:
     def raw(self, table: str) -> DataFrame:
         return self.spark.read.parquet(self.path(table))
 
+    def stream(self, table: str, schema: T.StructType) -> DataFrame:
+        # A pattern, as a plain path to a stream has to be a folder.
+        return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{{{table}}}.parquet")
+
     def events(self) -> DataFrame:
         return self.spark.read.schema(_EVENTS).parquet(self.path("events"))
 
@@ -68,7 +73,7 @@ class Tables:
             score().alias("score"),
         )
 
-    def classifications(self) -> DataFrame:
+    def classifications(self, name: Column | None = None) -> DataFrame:
         """One row per event with two attributes: its type scored by value, and a tier
         scored by the number in its props."""
         k = F.get_json_object("props", "$.k").cast("int")
@@ -84,7 +89,7 @@ class Tables:
             one(tier, k / 100.0),
         )
         return self.events().select(
-            F.lit("events").alias("classification"),
+            (F.lit("events") if name is None else name).alias("classification"),
             F.col("event_id").cast("string").alias("id"),
             F.col("user_id").cast("string").alias("article_id"),
             F.col("ts").alias("timestamp"),

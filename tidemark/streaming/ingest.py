@@ -140,7 +140,7 @@ def start_ingest(
     writer = (
         payloads.writeStream.queryName(f"ingest_{pipeline.kind}")
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(pipeline.run_batch)
+        .foreachBatch(pipeline.store.numbered(checkpoint, pipeline.run_batch))
     )
     trigger = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
     return trigger.start()

@@ -43,7 +43,7 @@ def start_uptime(
     return (
         beats.writeStream.queryName("uptime")
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(extend_on_batch(store, threshold_seconds))
+        .foreachBatch(store.numbered(checkpoint, extend_on_batch(store, threshold_seconds)))
         .trigger(availableNow=True)
         .start()
     )

@@ -6,6 +6,8 @@ overwrites its own directory, so running it again leaves the same rows as runnin
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,10 @@ from .. import schemas
 from ..operators.classify import flatten
 
 _BATCH = T.StructField("batch_id", T.LongType())
+_RUNS = schemas.struct(stream_id=T.StringType(), run=T.LongType())
+
+# Room for the batches of one checkpoint before those of the next begin.
+BATCHES_PER_RUN = 10**12
 
 
 class Store:
@@ -22,6 +28,34 @@ class Store:
         self.spark = spark
         self.root = root.rstrip("/")
 
+    def first_batch(self, stream_id: str) -> int:
+        """Where a stream's batches are numbered from. A stream numbers its own from 0; with
+        a new checkpoint it would otherwise overwrite what the old one has written."""
+        path = f"{self.root}/runs"
+        try:
+            runs = self.spark.read.schema(_RUNS).json(path).collect()
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
+            runs = []
+        for known in runs:
+            if known["stream_id"] == stream_id:
+                return known["run"] * BATCHES_PER_RUN
+        self.spark.createDataFrame([(stream_id, len(runs))], _RUNS).coalesce(1).write.mode("append").json(path)
+        return len(runs) * BATCHES_PER_RUN
+
+    def numbered(self, checkpoint: str, step: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+        """A foreachBatch step given batch ids no other checkpoint has used."""
+        first: list[int] = []
+
+        def run(batch: DataFrame, batch_id: int) -> None:
+            if not first:
+                identity = self.spark.read.json(f"{checkpoint}/metadata").first()["id"]
+                first.append(self.first_batch(identity))
+            step(batch, first[0] + batch_id)
+
+        return run
+
     # --- reading ---
 
     def _read(self, table: str, schema: T.StructType) -> DataFrame:
