@@ -31,7 +31,7 @@ def article_id(link: Column, *identity: Column) -> Column:
     retried batch gives the same id again."""
     named = F.coalesce(link, F.lit("")) != ""
     parts = [F.coalesce(c.cast("string"), F.lit("")) for c in identity]
-    return F.when(named, uuid5(link)).otherwise(uuid5(F.concat_ws("\u001f", *parts)))
+    return uuid5(F.when(named, link).otherwise(F.concat_ws("\u001f", *parts)) if identity else link)
 
 
 def content_hash(*columns: Column) -> Column:
@@ -43,15 +43,10 @@ def _masked_key(secret: Column, mask: int) -> Column:
     raw = F.encode(secret, "UTF-8")
     key = F.when(F.octet_length(raw) > 64, F.unhex(F.sha2(raw, 256))).otherwise(raw)
     digits = F.rpad(F.hex(key), 128, "0")
-    octets = F.transform(
-        F.sequence(F.lit(1), F.lit(127), F.lit(2)),
-        lambda at: F.lpad(
-            F.hex(F.conv(F.substr(digits, at, F.lit(2)), 16, 10).cast("int").bitwiseXOR(F.lit(mask))),
-            2,
-            "0",
-        ),
-    )
-    return F.unhex(F.concat_ws("", octets))
+    # Four bytes at a time: a block of 64 is sixteen words.
+    word_mask = F.lit(int.from_bytes(bytes([mask] * 4))).cast("bigint")
+    words = [F.conv(F.substring(digits, at, 8), 16, 10).cast("bigint") for at in range(1, 128, 8)]
+    return F.unhex(F.concat(*[F.lpad(F.hex(w.bitwiseXOR(word_mask)), 8, "0") for w in words]))
 
 
 def hmac_keys(secret: Column) -> tuple[Column, Column]:

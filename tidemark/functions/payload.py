@@ -1,11 +1,11 @@
 """Reading fields out of JSON payloads by dot-path.
 
-The path may be a constant or a column, so one plan serves any number of sources.
+Paths are columns, so one plan serves any number of sources.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import times
@@ -13,30 +13,40 @@ from . import times
 _END = "~end~"
 
 
-def parse_json(body: Column) -> Column:
-    """VARIANT of a text holding exactly one JSON value; NULL for anything else.
+def frame_json(body: Column) -> Column:
+    """The text read as the first item of a two-item array. The JSON reader stops after the
+    first value; framed, whatever follows that value is a syntax error."""
+    return F.try_parse_json(F.concat(F.lit("["), body, F.lit(f',"{_END}"]')))
 
-    The JSON reader stops after the first value. Reading the text as the first item of a
-    two-item array turns whatever follows that value into a syntax error.
-    """
-    framed = F.try_parse_json(F.concat(F.lit("["), body, F.lit(f',"{_END}"]')))
+
+def unframe_json(framed: Column) -> Column:
     sole = (F.try_variant_get(framed, "$[1]", "string") == _END) & F.try_variant_get(
         framed, "$[2]", "variant"
     ).isNull()
     return F.when(sole, F.try_variant_get(framed, "$[0]", "variant"))
 
 
+def with_json(df: DataFrame, body: str, name: str) -> DataFrame:
+    """Adds the VARIANT of a text column holding exactly one JSON value, else NULL."""
+    return (
+        df.withColumn("_frame", frame_json(F.col(body)))
+        .withColumn(name, unframe_json(F.col("_frame")))
+        .drop("_frame")
+    )
+
+
 def kind(value: Column) -> Column:
     """STRING, BIGINT, DECIMAL(..), DOUBLE, BOOLEAN, VOID, ARRAY<..> or OBJECT<..>."""
     return F.schema_of_variant(value)
 
 
 def is_object(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+    return F.try_variant_get(value, "$", "struct<x: variant>").isNotNull()
 
 
-def dot_path(path: str | Column) -> Column:
-    """``a.b`` as a variant path. Keys hold no dots; an empty path leads nowhere."""
+def variant_path(path: str | Column) -> Column:
+    """``a.b`` as a variant path. Keys hold no dots; an empty path leads nowhere. Make
+    columns of these where the paths are kept, one per source, not one per payload."""
     path = F.lit(path) if isinstance(path, str) else path
     steps = F.transform(
         F.split(path, r"\.", -1),
@@ -48,33 +58,38 @@ def dot_path(path: str | Column) -> Column:
     return F.when(reachable, F.concat(F.lit("$"), F.concat_ws("", steps)))
 
 
-def leaf(value: Column, path: str | Column) -> Column:
-    return F.try_variant_get(value, dot_path(path), "variant")
+def items_path(path: Column) -> Column:
+    """Like :func:`variant_path`; an empty path or ``$`` is the payload itself."""
+    return F.when(F.coalesce(path, F.lit("")).isin("", "$"), "$").otherwise(variant_path(path))
 
 
-def extract_string(value: Column, path: str | Column) -> Column:
-    """The leaf if it is a JSON string, else NULL (numbers are not turned into text)."""
-    found = leaf(value, path)
+def string_leaf(found: Column) -> Column:
+    """A JSON string as text; NULL for anything else (numbers are not turned into text)."""
     return F.when(kind(found) == "STRING", F.try_variant_get(found, "$", "string"))
 
 
-def extract_time(value: Column, path: str | Column) -> Column:
-    """The leaf as a time: RFC 3339 text, or an epoch number cut to an integer."""
-    found = leaf(value, path)
-    sort = kind(found)
-    number = F.try_variant_get(found, "$", "double")
-    in_range = F.abs(number) < 9.2e18
-    return F.when(sort == "STRING", times.rfc3339(F.try_variant_get(found, "$", "string"))).when(
-        (sort == "BIGINT") | (sort == "DOUBLE") | sort.startswith("DECIMAL"),
-        times.unix_to_time(F.when(in_range, number).cast("bigint")),
+def with_strings(df: DataFrame, value: str, paths: dict[str, Column]) -> DataFrame:
+    """Adds the string at each variant path, NULL where there is none."""
+    found = df.withColumns({f"_at_{n}": F.try_variant_get(value, p, "variant") for n, p in paths.items()})
+    return found.withColumns({n: string_leaf(F.col(f"_at_{n}")) for n in paths}).drop(
+        *[f"_at_{n}" for n in paths]
     )
 
 
-def extract_items(value: Column, path: str | Column) -> Column:
-    """``array<variant>`` at the path; an empty path or ``$`` is the value itself.
-    NULL when there is no array there."""
-    path = F.lit(path) if isinstance(path, str) else path
-    whole = F.coalesce(path, F.lit("")).isin("", "$")
-    return F.try_variant_get(
-        F.when(whole, value).otherwise(leaf(value, path)), "$", "array<variant>"
+def with_time(df: DataFrame, value: str, path: Column, name: str) -> DataFrame:
+    """Adds the time at a variant path: RFC 3339 text, or an epoch number cut to an integer;
+    NULL for anything else."""
+    number = F.try_variant_get("_time", "$", "double")
+    numeric = F.col("_kind").isin("BIGINT", "DOUBLE") | F.col("_kind").startswith("DECIMAL")
+    staged = (
+        df.withColumn("_time", F.try_variant_get(value, path, "variant"))
+        .withColumns({"_kind": kind(F.col("_time")), "_text": string_leaf(F.col("_time"))})
+        .withColumn("_number", F.when(numeric & (F.abs(number) < 9.2e18), number).cast("bigint"))
     )
+    stamp = F.coalesce(times.rfc3339(F.col("_text")), times.unix_to_time(F.col("_number")))
+    return staged.withColumn(name, stamp).drop("_time", "_kind", "_text", "_number")
+
+
+def extract_items(value: Column, path: Column) -> Column:
+    """``array<variant>`` at a variant path; NULL when there is no array there."""
+    return F.try_variant_get(value, path, "array<variant>")

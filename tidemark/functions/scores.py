@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import SCORES, SENTINEL_LABEL
@@ -40,17 +40,19 @@ def _as_number(value: Column) -> Column:
     )
 
 
-def _label_scores(fields: Column) -> Column:
-    """map<string,variant> to scores; NULL when empty or when any value is no number."""
-    pairs = F.transform(
+def _pairs(fields: Column) -> Column:
+    """map<string,variant> to label/score pairs; the score of what is no number is NULL."""
+    return F.transform(
         F.map_entries(fields),
         lambda e: F.struct(e["key"].alias("label"), _as_number(e["value"]).alias("score")),
-    )
-    return F.when(
-        (F.size(pairs) > 0) & ~F.exists(pairs, lambda p: p["score"].isNull()), pairs
     ).cast(SCORES)
 
 
+def _whole(pairs: Column) -> Column:
+    """The pairs if there are any and all have a score, else NULL."""
+    return F.when((F.size(pairs) > 0) & ~F.exists(pairs, lambda p: p["score"].isNull()), pairs)
+
+
 def strip_fences(raw: Column) -> Column:
     """Model reply without the code fence some models wrap it in."""
     bare = F.regexp_replace(raw, rf"\A{SPACE}+|{SPACE}+\z", "")
@@ -60,28 +62,31 @@ def strip_fences(raw: Column) -> Column:
     return F.regexp_replace(bare, rf"\A{SPACE}+|{SPACE}+\z", "")
 
 
-def parse_label_scores(raw: Column) -> Column:
-    """struct(scores, error). Accepts ``{label: number}``, the same under one outer key,
-    and numbers written as text. Blank text gives no scores and no error."""
-    blank = F.coalesce(raw, F.lit("")).rlike(rf"\A{SPACE}*+\z")
-    value = payload.parse_json(strip_fences(raw))
-    fields = F.try_variant_get(value, "$", "map<string,variant>")
-    flat = _label_scores(fields)
-    inner = F.when(
-        F.size(fields) == 1,
-        _label_scores(
-            F.try_variant_get(F.element_at(F.map_values(fields), 1), "$", "map<string,variant>")
-        ),
+def with_label_scores(df: DataFrame, raw: str) -> DataFrame:
+    """Adds ``scores`` and ``error`` read from a column of model replies. Accepts
+    ``{label: number}``, the same under one outer key, and numbers written as text. Blank
+    text gives no scores and no error.
+
+    Each step is a projection of its own, so nothing is parsed twice.
+    """
+    blank = F.coalesce(F.col(raw), F.lit("")).rlike(rf"\A{SPACE}*+\z")
+    as_map = "map<string,variant>"
+    sole = F.when(F.size("_fields") == 1, F.element_at(F.map_values("_fields"), 1))
+    staged = (
+        df.withColumn("_frame", payload.frame_json(strip_fences(F.col(raw))))
+        .withColumn("_fields", F.try_variant_get(payload.unframe_json(F.col("_frame")), "$", as_map))
+        .withColumn("_flat", _pairs(F.col("_fields")))
+        .withColumn("_inner", _pairs(F.try_variant_get(sole, "$", as_map)))
+        .withColumn("_found", F.coalesce(_whole(F.col("_flat")), _whole(F.col("_inner"))))
     )
-    found = F.coalesce(flat, inner)
-    return F.struct(
-        F.when(blank, no_scores()).otherwise(found).alias("scores"),
-        F.when(blank, F.lit(None))
-        .when(fields.isNull(), "invalid json")
-        .when(found.isNull(), "no label/score map found in response")
-        .cast("string")
-        .alias("error"),
+    error = (
+        F.when(blank, F.lit(None).cast("string"))
+        .when(F.col("_fields").isNull(), "invalid json")
+        .when(F.col("_found").isNull(), "no label/score map found in response")
     )
+    return staged.withColumns(
+        {"scores": F.when(blank, no_scores()).otherwise(F.col("_found")), "error": error}
+    ).drop("_frame", "_fields", "_flat", "_inner", "_found")
 
 
 def top_scores(scores: Column, cutoff: Column | float, top_n: Column | int) -> Column:

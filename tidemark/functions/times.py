@@ -18,8 +18,8 @@ FEED_DATE_FORMATS = (
     "d MMM yyyy HH:mm z",
 )
 
-# Seconds beyond these leave the years 1 to 9999.
-_MIN_SECOND, _MAX_SECOND = -62_135_596_800, 253_402_300_799
+# Seconds beyond this do not fit a timestamp, either way.
+_LAST_SECOND = 9_223_372_036_854
 
 
 def timestamp_literal(value: str | dt.datetime) -> Column:
@@ -39,10 +39,10 @@ def epoch_micros(value: dt.datetime) -> int:
 
 def unix_to_time(n: Column) -> Column:
     """Epoch number to timestamp, its unit read off its size: above 1e15 micros, above
-    1e12 millis, else seconds. Values outside year 1 to 9999 give NULL, not a failed job."""
+    1e12 millis, else seconds. Values no timestamp can hold give NULL, not a failed job."""
     n = n.cast("bigint")
     seconds = F.when(n > 10**15, F.floor(n / 10**6)).when(n > 10**12, F.floor(n / 1000)).otherwise(n)
-    within = seconds.between(_MIN_SECOND, _MAX_SECOND)
+    within = seconds.between(-_LAST_SECOND, _LAST_SECOND)
     return F.when(
         within,
         F.when(n > 10**15, F.timestamp_micros(n))

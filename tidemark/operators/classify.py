@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ids import uuid5
-from ..functions.scores import parse_label_scores, top_scores
-from ..specs import Attribute, InferenceSpec
+from ..functions.scores import top_scores, with_label_scores
+from ..specs import InferenceSpec
 from ..schemas import DATA, SCORES, struct
-from .points import lookup_frame
+from .lookup import lookup_frame
 
 # --- scorers ---------------------------------------------------------------
 
@@ -45,7 +45,7 @@ class LexicalScorer:
     """Counts how often the words of a label occur in the text.
 
     With h hits, a label on its own scores h / (1 + h); among others it scores its share
-    of 1 + h. Deterministic, and equal to :func:`lexical_scores`.
+    of 1 + h. Deterministic, and equal to :func:`with_lexical_scores`.
     """
 
     def score(self, texts, labels, template, multi_label):
@@ -59,25 +59,37 @@ class LexicalScorer:
 
 
 def _occurrences(low: Column, word: str) -> Column:
-    removed = F.char_length(low) - F.char_length(F.replace(low, F.lit(word), F.lit("")))
-    return removed.cast("double") / float(len(word))
+    removed = F.octet_length(low) - F.octet_length(F.replace(low, F.lit(word), F.lit("")))
+    return removed.cast("double") / float(len(word.encode()))
 
 
-def lexical_scores(text: Column, attr: Attribute) -> Column:
-    """The lexical scorer as a column: no Python in the plan."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    hits = F.array(
-        *[sum((_occurrences(low, w) for w in keywords(x.name)), F.lit(0.0)) for x in attr.labels]
+def with_lexical_scores(articles: DataFrame, spec: InferenceSpec) -> DataFrame:
+    """Articles with one ``_scores_<n>_<m>`` column per attribute, the lexical scorer as
+    columns: no Python in the plan. Lower-casing and counting are steps of their own, as an
+    expression used many times over would be worked out as often."""
+    words = sorted(
+        {w for attrs in spec.classifications.values() for a in attrs for x in a.labels for w in keywords(x.name)}
     )
-    if attr.top_n > 1:
-        values = F.transform(hits, lambda h: h / (h + 1.0))
-    else:
-        shares = F.transform(hits, lambda h: h + 1.0)
-        values = F.transform(
-            shares, lambda h: h / F.aggregate(shares, F.lit(0.0), lambda total, x: total + x)
-        )
-    names = F.array(*[F.lit(x.name) for x in attr.labels])
-    return F.arrays_zip(names.alias("label"), values.alias("score")).cast(SCORES)
+    hits_of = {w: f"_hits_{i}" for i, w in enumerate(words)}
+    counted = articles.withColumn("_low", F.lower(F.coalesce("content", F.lit("")))).withColumns(
+        {name: _occurrences(F.col("_low"), w) for w, name in hits_of.items()}
+    )
+
+    def hits(label: str) -> Column:
+        return sum((F.col(hits_of[w]) for w in keywords(label)), F.lit(0.0))
+
+    columns = {}
+    for n, attrs in enumerate(spec.classifications.values()):
+        for k, a in enumerate(attrs):
+            if a.top_n > 1:
+                values = [hits(x.name) / (hits(x.name) + 1.0) for x in a.labels]
+            else:
+                total = sum((hits(x.name) + 1.0 for x in a.labels), F.lit(0.0))
+                values = [(hits(x.name) + 1.0) / total for x in a.labels]
+            columns[f"_scores_{n}_{k}"] = F.array(
+                *[F.struct(F.lit(x.name).alias("label"), v.alias("score")) for x, v in zip(a.labels, values)]
+            ).cast(SCORES)
+    return counted.withColumns(columns).drop("_low", *hits_of.values())
 
 
 # --- classification rows ---------------------------------------------------
@@ -119,19 +131,19 @@ def classify(articles: DataFrame, spec: InferenceSpec, wanted: Wanted | None = N
     ``wanted`` (source_id -> classification names) needs a source_id column.
     """
     groups = []
-    for name, attrs in spec.classifications.items():
+    for n, (name, attrs) in enumerate(spec.classifications.items()):
         pairs = [
             F.struct(
                 F.lit(a.name).alias("key"),
-                top_scores(lexical_scores(F.col("content"), a), a.cutoff, a.top_n).alias("value"),
+                top_scores(F.col(f"_scores_{n}_{k}"), a.cutoff, a.top_n).alias("value"),
             )
-            for a in attrs
+            for k, a in enumerate(attrs)
         ]
         group = F.struct(
             F.lit(name).alias("classification"), F.map_from_entries(F.array(*pairs)).alias("data")
         )
         groups.append(F.when(_asked_for(name, wanted), group))
-    rows = articles.select(
+    rows = with_lexical_scores(articles, spec).select(
         F.col("id").alias("article_id"), "timestamp", F.explode(F.array_compact(F.array(*groups))).alias("g")
     ).select("article_id", "timestamp", "g.classification", "g.data")
     return _finish(rows, spec)
@@ -276,16 +288,13 @@ def classify_replies(replies: DataFrame, articles: DataFrame, spec: InferenceSpe
         *[x for n, attrs in spec.classifications.items() for x in (F.lit(n), F.lit(len(attrs)))]
     )
     single = replies.groupBy("article_id", "classification", "attribute").agg(F.max("raw").alias("raw"))
-    parsed = (
-        single.join(limits, ["classification", "attribute"])
-        .withColumn("parsed", parse_label_scores(F.col("raw")))
-        .select(
-            "article_id",
-            "classification",
-            "attribute",
-            "parsed.error",
-            top_scores(F.col("parsed.scores"), F.col("cutoff"), F.col("top_n")).alias("scores"),
-        )
+    parsed = single.join(limits, ["classification", "attribute"])
+    parsed = with_label_scores(parsed, "raw").select(
+        "article_id",
+        "classification",
+        "attribute",
+        "error",
+        top_scores(F.col("scores"), F.col("cutoff"), F.col("top_n")).alias("scores"),
     )
     grouped = parsed.groupBy("article_id", "classification").agg(
         F.map_from_entries(F.collect_list(F.struct("attribute", "scores"))).alias("data"),

@@ -3,22 +3,13 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lookup import lookup_frame
 from .metrics import metrics_scan
 from .predicates import Bound, all_of, within
 
-# Above this many rows a driver-made lookup is joined without a broadcast hint.
-BROADCAST_ROWS = 50_000
-
-
-def lookup_frame(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> DataFrame:
-    """A driver-made lookup table, broadcast while its known size allows it."""
-    frame = spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema))
-    return F.broadcast(frame) if len(rows) <= BROADCAST_ROWS else frame
-
-
 def linked_metrics(
     metrics: DataFrame,
     articles: DataFrame,

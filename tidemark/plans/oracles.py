@@ -292,9 +292,9 @@ SQL["hmac_hex"] = f"""WITH s AS (
   q AS (SELECT event_id, props, {_MASKED.format(mask=0x36)} AS inner_key, {_MASKED.format(mask=0x5C)} AS outer_key FROM p)
   SELECT event_id, sha256(unhex(outer_key) || unhex(sha256(unhex(inner_key) || encode(props)))) AS signature FROM q"""
 
-SQL["unix_time"] = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN ts
-    WHEN 1 THEN date_trunc('millisecond', ts) WHEN 2 THEN date_trunc('second', ts)
-    WHEN 3 THEN NULL ELSE TIMESTAMP '1970-01-01' + to_milliseconds(1000000000000000) END AS stamp
+SQL["unix_time"] = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN epoch_us(ts)
+    WHEN 1 THEN epoch_us(ts) // 1000 * 1000 WHEN 2 THEN epoch_us(ts) // 1000000 * 1000000
+    WHEN 3 THEN 1000000000000 * 1000000 ELSE 1000000000000000 * 1000 END AS micros
   FROM events"""
 
 SQL["rfc3339_time"] = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN date_trunc('second', ts)
@@ -462,8 +462,8 @@ SQL["classify_replies"] = f"""WITH {M}, s AS (
                row_number() OVER (PARTITION BY event_id, category ORDER BY score DESC, label) AS rank
         FROM s, q WHERE score >= cutoff),
   o AS (SELECT event_id, category, label, score FROM r WHERE rank <= top_n
-        UNION ALL SELECT event_id, category, 'n/i', 0.0 FROM m, q
-        WHERE event_id % 7 IN (0, 1, 2, 3, 5) AND (event_id, category) NOT IN (SELECT (event_id, category) FROM r))
+        UNION ALL SELECT m.event_id, q.category, 'n/i', 0.0 FROM m, q
+        WHERE m.event_id % 7 IN (0, 1, 2, 3, 5) AND (m.event_id, q.category) NOT IN (SELECT (event_id, category) FROM r))
   SELECT CAST(o.event_id AS VARCHAR) AS article_id, date_trunc('second', m.timestamp) AS timestamp,
          NULL::VARCHAR AS error, o.category, o.label, o.score
   FROM o JOIN m ON m.event_id = o.event_id

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import ids, payload, scores, text, times
-from ..functions.scores import cut_data, parse_label_scores, top_scores
+from ..functions import ids, scores, text, times
+from ..functions.scores import cut_data, top_scores
 from ..operators import classify as c
 from ..operators import filters as f
 from ..operators import merge, metrics as m, points, rates, uptime
@@ -395,7 +395,7 @@ def unix_time(t):
         (F.col("event_id") % 5 + 1).cast("int"),
     )
     return t.events().select(
-        "event_id", times.unix_to_time(number).cast("timestamp_ntz").alias("stamp")
+        "event_id", F.unix_micros(times.unix_to_time(number)).alias("micros")
     )
 
 
@@ -513,7 +513,11 @@ def _json_item(t) -> Column:
         F.lit("null"),
         F.date_format("ts", "'\"'yyyy-MM-dd'T'HH:mm:ss'+02:00\"'"),
     ]
-    stamp = F.element_at(F.array(*forms), (F.col("event_id") % 8 + 1).cast("int"))
+    stamp = reduce(
+        lambda chain, n: chain.when(F.col("event_id") % 8 == n, forms[n]),
+        range(1, 8),
+        F.when(F.col("event_id") % 8 == 0, forms[0]),
+    )
     title = F.when(F.col("event_id") % 3 == 0, F.lit("5")).otherwise(
         F.concat(F.lit('"'), "event_type", F.lit('"'))
     )
@@ -576,12 +580,15 @@ def _deliveries(t) -> DataFrame:
         .otherwise(item)
     )
     path = F.when(n % 11 == 0, F.lit("/nowhere")).otherwise(F.concat(F.lit("/"), "event_type"))
-    keys = ids.hmac_keys(F.concat(F.lit("key-"), "event_type"))
-    events = t.events().withColumn("body", body)
+    inner, outer = ids.hmac_keys(F.concat(F.lit("key-"), "event_type"))
+    keys = t.events().select("event_type").distinct().withColumns({"inner": inner, "outer": outer})
+    events = t.events().withColumn("body", body).join(keys, "event_type")
     header = F.when(n % 4 == 1, F.create_map(F.lit("Other"), F.lit("x"))).otherwise(
         F.create_map(
             F.lit("x-signature"),
-            F.when(n % 4 == 2, F.lit("00")).otherwise(ids.hmac_sha256(*keys, F.col("body"))),
+            F.when(n % 4 == 2, F.lit("00")).otherwise(
+                ids.hmac_sha256(F.col("inner"), F.col("outer"), F.col("body"))
+            ),
         )
     )
     return events.select(
@@ -833,8 +840,9 @@ def _raw_reply() -> Column:
 
 @query
 def label_score_parse(t):
-    parsed = t.events().select("event_id", parse_label_scores(_raw_reply()).alias("p"))
-    return parsed.select("event_id", F.explode_outer("p.scores").alias("s"), "p.error").select(
+    replies = t.events().select("event_id", _raw_reply().alias("raw"))
+    parsed = scores.with_label_scores(replies, "raw")
+    return parsed.select("event_id", F.explode_outer("scores").alias("s"), "error").select(
         "event_id", "s.label", "s.score", "error"
     )
 

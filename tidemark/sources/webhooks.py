@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import hmac_keys, hmac_sha256
-from ..functions.payload import extract_string, is_object, parse_json
-from .json_api import article_columns
+from ..functions.payload import is_object, with_json, with_strings
+from .json_api import extract_paths, read_articles
 
 DEFAULT_SIGNATURE_HEADER = "X-Signature"
 
@@ -33,7 +33,7 @@ def routes(sources: DataFrame, path: Column | None = None) -> DataFrame:
     return sources.filter("active AND type = 'webhook'").select(
         normal_path(own).alias("route"),
         F.col("id").alias("source_id"),
-        "extract",
+        extract_paths(sources).alias("paths"),
         signed.alias("signed"),
         F.when(signed, F.lower(header)).alias("signature_header"),
         F.when(signed, inner).alias("inner_key"),
@@ -55,9 +55,8 @@ def judge_deliveries(events: DataFrame, routing: DataFrame) -> DataFrame:
     )
     given = F.coalesce(header_value(F.col("headers"), F.col("signature_header")), F.lit(""))
     valid = given == hmac_sha256(F.col("inner_key"), F.col("outer_key"), F.col("body"))
-    read = routed.withColumn("value", parse_json(F.col("body"))).withColumn(
-        "content", extract_string(F.col("value"), F.col("extract.content"))
-    )
+    parsed = with_json(routed, "body", "value")
+    read = with_strings(parsed, "value", {"content": F.col("paths.content")})
     status = (
         F.when(F.col("source_id").isNull(), 404)
         .when(F.col("signed") & (given == ""), 401)
@@ -69,12 +68,18 @@ def judge_deliveries(events: DataFrame, routing: DataFrame) -> DataFrame:
     return read.withColumn("status", status).drop("content", "inner_key", "outer_key")
 
 
+def _with_status(judged: DataFrame, wanted: Column) -> DataFrame:
+    # A filter on the status itself would be pushed below the step that works it out, and
+    # every signature be checked twice; one on a generated column stays where it is.
+    kept = F.explode_outer(F.array(F.when(wanted, F.col("status")))).alias("status")
+    return judged.select(*[c for c in judged.columns if c != "status"], kept).filter("status IS NOT NULL")
+
+
 def delivery_articles(judged: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Articles of the accepted deliveries."""
-    return judged.filter("status = 202").select(
-        *article_columns(F.col("value"), F.col("extract"), "webhook", as_of)
-    )
+    accepted = _with_status(judged, F.col("status") == 202).select("source_id", "value", "paths")
+    return read_articles(accepted, "webhook", as_of)
 
 
 def rejected(judged: DataFrame) -> DataFrame:
-    return judged.filter("status <> 202").select("path", "source_id", "body", "status")
+    return _with_status(judged, F.col("status") != 202).select("path", "source_id", "body", "status")

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schemas
 from ..operators.classify import LexicalScorer, Scorer, Wanted, classify, classify_with, dead_letters, split_failures
 from ..operators.filters import Filter, apply_filters
+from ..operators.lookup import bounded
 from ..operators.merge import new_articles
 from ..operators.rates import sources_scan, unprocessed
 from ..sources import feeds, json_api, webhooks
@@ -29,18 +30,19 @@ def _rss(payloads: DataFrame, sources: DataFrame, as_of: dt.datetime) -> DataFra
         F.coalesce(F.get_json_object("spec", "$.limit").try_cast("int"), F.lit(0)).alias("limit"),
         F.col("spec").isNotNull().alias("has_spec"),
     )
-    items = feeds.limit_items(feeds.feed_items(payloads), options)
+    options = bounded(options)
+    items = feeds.limit_items(feeds.feed_items(payloads), options.select("source_id", "limit"))
     # A spec that names no target asks for nothing; only a missing spec means description.
     target = F.when(F.col("has_spec"), F.coalesce("target", F.lit("")))
     return feeds.feed_articles(items.join(options.drop("limit"), "source_id", "left"), as_of, target)
 
 
 def _http(payloads: DataFrame, sources: DataFrame, as_of: dt.datetime) -> DataFrame:
-    return json_api.response_articles(json_api.with_extract(payloads, sources), as_of)
+    return json_api.response_articles(json_api.with_extract(payloads, bounded(sources)), as_of)
 
 
 def _webhook(payloads: DataFrame, sources: DataFrame, as_of: dt.datetime) -> DataFrame:
-    judged = webhooks.judge_deliveries(payloads, webhooks.routes(sources))
+    judged = webhooks.judge_deliveries(payloads, bounded(webhooks.routes(sources)))
     return webhooks.delivery_articles(judged, as_of)
 
 
@@ -48,12 +50,17 @@ def _webhook(payloads: DataFrame, sources: DataFrame, as_of: dt.datetime) -> Dat
 DRIVERS: dict[str, Driver] = {"rss": _rss, "http": _http, "webhook": _webhook}
 
 
-def attach_source(articles: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(articles with their source's url, articles whose source is not active)."""
+def with_source_url(articles: DataFrame, sources: DataFrame) -> DataFrame:
+    """Articles with the url of their source, NULL where no active source has that id."""
     active = sources_scan(sources, active_only=True).select(
         F.col("id").alias("source_id"), F.col("url").alias("source_url")
     )
-    joined = articles.join(active, "source_id", "left")
+    return articles.join(bounded(active), "source_id", "left")
+
+
+def attach_source(articles: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(articles with their source's url, articles whose source is not active)."""
+    joined = with_source_url(articles, sources)
     return joined.filter("source_url IS NOT NULL"), joined.filter("source_url IS NULL").drop("source_url")
 
 
@@ -71,19 +78,31 @@ class Pipeline:
     attempt_cap: int = 5
     as_of: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.timezone.utc)
 
-    def articles(self, payloads: DataFrame, as_of: dt.datetime) -> DataFrame:
-        """Storable articles of a batch of payloads, their source's filters applied."""
-        read = DRIVERS[self.kind](payloads, sources_scan(self.sources, self.kind), as_of)
-        known, _ = attach_source(read, self.sources)
-        kept = apply_filters(known, self.filters).drop("source_url")
-        return schemas.split_valid(kept, schemas.article_problem())[0]
+    def read(self, payloads: DataFrame, as_of: dt.datetime) -> DataFrame:
+        """Articles of a batch of payloads with ``source_url`` and ``error``, why a row may
+        not be stored."""
+        found = DRIVERS[self.kind](payloads, sources_scan(self.sources, self.kind), as_of)
+        problem = F.when(F.col("source_url").isNull(), "no active source").otherwise(schemas.article_problem())
+        return with_source_url(found, self.sources).withColumn("error", problem)
 
     def insert(self, payloads: DataFrame, batch_id: int) -> None:
-        """Store the articles no earlier batch has stored. A first try of this same batch
-        does not count as earlier."""
+        """Store the articles that pass their source's filters and that no earlier batch has
+        stored. A first try of this same batch does not count as earlier.
+
+        Parsed rows go to a table of their own first. It is read twice, filters reach its
+        scan instead of repeating the parsing below it, rows set aside stay there with their
+        error, and a lost executor costs a re-read.
+        """
+        read = self.store.stage("incoming", self.read(payloads, self.as_of()), batch_id)
+        storable = read.filter("error IS NULL").drop("error")
+        kept = apply_filters(storable, self.filters).drop("source_url")
         earlier = self.store.articles().filter(F.col("batch_id") != batch_id)
-        batch = self.articles(payloads, self.as_of())
-        self.store.write_articles(new_articles(batch, earlier), batch_id)
+        self.store.write_articles(new_articles(kept, earlier), batch_id)
+
+    def quarantined(self, batch_id: int) -> DataFrame:
+        """Rows of a batch that were set aside."""
+        path = f"{self.store.root}/incoming/batch_id={batch_id}"
+        return self.store.spark.read.parquet(path).filter("error IS NOT NULL")
 
     def classify(self, articles: DataFrame, batch_id: int) -> None:
         """Score articles, store rows and metrics, mark them processed, log the failures."""
@@ -91,9 +110,7 @@ class Pipeline:
             self.store.write_classified(classify(articles, self.spec, self.wanted), batch_id)
             return
         tried = classify_with(articles, self.spec, self.make_scorer, self.wanted)
-        path = f"{self.store.root}/scored/batch_id={batch_id}"
-        tried.write.mode("overwrite").parquet(path)
-        done = split_failures(self.store.spark.read.schema(tried.schema).parquet(path))
+        done = split_failures(self.store.stage("scored", tried, batch_id))
         self.store.write_failures(done.failures, batch_id)
         # An article is done when no classification of it failed.
         whole = done.rows.join(done.failures.select("article_id"), "article_id", "left_anti")

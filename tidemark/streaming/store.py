@@ -101,6 +101,12 @@ class Store:
         writer = rows.write.mode("overwrite")
         (writer.partitionBy(*by) if by else writer).parquet(f"{self.root}/{table}/batch_id={batch_id}")
 
+    def stage(self, table: str, rows: DataFrame, batch_id: int) -> DataFrame:
+        """Rows written to a table of their own and read back: a step done once."""
+        path = f"{self.root}/{table}/batch_id={batch_id}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def write_articles(self, articles: DataFrame, batch_id: int) -> None:
         self._write(articles, "articles", schemas.ARTICLES, batch_id, [], [])
 
