@@ -580,14 +580,22 @@ def _deliveries(t) -> DataFrame:
         .otherwise(item)
     )
     path = F.when(n % 11 == 0, F.lit("/nowhere")).otherwise(F.concat(F.lit("/"), "event_type"))
-    inner, outer = ids.hmac_keys(F.concat(F.lit("key-"), "event_type"))
-    keys = t.events().select("event_type").distinct().withColumns({"inner": inner, "outer": outer})
-    events = t.events().withColumn("body", body).join(keys, "event_type")
+    # Keys of the usual types are constants; those of any other type are worked out per row.
+    kind, usual = F.col("event_type"), ("view", "click", "purchase", "signup", "error")
+    keys = [
+        reduce(
+            lambda chain, x: F.when(kind == x, ids.hmac_keys(F.lit(f"key-{x}"))[side]).otherwise(chain),
+            usual,
+            ids.hmac_keys(F.concat(F.lit("key-"), kind))[side],
+        )
+        for side in (0, 1)
+    ]
+    events = t.events().withColumn("body", body)
     header = F.when(n % 4 == 1, F.create_map(F.lit("Other"), F.lit("x"))).otherwise(
         F.create_map(
             F.lit("x-signature"),
             F.when(n % 4 == 2, F.lit("00")).otherwise(
-                ids.hmac_sha256(F.col("inner"), F.col("outer"), F.col("body"))
+                ids.hmac_sha256(*keys, F.col("body"))
             ),
         )
     )
