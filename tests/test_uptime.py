@@ -68,6 +68,17 @@ def test_extending_in_parts_equals_one_pass(spark, seed):
     assert rows(u.extend_uptime(grown, later, 60)) == rows(whole)
 
 
+@pytest.mark.parametrize("seed", [7, 8])
+def test_beats_may_come_in_any_order(spark, seed):
+    beats = random_beats(seed, 240, 20_000)
+    rng = random.Random(seed)
+    rng.shuffle(beats)
+    table = u.uptime_intervals(frame(spark, beats[:80]), 60)
+    for part in (beats[80:160], beats[160:], beats[:50]):
+        table = spark.createDataFrame(u.extend_uptime(table, frame(spark, part), 60).collect(), table.schema)
+    assert rows(table) == model(beats, 60)
+
+
 def test_threshold_must_be_positive(spark):
     with pytest.raises(ValueError):
         u.uptime_intervals(frame(spark, [("a", DAY)]), 0)

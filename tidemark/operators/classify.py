@@ -13,11 +13,11 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.ids import uuid5
 from ..functions.scores import top_scores, with_label_scores
@@ -176,7 +176,9 @@ _SCORED = struct(
 
 def _score_batches(
     make_scorer: Callable[[], Scorer], spec: InferenceSpec
-) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    schema = to_arrow_schema(_SCORED)
+
     def score(scorer: Scorer, texts: list[str], attrs) -> list[list[dict]]:
         per_attr = []
         for a in attrs:
@@ -192,31 +194,43 @@ def _score_batches(
             )
         return [list(row) for row in zip(*per_attr)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score_each(scorer: Scorer, texts: list[str], attrs) -> tuple[list, list]:
+        scored, errors = [], []
+        for text in texts:
+            try:
+                scored += score(scorer, [text], attrs)
+                errors.append(None)
+            except Exception as problem:  # noqa: BLE001 - whatever a scorer raises is its result
+                scored.append(None)
+                errors.append(f"{type(problem).__name__}: {problem}")
+        return scored, errors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = make_scorer()
         for batch in batches:
+            wanted = batch.column("asked").to_pylist()
             for name, attrs in spec.classifications.items():
-                asked = batch[[name in names for names in batch["asked"]]]
-                texts = asked["content"].tolist()
-                errors: list[str | None] = [None] * len(texts)
+                asked = batch.filter(pa.array([name in names for names in wanted], pa.bool_()))
+                if not asked.num_rows:
+                    continue
+                texts = asked.column("content").to_pylist()
                 try:
-                    scored = score(scorer, texts, attrs)
+                    scored, errors = score(scorer, texts, attrs), [None] * len(texts)
                 except Exception:  # noqa: BLE001 - one bad text must not take its batch along
-                    scored = []
-                    for i, text in enumerate(texts):
-                        try:
-                            scored += score(scorer, [text], attrs)
-                        except Exception as problem:  # noqa: BLE001
-                            scored.append(None)
-                            errors[i] = f"{type(problem).__name__}: {problem}"
-                yield pd.DataFrame(
-                    {
-                        "article_id": asked["id"],
-                        "timestamp": asked["timestamp"],
-                        "classification": name,
-                        "scored": scored,
-                        "error": errors,
-                    }
+                    scored, errors = score_each(scorer, texts, attrs)
+                columns = {
+                    "article_id": asked.column("id"),
+                    "timestamp": asked.column("timestamp"),
+                    "classification": [name] * len(texts),
+                    "scored": scored,
+                    "error": errors,
+                }
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        c if isinstance(c, pa.Array) else pa.array(c, schema.field(k).type)
+                        for k, c in columns.items()
+                    ],
+                    schema=schema,
                 )
 
     return run
@@ -235,7 +249,7 @@ def classify_with(
     )
     scored = articles.select(
         "id", F.coalesce("content", F.lit("")).alias("content"), "timestamp", asked.alias("asked")
-    ).mapInPandas(_score_batches(make_scorer, spec), _SCORED)
+    ).mapInArrow(_score_batches(make_scorer, spec), _SCORED)
     entries = F.transform(
         "scored",
         lambda a: F.struct(

@@ -24,8 +24,9 @@ def _check(threshold_seconds: int) -> int:
 
 
 def _fold(beats: DataFrame, gap: int) -> DataFrame:
-    """(service, start, recent) in micros from (service, start, at): beats at most ``gap``
-    apart share an interval; ``start`` is what the interval begins at if the beat opens it.
+    """(service, start, recent) in micros from (service, start, at, until): beats whose
+    ``at`` is at most ``gap`` apart share an interval, from the least ``start`` to the
+    greatest ``until`` among them.
 
     No task ever holds all beats of a service. Beats in one grid cell as long as the gap
     always belong together, so they shrink to one row per cell before the first shuffle.
@@ -36,7 +37,12 @@ def _fold(beats: DataFrame, gap: int) -> DataFrame:
     span = max(gap, _CHUNK_SECONDS * 1_000_000) // gap
     cells = (
         beats.groupBy("service", cell.alias("cell"))
-        .agg(F.min("start").alias("start"), F.min("at").alias("first"), F.max("at").alias("last"))
+        .agg(
+            F.min("start").alias("start"),
+            F.max("until").alias("until"),
+            F.min("at").alias("first"),
+            F.max("at").alias("last"),
+        )
         .withColumn("chunk", F.expr(f"(cell - pmod(cell, {span}L)) div {span}L"))
     )
     in_chunk = Window.partitionBy("service", "chunk").orderBy("cell")
@@ -65,7 +71,7 @@ def _fold(beats: DataFrame, gap: int) -> DataFrame:
     return (
         chained.join(chunks, ["service", "chunk"])
         .groupBy("service", (F.col("base") + F.col("step")).alias("number"))
-        .agg(F.min("start").alias("start"), F.max("last").alias("recent"))
+        .agg(F.min("start").alias("start"), F.max("until").alias("recent"))
         .select("service", "start", "recent")
     )
 
@@ -79,33 +85,43 @@ def _intervals(folded: DataFrame) -> DataFrame:
     )
 
 
+def _points(beats: DataFrame) -> DataFrame:
+    at = F.unix_micros("timestamp")
+    return beats.select("service", at.alias("start"), at.alias("at"), at.alias("until"))
+
+
 def uptime_intervals(beats: DataFrame, threshold_seconds: int = DEFAULT_THRESHOLD) -> DataFrame:
     """(service, start, recent, up) from (service, timestamp). A gap of exactly the
     threshold still extends an interval."""
     gap = _check(threshold_seconds)
-    at = F.unix_micros("timestamp")
-    return _intervals(_fold(beats.select("service", at.alias("start"), at.alias("at")), gap))
+    return _intervals(_fold(_points(beats), gap))
 
 
 def extend_uptime(
     intervals: DataFrame, beats: DataFrame, threshold_seconds: int = DEFAULT_THRESHOLD
 ) -> DataFrame:
-    """The uptime table after new beats: each service's latest interval grows while beats
-    keep within the threshold of it, else a new one opens. Earlier intervals stay as is."""
+    """The uptime table after new beats, in whatever order they come: an interval grows by
+    beats within the threshold of it, beats between two may join them, others open new ones.
+
+    Only intervals within reach of the new beats are folded again, and of those only the
+    part within reach, as beats one threshold apart; the rest of the table passes through.
+    """
     gap = _check(threshold_seconds)
-    latest = intervals.groupBy("service").agg(F.max("recent").alias("last_recent"))
-    marked = intervals.join(latest, "service")
-    closed = marked.filter("recent < last_recent").select("service", "start", "recent", "up")
-    tail = marked.filter("recent = last_recent").select(
-        "service", F.unix_micros("start").alias("start"), F.unix_micros("recent").alias("at")
+    fresh = _points(beats)
+    reach = fresh.groupBy("service").agg(
+        (F.min("at") - gap).alias("lo"), (F.max("at") + gap).alias("hi")
     )
-    at = F.unix_micros("timestamp")
-    fresh = (
-        beats.join(latest, "service", "left")
-        .filter(F.col("last_recent").isNull() | (F.col("timestamp") > F.col("last_recent")))
-        .select("service", at.alias("start"), at.alias("at"))
+    placed = intervals.join(reach, "service", "left").withColumns(
+        {"a": F.unix_micros("start"), "b": F.unix_micros("recent")}
+    )
+    near = F.coalesce((F.col("b") >= F.col("lo")) & (F.col("a") <= F.col("hi")), F.lit(False))
+    first, last = F.greatest("a", "lo"), F.least("b", "hi")
+    chain = F.array_append(F.sequence(first, last, F.lit(gap).cast("bigint")), last)
+    touched = placed.filter(near).select(
+        "service", F.col("a").alias("start"), F.explode(chain).alias("at"), F.col("b").alias("until")
     )
-    return closed.unionByName(_intervals(_fold(tail.unionByName(fresh), gap)))
+    untouched = placed.filter(~near).select("service", "start", "recent", "up")
+    return untouched.unionByName(_intervals(_fold(touched.unionByName(fresh), gap)))
 
 
 def _exact_sum(micros: Column) -> Column:

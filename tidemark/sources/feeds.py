@@ -11,14 +11,15 @@ from ..functions.ids import article_id
 from ..functions.text import clean, select_content
 from ..functions.times import feed_date, timestamp_literal
 
-_RSS_ITEM = (
-    "struct<title: string, link: string, description: string, `content:encoded`: string, "
-    "pubDate: string, `dc:date`: string>"
+_RSS_FIELDS = (
+    "title string, link string, description string, `content:encoded` string, pubDate string, "
+    "`dc:date` string"
 )
-_ATOM_ENTRY = (
-    "struct<title: string, link: array<struct<_href: string, _rel: string>>, summary: string, "
-    "content: string, published: string, updated: string>"
+_ATOM_FIELDS = (
+    "title string, link array<struct<_href string, _rel string>>, summary string, content string, "
+    "published string, updated string"
 )
+_RSS_ITEM, _ATOM_ENTRY = f"struct<{_RSS_FIELDS}>", f"struct<{_ATOM_FIELDS}>"
 _FEED = f"channel struct<item: array<{_RSS_ITEM}>>, item array<{_RSS_ITEM}>, entry array<{_ATOM_ENTRY}>"
 
 
@@ -63,12 +64,12 @@ def feed_items(payloads: DataFrame) -> DataFrame:
 def read_feed_files(spark: SparkSession, path: str, source_id: str, kind: str = "rss") -> DataFrame:
     """Items of feed files in a folder, read in splits: for archives too large for a column.
     ``seq`` is not set, as splits have no common order."""
-    tag, schema = ("item", _RSS_ITEM) if kind == "rss" else ("entry", _ATOM_ENTRY)
+    tag, schema = ("item", _RSS_FIELDS) if kind == "rss" else ("entry", _ATOM_FIELDS)
     fields = _rss_fields if kind == "rss" else _atom_fields
     rows = (
         spark.read.format("xml")
         .option("rowTag", tag)
-        .schema(schema.removeprefix("struct<").removesuffix(">"))
+        .schema(schema)
         .load(path)
     )
     item = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
