@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the namespace all derived ids share.
@@ -39,19 +39,26 @@ def content_hash(*columns: Column) -> Column:
     return F.unhex(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256))
 
 
-def _masked_key(secret: Column, mask: int) -> Column:
+def with_hmac_keys(df: DataFrame, secret: Column, inner: str, outer: str) -> DataFrame:
+    """Adds the (inner, outer) padded keys of a secret. Work these out once per source, not
+    once per message."""
     raw = F.encode(secret, "UTF-8")
     key = F.when(F.octet_length(raw) > 64, F.unhex(F.sha2(raw, 256))).otherwise(raw)
-    digits = F.rpad(F.hex(key), 128, "0")
     # Four bytes at a time: a block of 64 is sixteen words.
-    word_mask = F.lit(int.from_bytes(bytes([mask] * 4))).cast("bigint")
-    words = [F.conv(F.substring(digits, at, 8), 16, 10).cast("bigint") for at in range(1, 128, 8)]
-    return F.unhex(F.concat(*[F.lpad(F.hex(w.bitwiseXOR(word_mask)), 8, "0") for w in words]))
-
-
-def hmac_keys(secret: Column) -> tuple[Column, Column]:
-    """(inner, outer) padded keys. Work these out once per source, not once per message."""
-    return _masked_key(secret, 0x36), _masked_key(secret, 0x5C)
+    words = F.array(*[F.conv(F.substring("_digits", at, 8), 16, 10).cast("bigint") for at in range(1, 128, 8)])
+
+    def masked(mask: int) -> Column:
+        word = F.lit(int.from_bytes(bytes([mask] * 4))).cast("bigint")
+        return F.unhex(
+            F.concat_ws("", F.transform("_words", lambda w: F.lpad(F.hex(w.bitwiseXOR(word)), 8, "0")))
+        )
+
+    return (
+        df.withColumn("_digits", F.rpad(F.hex(key), 128, "0"))
+        .withColumn("_words", words)
+        .withColumns({inner: masked(0x36), outer: masked(0x5C)})
+        .drop("_digits", "_words")
+    )
 
 
 def hmac_sha256(inner: Column, outer: Column, body: Column) -> Column:

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import hmac_keys, hmac_sha256
+from ..functions.ids import hmac_sha256, with_hmac_keys
 from ..functions.payload import is_object, with_json, with_strings
 from .json_api import extract_paths, read_articles
 
@@ -27,18 +27,17 @@ def routes(sources: DataFrame, path: Column | None = None) -> DataFrame:
     """Routing rows of active webhook sources: path, paths into the body, signature keys.
     Keys are padded here, once per source."""
     own = path if path is not None else F.get_json_object("spec", "$.path")
-    inner, outer = hmac_keys(F.coalesce("auth.secret", F.lit("")))
     signed = F.coalesce(F.col("auth.kind") == "hmac", F.lit(False))
     header = F.coalesce(F.nullif("auth.header", F.lit("")), F.lit(DEFAULT_SIGNATURE_HEADER))
-    return sources.filter("active AND type = 'webhook'").select(
+    listed = sources.filter("active AND type = 'webhook'").select(
         normal_path(own).alias("route"),
         F.col("id").alias("source_id"),
         extract_paths(sources).alias("paths"),
         signed.alias("signed"),
         F.when(signed, F.lower(header)).alias("signature_header"),
-        F.when(signed, inner).alias("inner_key"),
-        F.when(signed, outer).alias("outer_key"),
+        F.when(signed, F.coalesce("auth.secret", F.lit(""))).alias("secret"),
     )
+    return with_hmac_keys(listed, F.col("secret"), "inner_key", "outer_key").drop("secret")
 
 
 def header_value(headers: Column, name: Column) -> Column:
