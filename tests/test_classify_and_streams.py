@@ -214,6 +214,13 @@ def test_retried_batch_leaves_the_same_rows(spark, tmp_path):
     assert state(p.store) == before
 
 
+def test_articles_brought_along_are_not_marked(spark, tmp_path):
+    p = pipeline(spark, str(tmp_path / "t"))
+    p.classify(articles(spark), 0, mark_processed=False)
+    assert p.store.classifications().count() == 2 * len(TEXTS)
+    assert p.store.processed().count() == 0
+
+
 class Moody:
     def score(self, texts, labels, template, multi_label):
         if any("dog" in t for t in texts):

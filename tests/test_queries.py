@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 QUERIES, SQL = entry_point.queries(), entry_point.oracle_sql()
 # Those whose feature is running Python.
-PYTHON = {"classify_scorer", "html_clean", "feed_articles"}
+PYTHON = {"classify_scorer", "html_clean", "feed_articles", "articles_of_all_kinds"}
 
 
 @pytest.fixture(scope="module")

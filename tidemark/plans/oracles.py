@@ -328,6 +328,11 @@ _STATUS = """CASE WHEN event_id % 11 = 0 OR event_type = 'signup' THEN 404
 SQL["webhook_status"] = f"SELECT event_id, ({_STATUS})::BIGINT AS status FROM events"
 SQL["webhook_articles"] = f"SELECT {_ITEM} FROM events WHERE ({_STATUS}) = 202"
 
+SQL["articles_of_all_kinds"] = f"""SELECT source_type, source_id, count(*) AS n FROM (
+    SELECT 'rss' AS source_type, 'feed' AS source_id FROM ({SQL["feed_articles"]})
+    UNION ALL SELECT 'http', 'h' || source_id FROM ({SQL["json_articles"]}) WHERE source_id <> 's-signup'
+    UNION ALL SELECT 'webhook', source_id FROM ({SQL["webhook_articles"]})) GROUP BY 1, 2"""
+
 SQL["upload_classifications"] = f"""WITH {L} SELECT 'events' AS classification, id, article_id,
     CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN {AS_OF} ELSE date_trunc('second', timestamp) END AS timestamp,
     category, label, score FROM l"""

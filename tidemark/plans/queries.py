@@ -436,8 +436,7 @@ def _xml(value: Column) -> Column:
     return value
 
 
-@query
-def feed_articles(t):
+def _feed_payloads(t) -> DataFrame:
     """Pages as one-item feeds: RSS, RSS with content, Atom, and an RSS item without link."""
     kind = F.col("page_id") % 4
     link, page = _xml(F.col("url")), _xml(F.col("html"))
@@ -459,8 +458,12 @@ def feed_articles(t):
         )
         .otherwise(rss(tag("description", page)))
     )
-    payloads = t.raw("pages").select(F.lit("feed").alias("source_id"), body.alias("body"))
-    articles = feeds.feed_articles(feeds.feed_items(payloads), AS_OF)
+    return t.raw("pages").select(F.lit("feed").alias("source_id"), body.alias("body"))
+
+
+@query
+def feed_articles(t):
+    articles = feeds.feed_articles(feeds.feed_items(_feed_payloads(t)), AS_OF)
     return articles.select(
         "id", "title", F.md5("content").alias("content_md5"), plain("timestamp"), "link"
     )
@@ -616,6 +619,21 @@ def webhook_articles(t):
     return _plain_articles(webhooks.delivery_articles(judged, AS_OF))
 
 
+@query
+def articles_of_all_kinds(t):
+    """Feeds, responses and deliveries read into one table; counted per type and source."""
+    hooks = _sources(t)
+    apis = hooks.withColumns({"type": F.lit("http"), "id": F.concat(F.lit("h"), "id")})
+    feed = hooks.filter("name = 'view'").withColumns({"type": F.lit("rss"), "id": F.lit("feed"), "spec": F.lit(None)})
+    responses = _responses(t).drop("paths").withColumn("source_id", F.concat(F.lit("h"), "source_id"))
+    every = ingest.read_all(
+        {"rss": _feed_payloads(t), "http": responses, "webhook": _deliveries(t)},
+        hooks.unionByName(apis).unionByName(feed),
+        AS_OF,
+    )
+    return every.groupBy("source_type", "source_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def upload_classifications(t):
     """Classifications written out as upload items and read back; every third has a time

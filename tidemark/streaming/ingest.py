@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +51,12 @@ def _webhook(payloads: DataFrame, sources: DataFrame, as_of: dt.datetime) -> Dat
 DRIVERS: dict[str, Driver] = {"rss": _rss, "http": _http, "webhook": _webhook}
 
 
+def read_all(payloads: dict[str, DataFrame], sources: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Articles of payloads of several source types (by type), as one table."""
+    read = [DRIVERS[kind](rows, sources_scan(sources, kind), as_of) for kind, rows in payloads.items()]
+    return reduce(DataFrame.unionByName, read)
+
+
 def with_source_url(articles: DataFrame, sources: DataFrame) -> DataFrame:
     """Articles with the url of their source, NULL where no active source has that id."""
     active = sources_scan(sources, active_only=True).select(
@@ -104,17 +111,19 @@ class Pipeline:
         path = f"{self.store.root}/incoming/batch_id={batch_id}"
         return self.store.spark.read.parquet(path).filter("error IS NOT NULL")
 
-    def classify(self, articles: DataFrame, batch_id: int) -> None:
-        """Score articles, store rows and metrics, mark them processed, log the failures."""
+    def classify(self, articles: DataFrame, batch_id: int, *, mark_processed: bool = True) -> None:
+        """Score articles, store rows and metrics, mark them processed, log the failures.
+        Articles a caller brings along, stored or not, are scored without the mark."""
         if self.make_scorer is None:
-            self.store.write_classified(classify(articles, self.spec, self.wanted), batch_id)
+            rows = classify(articles, self.spec, self.wanted)
+            self.store.write_classified(rows, batch_id, mark_processed=mark_processed)
             return
         tried = classify_with(articles, self.spec, self.make_scorer, self.wanted)
         done = split_failures(self.store.stage("scored", tried, batch_id))
         self.store.write_failures(done.failures, batch_id)
         # An article is done when no classification of it failed.
         whole = done.rows.join(done.failures.select("article_id"), "article_id", "left_anti")
-        self.store.write_classified(whole, batch_id)
+        self.store.write_classified(whole, batch_id, mark_processed=mark_processed)
 
     def pending(self, batch_id: int) -> DataFrame:
         """This batch's new articles, and those earlier batches failed on, not given up on.

@@ -110,7 +110,7 @@ class Store:
     def write_articles(self, articles: DataFrame, batch_id: int) -> None:
         self._write(articles, "articles", schemas.ARTICLES, batch_id, [], [])
 
-    def write_classified(self, rows: DataFrame, batch_id: int) -> None:
+    def write_classified(self, rows: DataFrame, batch_id: int, *, mark_processed: bool = True) -> None:
         """Classification rows, then their metrics and ledger entries. These come from the
         rows as written, so scoring runs once and a lost executor costs a re-read."""
         by = ["classification"]
@@ -120,8 +120,9 @@ class Store:
         self._write(
             flatten(written), "metrics", schemas.METRICS, batch_id, by, [*by, "label", "timestamp"]
         )
-        ledger = written.select("article_id").distinct()
-        self._write(ledger, "processed", schemas.PROCESSED, batch_id, [], [])
+        if mark_processed:
+            ledger = written.select("article_id").distinct()
+            self._write(ledger, "processed", schemas.PROCESSED, batch_id, [], [])
 
     def write_failures(self, failures: DataFrame, batch_id: int) -> None:
         self._write(failures, "failures", schemas.FAILURES, batch_id, [], [])
