@@ -329,7 +329,9 @@ SQL["webhook_status"] = f"SELECT event_id, ({_STATUS})::BIGINT AS status FROM ev
 SQL["webhook_articles"] = f"SELECT {_ITEM} FROM events WHERE ({_STATUS}) = 202"
 
 SQL["articles_of_all_kinds"] = f"""SELECT source_type, source_id, count(*) AS n FROM (
-    SELECT 'rss' AS source_type, 'feed' AS source_id FROM ({SQL["feed_articles"]})
+    SELECT 'rss' AS source_type,
+           'f-' || ['view', 'click', 'purchase', 'signup', 'error'][page_id % 5 + 1] AS source_id
+    FROM pages WHERE page_id % 4 < 3 AND {clean('html')} <> ''
     UNION ALL SELECT 'http', 'h' || source_id FROM ({SQL["json_articles"]}) WHERE source_id <> 's-signup'
     UNION ALL SELECT 'webhook', source_id FROM ({SQL["webhook_articles"]})) GROUP BY 1, 2"""
 

@@ -458,7 +458,9 @@ def _feed_payloads(t) -> DataFrame:
         )
         .otherwise(rss(tag("description", page)))
     )
-    return t.raw("pages").select(F.lit("feed").alias("source_id"), body.alias("body"))
+    names = F.array(*[F.lit(f"f-{x}") for x in ("view", "click", "purchase", "signup", "error")])
+    source = F.element_at(names, (F.col("page_id") % 5 + 1).cast("int"))
+    return t.raw("pages").select(source.alias("source_id"), body.alias("body"))
 
 
 @query
@@ -624,7 +626,9 @@ def articles_of_all_kinds(t):
     """Feeds, responses and deliveries read into one table; counted per type and source."""
     hooks = _sources(t)
     apis = hooks.withColumns({"type": F.lit("http"), "id": F.concat(F.lit("h"), "id")})
-    feed = hooks.filter("name = 'view'").withColumns({"type": F.lit("rss"), "id": F.lit("feed"), "spec": F.lit(None)})
+    feed = hooks.withColumns(
+        {"type": F.lit("rss"), "id": F.concat(F.lit("f-"), "name"), "spec": F.lit(None).cast("string")}
+    )
     responses = _responses(t).drop("paths").withColumn("source_id", F.concat(F.lit("h"), "source_id"))
     every = ingest.read_all(
         {"rss": _feed_payloads(t), "http": responses, "webhook": _deliveries(t)},
