@@ -6,10 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from tidemark.plans.oracles import SQL
+from tidemark.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-QUERIES, SQL = entry_point.queries(), entry_point.oracle_sql()
+
 # Those whose feature is running Python.
 PYTHON = {"classify_scorer", "html_clean", "feed_articles", "articles_of_all_kinds"}
 
