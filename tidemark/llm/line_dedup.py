@@ -20,14 +20,15 @@ RATIO = 0.1
 MIN_PAGES = 5
 # Ends of blocks in html; what stands between two of them is a line.
 _BLOCK = r"(?is)</?(?:p|div|br|li|ul|ol|h[1-6]|nav|article|footer|header|section|table|tr|td|title|head|body|html|pre|blockquote)\b[^>]*>"
-_HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
+_HIDDEN = r"(?is)<(?:script\b.*?</script>|style\b.*?</style>|!--.*?-->)"
 
 
 def html_lines(html: Column) -> Column:
     """The text of a page, one line per block."""
     shown = F.regexp_replace(html, _HIDDEN, "")
     text = F.regexp_replace(F.regexp_replace(shown, _BLOCK, "\n"), r"(?s)<[^>]*>", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\r]+", " "), r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+    spaced = F.regexp_replace(text, r"[ \t\r]{2,}|[\t\r]", " ")
+    return F.trim(F.regexp_replace(spaced, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:

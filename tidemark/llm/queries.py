@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, embedding_dedup, jaccard_join, line_dedup, mixing, ngram_scoring, suffix_dedup, topk_search, toxicity, url_filter
-from tidemark.llm.common import crc_mod, table
+from tidemark.llm.common import crc_mod, materialize, table
 
 
 def op1_ngram_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page: its host, lines before and after, and the sha-256 of the text that is left."""
     pages = table(spark, sf_dir, "pages")
     lines = pages.select("page_id", url_filter.host_of(F.col("url")).alias("host"), line_dedup.html_lines(F.col("html")).alias("text"))
-    cut = line_dedup.drop_boilerplate(lines, "host", "text")
+    # Two passes read the lines; the expressions that find them in html run once.
+    cut = line_dedup.drop_boilerplate(materialize(lines), "host", "text")
     return cut.select(
         "page_id", "host", F.col("__lines").cast("long").alias("n_lines"), F.col("__dropped").cast("long").alias("n_dropped"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
