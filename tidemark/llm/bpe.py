@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.llm.common import slices
 
-_CACHED = 300_000  # pieces and pairs kept by a worker; beyond that it starts anew
+_CACHED = 600_000  # pieces and pairs kept by a worker; beyond that it starts anew
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,29 +40,61 @@ class PrefixEncoder:
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.halves: dict[int, tuple[int, int]] = {}
 
-    def merged(self, data: bytes) -> list[int]:
-        """By definition: join the neighbours of lowest rank until none can be joined."""
+    def merged(self, data: bytes, below: int = 1 << 62) -> list[int]:
+        """By definition: join the neighbours of lowest rank until none (below a rank) can be joined."""
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
             options = [(self.ranks.get(a + b), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
             best = min(((r, i) for r, i in options if r is not None), default=None)
-            if best is None:
+            if best is None or best[0] >= below:
                 break
             i = best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
-    def compatible(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
+    def split(self, token: int) -> tuple[int, int]:
+        """The two tokens that the last merge of a token joins; a single byte has no parts."""
+        known = self.halves.get(token)
         if known is None:
-            if len(self.pairs) >= _CACHED:
-                self.pairs.clear()
-            known = self.merged(self.token[left] + self.token[right]) == [left, right]
-            self.pairs[left, right] = known
+            data = self.token[token]
+            # Merges of a token's bytes up to, but without, the token itself.
+            parts = self.merged(data, token) if len(data) > 1 else [token]
+            known = self.halves[token] = (parts[0], parts[-1])
         return known
 
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether the joined bytes of two tokens encode to just these two.
+
+        Undoes the merges that face the border from the latest to the earliest; the border breaks
+        where a token over it has a lower rank than the merges still standing at its sides.
+        """
+        known = self.pairs.get(left << 32 | right)
+        if known is not None:
+            return known
+        if len(self.pairs) >= _CACHED:
+            self.pairs.clear()
+        token, ranks, split, a, b, limit = self.token, self.ranks, self.split, left, right, 1 << 62
+        fits = None
+        while fits is None:
+            over = ranks.get(token[a] + token[b])
+            if over is not None and over < limit:
+                fits = False
+                break
+            # Of the two tokens at the border, the one merged last is undone first; at equal
+            # ranks the left one came first.
+            inner_a, inner_b = split(a)[1], split(b)[0]
+            if (a > b or inner_b == b) and inner_a != a:
+                limit, a = a, inner_a
+            elif inner_b != b:
+                limit, b = b + 1, inner_b
+            else:
+                fits = True
+        self.pairs[left << 32 | right] = fits
+        return fits
+
     def extend(self, data: bytes, last: list[int]) -> list[int]:
         """Last tokens of all prefixes of ``data``, given those of its first ``len(last)`` bytes."""
         ranks, pairs, longest = self.ranks, self.pairs, self.longest
@@ -73,7 +105,7 @@ class PrefixEncoder:
                     continue
                 if start:
                     before = last[start - 1]
-                    fits = pairs.get((before, token))
+                    fits = pairs.get(before << 32 | token)
                     if not (self.compatible(before, token) if fits is None else fits):
                         continue
                 last.append(token)
@@ -138,7 +170,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, find, memory = _encoder(ranks_path), regex.compile(pattern).findall, {}
-        token, sha = encoder.token.__getitem__, hashlib.sha256
+        token, sha, name = encoder.token.__getitem__, hashlib.sha256, {i: str(i) for i in encoder.token}.__getitem__
         place = docs_columns.index(text)
         for batch in slices(batches, place, 4 << 20):
             counts, ids_hash, decoded_hash, all_ids = [], [], [], []
@@ -152,7 +184,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text: str = "te
                         known = memory[piece] = encoder.encode(piece.encode())
                     ids += known
                 counts.append(len(ids))
-                ids_hash.append(sha(" ".join(map(str, ids)).encode()).hexdigest())
+                ids_hash.append(sha(" ".join(map(name, ids)).encode()).hexdigest())
                 decoded_hash.append(sha(b"".join(map(token, ids))).hexdigest())
                 if with_ids:
                     all_ids.append(ids)
