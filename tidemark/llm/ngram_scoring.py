@@ -258,8 +258,9 @@ def _route(shards: int, hot: np.ndarray) -> callable:
                 ws, rows = w[pick], row[pick]
                 first = np.flatnonzero(np.concatenate(([True], ws[1:] != ws[:-1])))
                 there, rows = np.unique(rows, return_inverse=True)
+                batch_key = int(uid[0])
                 data = _blob(ws[first], np.diff([*first, len(ws)]).astype(np.uint32), v[pick].astype(np.uint32), u[pick].astype(np.uint32), rows.astype(np.uint32), uid[there], trains[there])
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([data], pa.binary())], names=["shard", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([batch_key]), pa.array([data], pa.binary())], names=["shard", "batch", "data"])
 
         for batch in slices(batches, "text"):
             w, row = _tokens(batch)
@@ -285,11 +286,12 @@ def _score_shard(tokens: int, vocabulary: int, texts: int, hot: dict[int, int])
     first_denominator = np.log10((A + B) * texts + M)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        columns, docs = [], 0
+        columns, docs, edges = [], 0, [0]
         for data in frame["data"]:
             w, n, v, u, row, uid, trains = _unblob(data, [np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.int64, np.uint8])
             columns.append((np.repeat(w, n), v, u, row.astype(np.int64) + docs, uid, trains))
             docs += len(uid)
+            edges.append(docs)
         w, v, u, row, uid, trains = (np.concatenate(c) for c in zip(*columns, strict=True))
         del columns
         unique, number = np.unique(w, return_inverse=True)
@@ -317,12 +319,22 @@ def _score_shard(tokens: int, vocabulary: int, texts: int, hot: dict[int, int])
         under = np.where(gw == END, first_denominator, under)
         total, plain = np.bincount(row, (over - under)[gram], docs), np.bincount(row, np.log10(count + 1)[gram], docs)
         known, size = np.bincount(row, (count > 0)[gram], docs), np.bincount(row, minlength=docs)
-        out = pd.DataFrame({"uid": uid, "score": total, "plain": plain, "known": known.astype(np.int64), "size": size})
-        return out.groupby("uid", as_index=False).sum()
+        # Back to the batches the tokens came from, a row for each.
+        sums = [uid, total, plain, known.astype(np.int64), size.astype(np.int64)]
+        return pd.DataFrame({"batch": frame["batch"], "data": [_blob(*(c[a:b] for c in sums)) for a, b in zip(edges, edges[1:], strict=False)]})
 
     return run
 
 
+def _sum_up(frame: pd.DataFrame) -> pd.DataFrame:
+    """The documents of a batch, from what all shards found."""
+    parts = [_unblob(d, [np.int64, np.float64, np.float64, np.int64, np.int64]) for d in frame["data"]]
+    uid, *values = (np.concatenate(c) for c in zip(*parts, strict=True))
+    uid, row = np.unique(uid, return_inverse=True)
+    score, plain, known, size = (np.bincount(row, v, len(uid)) for v in values)
+    return pd.DataFrame({"uid": uid, "score": score, "plain": plain, "known": known.astype(np.int64), "size": size.astype(np.int64)})
+
+
 def score(docs: DataFrame, trains: Column, text: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
@@ -337,10 +349,10 @@ def score(docs: DataFrame, trains: Column, text: str = "text", shard_tokens: int
     hot = {r["word"] % 2**64: r["n"] for r in heavy.collect()}
     rows = rows.withColumn("uid", F.monotonically_increasing_id())
     route = _route(shards, np.array(sorted(hot), np.uint64))
-    routed = rows.select("uid", "text", "trains").mapInArrow(route, "shard int, data binary")
-    shape = "uid long, score double, plain double, known long, size long"
-    parts = routed.groupBy("shard").applyInPandas(lambda f: _score_shard(total["n"], total["v"], texts, hot)(f), shape)
-    sums = parts.groupBy("uid").agg(*(F.sum(c).alias(c) for c in ("score", "plain", "known", "size")))
+    routed = rows.select("uid", "text", "trains").mapInArrow(route, "shard int, batch long, data binary")
+    scored = _score_shard(total["n"], total["v"], texts, hot)
+    parts = routed.groupBy("shard").applyInPandas(scored, "batch long, data binary")
+    sums = parts.groupBy("batch").applyInPandas(_sum_up, "uid long, score double, plain double, known long, size long")
     base = F.col("plain") - F.col("size") * F.lit(float(np.log10(total["n"] + total["v"] + 1)))
     return rows.select("uid", "doc_id").join(sums, "uid").select(
         "doc_id", F.col("size").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(total["n"]).cast("long").alias("train_tokens"),
