@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import _BASE_INVERSE, _BYTE_VALUE, materialize, mix, powers, slices, text_buffer
 
 WINDOW, GRAM = 100, 20
-CROWDED = 1000  # different surroundings of an anchor, beyond which windows are grouped by hash
+CROWDED = 5000  # different surroundings of an anchor (under 1 MB), beyond which windows are grouped by hash
 _CHUNK = 2 << 20
+_SORTED = 1 << 19  # bytes of pieces sorted at once
 
 
 def anchors(raw: np.ndarray, bounds: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -107,7 +108,7 @@ def suffix_order(s: np.ndarray, need: int) -> np.ndarray:
     a, b, c = padded[sample], padded[sample + 1], padded[sample + 2]
     if int(s.max(initial=0)) < 1 << 21:
         key = a << 42 | b << 21 | c
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.concatenate(([True], np.diff(key[order]) != 0)) if len(order) else np.zeros(0, bool)
     else:
         order = np.lexsort((c, b, a))
@@ -126,7 +127,7 @@ def suffix_order(s: np.ndarray, need: int) -> np.ndarray:
     wide = int(padded.max(initial=1)).bit_length()
     by_one = lambda i: padded[i] << bits | rank[i + 1]
     rest_key = by_one(rest)
-    rest = rest[np.argsort(rest_key, kind="stable")]
+    rest = rest[np.argsort(rest_key)]
     one, two = one[one < n], two
     # Merge: against one kind of sampled suffix after one symbol, against the other after two.
     before_one = np.searchsorted(np.sort(by_one(one)), by_one(rest), side="left")
@@ -148,7 +149,7 @@ def suffix_order(s: np.ndarray, need: int) -> np.ndarray:
     taken = np.zeros(n, bool)
     taken[spot] = True
     sampled = np.concatenate((one, two))
-    sampled = sampled[np.argsort(rank[sampled], kind="stable")]
+    sampled = sampled[np.argsort(rank[sampled])]
     suffixes = np.empty(n, np.int64)
     suffixes[spot], suffixes[~taken] = rest, sampled
     # Equal neighbours keep one rank: they agree as far as was asked for.
@@ -168,7 +169,7 @@ def suffix_order(s: np.ndarray, need: int) -> np.ndarray:
 
 def earliest(text: np.ndarray, starts: np.ndarray, at: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Of the windows of ``text`` at ``starts``, those with the least ``at`` among equals."""
-    order = starts[np.argsort(suffix_order(text.astype(np.int64) + 1, window)[starts], kind="stable")]
+    order = starts[np.argsort(suffix_order(text.astype(np.int64) + 1, window)[starts])]
     eight = np.zeros(len(text) - 7, np.uint64)
     for k in range(8):
         eight |= text[k : len(text) - 7 + k].astype(np.uint64) << np.uint64(8 * k)
@@ -207,7 +208,7 @@ def sorted_windows(pieces: DataFrame) -> DataFrame:
 
         for batch in batches:
             held.append(batch)
-            if sum(b.column("piece").nbytes for b in held) < _CHUNK:
+            if sum(b.column("piece").nbytes for b in held) < _SORTED:
                 continue
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             gram = whole.column("gram").to_numpy()
