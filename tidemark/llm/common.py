@@ -50,7 +50,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write as a shared table and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     folder = shared_folder(spark)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
