@@ -21,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, materialize, mix, slices, text_buffer, word_hashes
 
-PIVOT_ROUNDS = 2
+ROUNDS = 3  # of pivots, before what the windows leave is compared
+LEAF = 200  # members of a region that are compared without another pivot
 COMMON = 500  # a shingle in more than one of COMMON documents of some task is common
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _STEP = np.arange(1, 9, dtype=np.uint64) * _ODD
@@ -117,77 +118,93 @@ def points(docs: DataFrame, words: int, percent: int, common: dict[int, int], wh
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, point long, shingles array<long>")
 
 
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with ``common`` and ``either``: sizes of intersection and union."""
-    left = sets.select(F.col("point").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("point").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
+def _near(percent: int) -> Column:
+    return F.col("common") * 100 >= F.col("either") * percent
+
+
+def _may_link(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, shared) that sizes and the number of shared first shingles allow.
+
+    Sets of sizes m <= n with this similarity have at least ceil(t (m + n) / (1 + t)) in common, so of
+    their first n - ceil(t n) + 1 shingles they share ceil(t (m + n) / (1 + t)) - ceil(t n) + 1 at least.
+    """
+    sized = own.select(F.col("point").alias("a"), F.col("n").alias("na"))
+    pairs = pairs.join(sized, "a").join(sized.toDF("b", "nb"), "b")
+    most, least = F.greatest("na", "nb"), F.least("na", "nb")
+    ceil = lambda x, y: F.ceil(x / F.lit(y))
+    overlap = ceil((F.col("na") + F.col("nb")) * percent, 100 + percent) - ceil(most * percent, 100) + 1
+    return pairs.where((most * percent <= least * 100) & (F.col("shared") >= overlap)).select("a", "b")
+
+
+def measured(pairs: DataFrame, docs: DataFrame, own: DataFrame, words: int, percent: int) -> DataFrame:
+    """pairs (a, b) with ``common`` and ``either``: sizes of intersection and union of the whole sets.
+
+    Whole sets are made for the documents of these pairs alone.
+    """
+    pairs = materialize(pairs)
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("point")).distinct().join(own, "point").select("point", "doc_id"))
+    # Ids alone, and counted: up to 8 MB go to all tasks, more are joined by a shuffle.
+    few = wanted.count() <= 1_000_000
+    ids = wanted.select("doc_id").distinct()
+    chosen = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    sets = points(chosen, words, percent, {}, whole=True).select("point", "shingles").join(wanted.select("point"), "point", "left_semi")
+    sets = materialize(sets.dropDuplicates(["point"]))
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb") - common).alias("either"))
+    return materialize(both.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb") - common).alias("either")))
 
 
-def join(docs: DataFrame, words: int = 5, percent: int = 80, rounds: int = PIVOT_ROUNDS) -> DataFrame:
+def join(docs: DataFrame, words: int = 5, percent: int = 80, leaf: int = LEAF) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text).
 
     Linked are documents with 100 * common >= percent * either.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     common = common_shingles(docs, words)
     rows = materialize(points(docs, words, percent, common, whole=False))
     usable = rows.where("n > 0 and doc_id is not null")
-    own = usable.groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("shingles").alias("shingles"))
-    members = own.select("point", "n", F.posexplode("shingles").alias("at", "shingle"))
-    regions = members.groupBy("shingle").agg(F.min("point").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    live = materialize(members.join(regions, "shingle").select("shingle", "point", F.col("n").cast("int"), F.col("at").cast("int"), "pivot"))
-    fits = lambda m, n: F.greatest(m, n) * percent <= F.least(m, n) * 100  # noqa: E731  sizes alone rule others out
-    # The whole sets of points that share a region with another.
-    involved = live.select("point").distinct().join(own.select("point", "doc_id"), "point")
-    chosen = docs.join(involved.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = points(chosen, words, percent, {}, whole=True).join(involved.select("point"), "point", "left_semi")
-    sets = materialize(sets.dropDuplicates(["point"]).select("point", "shingles"))
-    near = F.col("common") * 100 >= F.col("either") * percent
-    links = usable.where("1 = 0").select(F.col("point").alias("a"), F.col("point").alias("b"))
-    for turn in range(1, rounds + 1):
-        sized = own.select(F.col("point").alias("pivot"), F.col("n").alias("pn"))
-        ahead = live.where("point <> pivot").select("point", "pivot", "n").distinct().join(sized, "pivot").where(fits(F.col("n"), F.col("pn")))
-        distances = materialize(measured(ahead.select(F.col("point").alias("a"), F.col("pivot").alias("b")), sets))
-        links = links.union(distances.where(near).select("a", "b"))
+    own = materialize(usable.groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
+    members = usable.select("point", F.explode("shingles").alias("shingle"))
+    regions = members.groupBy("shingle").agg(F.min("point").alias("pivot"), F.max("point").alias("last")).where("pivot <> last")
+    live = materialize(members.join(regions.drop("last"), "shingle").distinct())
+    links, turn = usable.where("1 = 0").select(F.col("point").alias("a"), F.col("point").alias("b")), 0
+    while True:
+        turn += 1
+        # Every member of a region against its pivot.
+        ahead = live.where("point <> pivot").select(F.col("point").alias("a"), F.col("pivot").alias("b")).distinct()
+        here = live.select("shingle", "point")
+        shared = ahead.join(here.toDF("shingle", "a"), "a").join(here.toDF("shingle", "b"), ["b", "shingle"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+        distances = measured(_may_link(shared, own, percent), docs, own, words, percent)
+        links = links.union(distances.where(_near(percent)).select("a", "b"))
         joined = components(links).withColumnRenamed("id", "point")
-        apart = 1 - F.col("common") / F.col("either")
-        to_pivot = distances.select(F.col("a").alias("point"), F.col("b").alias("pivot"), apart.alias("d"))
+        # Regions within one component are done.
         live = live.drop("component").join(joined, "point", "left").withColumn("component", F.coalesce("component", "point"))
-        several = live.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("shingle")
-        live = live.join(several, "shingle", "left_semi")
-        # Known distances to the pivots so far, one column a round; the pivot itself is done with.
-        live = live.join(to_pivot.withColumnRenamed("d", f"d{turn}"), ["point", "pivot"], "left").where("point <> pivot")
-        main = live.groupBy("shingle").agg(F.min("pivot").alias("pivot"))
-        main = main.join(joined.select(F.col("point").alias("pivot"), F.col("component").alias("of_pivot")), "pivot", "left")
-        live = materialize(live.drop("pivot").join(main.select("shingle", F.coalesce("of_pivot", "pivot").alias("of_pivot")), "shingle"))
-        # The next pivot: outside the component of this one.
+        live = materialize(live)
+        several = live.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 <> c1")
+        apart = distances.select(F.col("a").alias("point"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("either")).alias(f"d{turn}"))
+        live = live.join(several.select("shingle", "size"), "shingle").join(apart, ["point", "pivot"], "left")
+        of_pivot = live.where("point = pivot").select("shingle", F.col("component").alias("of_pivot"))
+        # The pivot has met all others of its region.
+        live = materialize(live.join(of_pivot, "shingle").where("point <> pivot"))
+        if live.where(F.col("size") > leaf).isEmpty() or turn == ROUNDS:
+            break
+        # Split again by a pivot from outside the first one's component.
         following = live.where("component <> of_pivot").groupBy("shingle").agg(F.min("point").alias("pivot"))
-        live = live.join(following, "shingle").drop("of_pivot")
-    live = materialize(live.drop("pivot"))
+        live = live.drop("pivot", "of_pivot", "size").join(following, "shingle")
     radius = 1 - percent / 100 + 1e-9
     a, b = live.alias("a"), live.alias("b")
     meets = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.point") < F.col("b.point")) & (F.col("a.component") != F.col("b.component"))
-    meets &= fits(F.col("a.n"), F.col("b.n"))
-    # What can still be common behind the shared shingle must reach the overlap asked for.
-    rest = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) + F.least("a.at", "b.at")
-    meets &= rest * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent
-    for turn in range(1, rounds + 1):
-        gap = F.abs(F.col(f"a.d{turn}") - F.col(f"b.d{turn}"))
+    for k in range(1, turn + 1):
+        gap = F.abs(F.col(f"a.d{k}") - F.col(f"b.d{k}"))
         meets &= gap.isNull() | (gap <= radius)
-    left = a.join(b, meets).select(F.col("a.point").alias("a"), F.col("b.point").alias("b")).distinct()
-    links = links.union(measured(left, sets).where(near).select("a", "b"))
-    joined = components(links).withColumnRenamed("id", "point")
-    named = own.select("point", "doc_id").join(joined, "point", "left").withColumn("component", F.coalesce("component", "point"))
+    left = a.join(b, meets).groupBy(F.col("a.point").alias("a"), F.col("b.point").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    distances = measured(_may_link(left, own, percent), docs, own, words, percent)
+    links = links.union(distances.where(_near(percent)).select("a", "b"))
     # Ids that stand for several sets tie those together.
     ties = usable.groupBy("doc_id").agg(F.min("point").alias("b"), F.max("point").alias("m")).where("b <> m").select("doc_id", "b")
     ties = usable.join(ties, "doc_id").select(F.col("point").alias("a"), "b")
-    if not ties.isEmpty():
-        joined = components(links.union(ties)).withColumnRenamed("id", "point")
-        named = own.select("point", "doc_id").join(joined, "point", "left").withColumn("component", F.coalesce("component", "point"))
+    joined = components(links.union(ties)).withColumnRenamed("id", "point")
+    named = own.select("point", "doc_id").join(joined, "point", "left").withColumn("component", F.coalesce("component", "point"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     per_point = named.join(smallest, "component").select("point", "component_id")
     out = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("point")).alias("point"))
