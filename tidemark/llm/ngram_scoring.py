@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialize, slices, text_buffer, word_hashes
 
 A, B, M = 12.0, 3.0, 40.0  # weights of trigram and bigram counts, and of the prior
-SHARD_TOKENS = 3_000_000
+SHARD_TOKENS = 1_500_000
 END, BEGIN = np.uint64(1), np.uint64(2)  # hashes of the end token and of what precedes a text
-_BATCH_TOKENS = 3_000_000
+_BATCH_TOKENS = 1_500_000
 _BLOCK = 1 << 16
 
 
