@@ -21,13 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, materialize, mix, slices, text_buffer, word_hashes
 
-ROUNDS = 3  # of pivots, before what the windows leave is compared
-LEAF = 200  # members of a region that are compared without another pivot
+ROUNDS = 3  # of splits, before what the windows leave is compared
+PIVOTS = 16  # of a region in a split
+LEAF = 40  # members of a region that are compared without another pivot
 COMMON = 500  # a shingle in more than one of COMMON documents of some task is common
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _STEP = np.arange(1, 9, dtype=np.uint64) * _ODD
@@ -122,18 +123,20 @@ def _near(percent: int) -> Column:
     return F.col("common") * 100 >= F.col("either") * percent
 
 
-def _may_link(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, shared) that sizes and the number of shared first shingles allow.
+def _may_link(pairs: DataFrame, firsts: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that sizes and the number of shared first shingles allow.
 
     Sets of sizes m <= n with this similarity have at least ceil(t (m + n) / (1 + t)) in common, so of
     their first n - ceil(t n) + 1 shingles they share ceil(t (m + n) / (1 + t)) - ceil(t n) + 1 at least.
     """
-    sized = own.select(F.col("point").alias("a"), F.col("n").alias("na"))
-    pairs = pairs.join(sized, "a").join(sized.toDF("b", "nb"), "b")
-    most, least = F.greatest("na", "nb"), F.least("na", "nb")
+    known = firsts.join(own.select("point", "n"), "point").select("point", "n", "firsts")
     ceil = lambda x, y: F.ceil(x / F.lit(y))
+    most, least = F.greatest("na", "nb"), F.least("na", "nb")
     overlap = ceil((F.col("na") + F.col("nb")) * percent, 100 + percent) - ceil(most * percent, 100) + 1
-    return pairs.where((most * percent <= least * 100) & (F.col("shared") >= overlap)).select("a", "b")
+    sized = pairs.join(own.select(F.col("point").alias("a"), F.col("n").alias("na")), "a").join(own.select(F.col("point").alias("b"), F.col("n").alias("nb")), "b")
+    sized = sized.where(most * percent <= least * 100)
+    both = sized.join(known.select(F.col("point").alias("a"), F.col("firsts").alias("fa")), "a").join(known.select(F.col("point").alias("b"), F.col("firsts").alias("fb")), "b")
+    return both.where(F.size(F.array_intersect("fa", "fb")) >= overlap).select("a", "b")
 
 
 def measured(pairs: DataFrame, docs: DataFrame, own: DataFrame, words: int, percent: int) -> DataFrame:
@@ -167,39 +170,47 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, leaf: int = LEAF) -
     members = usable.select("point", F.explode("shingles").alias("shingle"))
     regions = members.groupBy("shingle").agg(F.min("point").alias("pivot"), F.max("point").alias("last")).where("pivot <> last")
     live = materialize(members.join(regions.drop("last"), "shingle").distinct())
-    links, turn = usable.where("1 = 0").select(F.col("point").alias("a"), F.col("point").alias("b")), 0
-    while True:
-        turn += 1
-        # Every member of a region against its pivot.
-        ahead = live.where("point <> pivot").select(F.col("point").alias("a"), F.col("pivot").alias("b")).distinct()
-        here = live.select("shingle", "point")
-        shared = ahead.join(here.toDF("shingle", "a"), "a").join(here.toDF("shingle", "b"), ["b", "shingle"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-        distances = measured(_may_link(shared, own, percent), docs, own, words, percent)
-        links = links.union(distances.where(_near(percent)).select("a", "b"))
+    # The shared first shingles of each point: a bounded part of its set.
+    firsts = materialize(live.groupBy("point").agg(F.collect_list("shingle").alias("firsts")))
+    links = usable.where("1 = 0").select(F.col("point").alias("a"), F.col("point").alias("b"))
+    ahead = live.where("point <> pivot").select(F.col("point").alias("a"), F.col("pivot").alias("b")).distinct()
+    to_pivot = measured(_may_link(ahead, firsts, own, percent), docs, own, words, percent)
+    links = links.union(to_pivot.where(_near(percent)).select("a", "b"))
+    apart = to_pivot.select(F.col("a").alias("point"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("either")).alias("d"))
+    # The pivot has met all others of its region; they keep their distance to it.
+    live = live.join(apart, ["point", "pivot"], "left")
+    radius = 1 - percent / 100 + 1e-9
+
+    def window(a: str, b: str) -> Column:
+        gap = F.abs(F.col(f"{a}.d") - F.col(f"{b}.d"))
+        return (F.col(f"{a}.component") != F.col(f"{b}.component")) & (gap.isNull() | (gap <= radius))
+
+    for turn in range(1, ROUNDS + 1):
         joined = components(links).withColumnRenamed("id", "point")
+        live = live.drop("component", "size", "of_pivot").join(joined, "point", "left").withColumn("component", F.coalesce("component", "point"))
         # Regions within one component are done.
-        live = live.drop("component").join(joined, "point", "left").withColumn("component", F.coalesce("component", "point"))
-        live = materialize(live)
-        several = live.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 <> c1")
-        apart = distances.select(F.col("a").alias("point"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("either")).alias(f"d{turn}"))
-        live = live.join(several.select("shingle", "size"), "shingle").join(apart, ["point", "pivot"], "left")
-        of_pivot = live.where("point = pivot").select("shingle", F.col("component").alias("of_pivot"))
-        # The pivot has met all others of its region.
-        live = materialize(live.join(of_pivot, "shingle").where("point <> pivot"))
-        if live.where(F.col("size") > leaf).isEmpty() or turn == ROUNDS:
+        several = live.groupBy("shingle").agg(
+            F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("size"),
+            F.max(F.when(F.col("point") == F.col("pivot"), F.col("component"))).alias("of_pivot"),
+        )
+        live = materialize(live.join(several.where("c0 <> c1").select("shingle", "size", "of_pivot"), "shingle"))
+        large = live.where(F.col("size") > leaf)
+        if turn == ROUNDS or large.isEmpty():
             break
-        # Split again by a pivot from outside the first one's component.
-        following = live.where("component <> of_pivot").groupBy("shingle").agg(F.min("point").alias("pivot"))
-        live = live.drop("pivot", "of_pivot", "size").join(following, "shingle")
-    radius = 1 - percent / 100 + 1e-9
-    a, b = live.alias("a"), live.alias("b")
-    meets = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.point") < F.col("b.point")) & (F.col("a.component") != F.col("b.component"))
-    for k in range(1, turn + 1):
-        gap = F.abs(F.col(f"a.d{k}") - F.col(f"b.d{k}"))
-        meets &= gap.isNull() | (gap <= radius)
-    left = a.join(b, meets).groupBy(F.col("a.point").alias("a"), F.col("b.point").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    distances = measured(_may_link(left, own, percent), docs, own, words, percent)
-    links = links.union(distances.where(_near(percent)).select("a", "b"))
+        # Split the large ones again: by members of the first pivot's component, others each time,
+        # which draw in what lies near any of them, and by some from outside it.
+        inside = F.col("component") == F.col("of_pivot")
+        nth = F.row_number().over(Window.partitionBy("shingle", inside).orderBy("point"))
+        fresh = (F.col("nth") > (turn - 1) * PIVOTS) & (F.col("nth") <= turn * PIVOTS)
+        chosen = large.withColumn("nth", nth).where(F.when(F.coalesce(inside, F.lit(False)), fresh).otherwise(F.col("nth") <= PIVOTS // 4))
+        meets = (F.col("x.shingle") == F.col("p.shingle")) & (F.col("x.point") != F.col("p.point")) & window("x", "p")
+        ahead = large.alias("x").join(chosen.alias("p"), meets).select(F.greatest("x.point", "p.point").alias("a"), F.least("x.point", "p.point").alias("b")).distinct()
+        found = measured(_may_link(ahead, firsts, own, percent), docs, own, words, percent)
+        links = links.union(found.where(_near(percent)).select("a", "b"))
+    meets = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.point") < F.col("b.point")) & window("a", "b")
+    left = live.alias("a").join(live.alias("b"), meets).select(F.col("a.point").alias("a"), F.col("b.point").alias("b")).distinct()
+    found = measured(_may_link(left, firsts, own, percent), docs, own, words, percent)
+    links = links.union(found.where(_near(percent)).select("a", "b"))
     # Ids that stand for several sets tie those together.
     ties = usable.groupBy("doc_id").agg(F.min("point").alias("b"), F.max("point").alias("m")).where("b <> m").select("doc_id", "b")
     ties = usable.join(ties, "doc_id").select(F.col("point").alias("a"), "b")
