@@ -245,6 +245,20 @@ def test_failures_are_retried_then_given_up(spark, tmp_path):
     assert fixed.store.processed().count() == 4
 
 
+def test_failures_are_retried_without_end(spark, tmp_path):
+    p = pipeline(spark, str(tmp_path / "t"), make_scorer=Moody)
+    frames = [
+        spark.createDataFrame([(None, "/docs", {}, json.dumps({"t": "t", "c": text, "l": f"v{n}"}), None)], schemas.PAYLOADS)
+        for n, text in enumerate(["dog", *["cat"] * 6])
+    ]
+    for n, frame in enumerate(frames):
+        p.run_batch(frame, n)
+    assert p.store.failures().count() >= 7 and p.store.processed().count() == 6
+    fixed = pipeline(spark, str(tmp_path / "t"), make_scorer=c.LexicalScorer)
+    fixed.drain(10)
+    assert fixed.store.processed().count() == 7
+
+
 def test_each_checkpoint_numbers_its_own_batches(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     assert [store.first_batch(x) for x in ("a", "b", "a")] == [0, BATCHES_PER_RUN, 0]

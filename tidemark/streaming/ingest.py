@@ -82,7 +82,8 @@ class Pipeline:
     filters: dict[str, list[Filter]] = field(default_factory=dict)
     wanted: Wanted | None = None
     make_scorer: Callable[[], Scorer] | None = None
-    attempt_cap: int = 5
+    # A failed article is tried again with each batch; a number here gives up after so many failures.
+    attempt_cap: int | None = None
     as_of: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.timezone.utc)
 
     def read(self, payloads: DataFrame, as_of: dt.datetime) -> DataFrame:
@@ -134,12 +135,17 @@ class Pipeline:
             failures.select("article_id")
             .distinct()
             .join(self.store.processed().filter(before), "article_id", "left_anti")
-            .join(dead_letters(failures, self.attempt_cap), "article_id", "left_anti")
+            .join(self._given_up(failures), "article_id", "left_anti")
             .select(F.col("article_id").alias("id"))
         )
         again = self.store.articles().filter(before).join(failed, "id", "left_semi")
         return self._fresh(batch_id).unionByName(again.drop("batch_id"))
 
+    def _given_up(self, failures: DataFrame) -> DataFrame:
+        if self.attempt_cap is None:
+            return dead_letters(failures, 1).where(F.lit(False))
+        return dead_letters(failures, self.attempt_cap)
+
     def _fresh(self, batch_id: int) -> DataFrame:
         return self.store.batch("articles", schemas.ARTICLES, batch_id)
 
@@ -151,7 +157,7 @@ class Pipeline:
 
     def drain(self, batch_id: int) -> None:
         """Classify everything stored and not yet processed, in one distributed pass."""
-        dead = dead_letters(self.store.failures(), self.attempt_cap)
+        dead = self._given_up(self.store.failures())
         left = unprocessed(self.store.articles(), self.store.processed(), dead=dead).select("id")
         articles = self.store.articles().drop("batch_id").join(left, "id", "left_semi")
         self.classify(articles, batch_id)
