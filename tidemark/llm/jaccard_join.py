@@ -7,7 +7,8 @@ distances to it are measured. Documents near enough are linked to it. Any two ot
 looked at if their distances to the pivot differ by at most the radius (triangle inequality), so a
 Voronoi boundary is crossed by those alone that may have a partner beyond. Regions that fell into
 one component are done; the rest is split again by a new pivot from outside the first one's
-component; and what the windows of all pivots leave is compared directly.
+component; and what the windows of all pivots leave is compared directly, once the number of regions
+a pair shares and its places in them say that it may be near enough.
 
 Null and blank texts have an empty set and link with nothing. Fewer words than a shingle form one shingle. Rows
 with a null id link with nothing and keep a null component. Repeated rows and rows of equal sets
@@ -123,6 +124,21 @@ def _near(percent: int) -> Column:
     return F.col("common") * 100 >= F.col("either") * percent
 
 
+def _placed(na: Column, at_a: Column, nb: Column, at_b: Column, percent: int) -> Column:
+    """Whether sets of these sizes that first meet at these places can be near enough.
+
+    Nothing before the first shared shingle is shared, so at most what follows it in either set is.
+    A near pair passes in the region of its first shared shingle, whatever it does in others.
+    """
+    return F.least(na - at_a, nb - at_b) * (100 + percent) >= (na + nb) * percent
+
+
+def _least_shared(na: Column, nb: Column, percent: int) -> Column:
+    """First shingles that near sets of these sizes share at least; see :func:`_may_link`."""
+    ceil = lambda x, y: F.ceil(x / F.lit(y))
+    return ceil((na + nb) * percent, 100 + percent) - ceil(F.greatest(na, nb) * percent, 100) + 1
+
+
 def _may_link(pairs: DataFrame, firsts: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that sizes and the number of shared first shingles allow.
 
@@ -130,9 +146,8 @@ def _may_link(pairs: DataFrame, firsts: DataFrame, own: DataFrame, percent: int)
     their first n - ceil(t n) + 1 shingles they share ceil(t (m + n) / (1 + t)) - ceil(t n) + 1 at least.
     """
     known = firsts.join(own.select("point", "n"), "point").select("point", "n", "firsts")
-    ceil = lambda x, y: F.ceil(x / F.lit(y))
     most, least = F.greatest("na", "nb"), F.least("na", "nb")
-    overlap = ceil((F.col("na") + F.col("nb")) * percent, 100 + percent) - ceil(most * percent, 100) + 1
+    overlap = _least_shared(F.col("na"), F.col("nb"), percent)
     sized = pairs.join(own.select(F.col("point").alias("a"), F.col("n").alias("na")), "a").join(own.select(F.col("point").alias("b"), F.col("n").alias("nb")), "b")
     sized = sized.where(most * percent <= least * 100)
     both = sized.join(known.select(F.col("point").alias("a"), F.col("firsts").alias("fa")), "a").join(known.select(F.col("point").alias("b"), F.col("firsts").alias("fb")), "b")
@@ -167,24 +182,30 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, leaf: int = LEAF) -
     rows = materialize(points(docs, words, percent, common, whole=False))
     usable = rows.where("n > 0 and doc_id is not null")
     own = materialize(usable.groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
-    members = usable.select("point", F.explode("shingles").alias("shingle"))
-    regions = members.groupBy("shingle").agg(F.min("point").alias("pivot"), F.max("point").alias("last")).where("pivot <> last")
+    members = usable.select("point", "n", F.posexplode("shingles").alias("place", "shingle"))
+    regions = members.groupBy("shingle").agg(
+        F.min("point").alias("pivot"), F.max("point").alias("last"), F.min_by("n", "point").alias("pivot_n"), F.min_by("place", "point").alias("pivot_place")
+    ).where("pivot <> last")
     live = materialize(members.join(regions.drop("last"), "shingle").distinct())
     # The shared first shingles of each point: a bounded part of its set.
     firsts = materialize(live.groupBy("point").agg(F.collect_list("shingle").alias("firsts")))
     links = usable.where("1 = 0").select(F.col("point").alias("a"), F.col("point").alias("b"))
-    ahead = live.where("point <> pivot").select(F.col("point").alias("a"), F.col("pivot").alias("b")).distinct()
+    may_meet = _placed(F.col("n"), F.col("place"), F.col("pivot_n"), F.col("pivot_place"), percent)
+    ahead = live.where((F.col("point") != F.col("pivot")) & may_meet).select(F.col("point").alias("a"), F.col("pivot").alias("b")).distinct()
     to_pivot = measured(_may_link(ahead, firsts, own, percent), docs, own, words, percent)
     links = links.union(to_pivot.where(_near(percent)).select("a", "b"))
     apart = to_pivot.select(F.col("a").alias("point"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("either")).alias("d"))
-    # The pivot has met all others of its region; they keep their distance to it.
-    live = live.join(apart, ["point", "pivot"], "left")
+    # Those that the pivot has met keep their distance to it.
+    live = live.drop("pivot_n", "pivot_place").join(apart, ["point", "pivot"], "left")
     radius = 1 - percent / 100 + 1e-9
 
     def window(a: str, b: str) -> Column:
         gap = F.abs(F.col(f"{a}.d") - F.col(f"{b}.d"))
         return (F.col(f"{a}.component") != F.col(f"{b}.component")) & (gap.isNull() | (gap <= radius))
 
+    def placed(a: str, b: str) -> Column:
+        return _placed(F.col(f"{a}.n"), F.col(f"{a}.place"), F.col(f"{b}.n"), F.col(f"{b}.place"), percent)
+
     for turn in range(1, ROUNDS + 1):
         joined = components(links).withColumnRenamed("id", "point")
         live = live.drop("component", "size", "of_pivot").join(joined, "point", "left").withColumn("component", F.coalesce("component", "point"))
@@ -203,13 +224,20 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, leaf: int = LEAF) -
         nth = F.row_number().over(Window.partitionBy("shingle", inside).orderBy("point"))
         fresh = (F.col("nth") > (turn - 1) * PIVOTS) & (F.col("nth") <= turn * PIVOTS)
         chosen = large.withColumn("nth", nth).where(F.when(F.coalesce(inside, F.lit(False)), fresh).otherwise(F.col("nth") <= PIVOTS // 4))
-        meets = (F.col("x.shingle") == F.col("p.shingle")) & (F.col("x.point") != F.col("p.point")) & window("x", "p")
+        meets = (F.col("x.shingle") == F.col("p.shingle")) & (F.col("x.point") != F.col("p.point")) & window("x", "p") & placed("x", "p")
         ahead = large.alias("x").join(chosen.alias("p"), meets).select(F.greatest("x.point", "p.point").alias("a"), F.least("x.point", "p.point").alias("b")).distinct()
         found = measured(_may_link(ahead, firsts, own, percent), docs, own, words, percent)
         links = links.union(found.where(_near(percent)).select("a", "b"))
     meets = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.point") < F.col("b.point")) & window("a", "b")
-    left = live.alias("a").join(live.alias("b"), meets).select(F.col("a.point").alias("a"), F.col("b.point").alias("b")).distinct()
-    found = measured(_may_link(left, firsts, own, percent), docs, own, words, percent)
+    # Regions that fell away lie in one component, and windows hold for pairs, so a pair that is still of
+    # interest meets once for each of the first shingles it shares.
+    sized = F.greatest("a.n", "b.n") * percent <= F.least("a.n", "b.n") * 100
+    left = live.alias("a").join(live.alias("b"), meets & sized).select(
+        F.col("a.point").alias("a"), F.col("b.point").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"), placed("a", "b").alias("placed")
+    )
+    left = left.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"), F.bool_or("placed").alias("placed"))
+    left = left.where(F.col("placed") & (F.col("shared") >= _least_shared(F.col("na"), F.col("nb"), percent))).select("a", "b")
+    found = measured(left, docs, own, words, percent)
     links = links.union(found.where(_near(percent)).select("a", "b"))
     # Ids that stand for several sets tie those together.
     ties = usable.groupBy("doc_id").agg(F.min("point").alias("b"), F.max("point").alias("m")).where("b <> m").select("doc_id", "b")
