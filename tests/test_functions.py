@@ -126,6 +126,18 @@ def test_feed_date(evaluate):
         "Thu, 2 Jan 2025 05:04:05 +0200": at,
         "02 Jan 2025 03:04 GMT": utc(2025, 1, 2, 3, 4),
         "2025-01-02T03:04:05Z": at,
+        "Thu, 02 Jan 25 03:04:05 GMT": at,
+        "02 Jan 99 03:04 GMT": utc(1999, 1, 2, 3, 4),
+        "Thursday, 02-Jan-25 03:04:05 GMT": at,
+        "2 January 2025 03:04:05 GMT": at,
+        "Thu Jan  2 03:04:05 2025": at,
+        "2025-01-02T03:04:05": at,
+        "2025-01-02 03:04:05": at,
+        "2025-01-02": utc(2025, 1, 2),
+        "2 Jan 2025": utc(2025, 1, 2),
+        "January 2, 2025": utc(2025, 1, 2),
+        "2025": None,
+        "May be soon": None,
         "soon": None,
         None: None,
     }
@@ -171,7 +183,7 @@ def replies(texts, raws):
 
 
 def test_label_scores(texts):
-    bad_json, no_map = "invalid json", "no label/score map found in response"
+    bad_json, no_map = "invalid json", "reply holds no scores by label"
     cases = {
         '{"Recon": 0.82, "Persistence": 0.4}': ({"Recon": 0.82, "Persistence": 0.4}, None),
         '```json\n{"A": 0.5}\n```': ({"A": 0.5}, None),

@@ -104,7 +104,7 @@ def test_json_articles_and_errors(spark):
     assert [(r.title, r.link, r.timestamp) for r in bare] == [("", "", NOW)] * 2
     assert sorted(r.content for r in bare) == ["", "C"] and len({r.id for r in bare}) == 2
     errors = {r.source_id: r.error for r in json_api.response_errors(given).collect()}
-    assert errors == {"s2": "extract not configured", "s3": "body is not json", "s4": "items path does not lead to an array"}
+    assert errors == {"s2": "source names no paths to read", "s3": "body is not json", "s4": "items path does not lead to an array"}
 
 
 def test_webhooks(spark):
@@ -117,6 +117,8 @@ def test_webhooks(spark):
         hook(2, "custom", auth={"kind": "hmac", "secret": "s3cret", "header": "X-Hub"}),
         hook(3, "other", auth={"kind": "basic", "secret": "x"}),
         hook(4, "off", active=False),
+        hook(5, "twice"),
+        hook(6, "/twice"),
     )
     good = '{"title":"T","body":"B","ts":"2025-01-02T03:04:05Z","link":"http://l"}'
     sign = lambda body: hmac.new(b"s3cret", body.encode(), hashlib.sha256).hexdigest()
@@ -139,6 +141,9 @@ def test_webhooks(spark):
         ("custom", {"X-Hub": sign(good)}, good, 202),
         ("custom", {"X-Signature": sign(good)}, good, 401),
         ("other", {}, good, 202),
+        ("/webhooks/open", {}, good, 202),
+        ("webhooks/nobody", {}, good, 404),
+        ("twice", {}, good, 202),
     ]
     events = spark.createDataFrame([(str(i), p, h, b, None) for i, (p, h, b, _) in enumerate(cases)], schemas.PAYLOADS)
     judged = webhooks.judge_deliveries(events.withColumn("case", F.col("source_id")), webhooks.routes(table))
@@ -249,23 +254,35 @@ def test_source_scans_delete_and_checks(spark):
 
 
 def test_reconcile(spark):
-    entry = lambda *keys: {k: [{"label": "L", "score": 0.5}] for k in keys}
-    rows = [("events", "1", "a", NOW, entry("old_field")), ("events", "2", "a", NOW, None), ("stale", "3", "a", NOW, entry("x"))]
+    held = lambda *keys: {k: [{"label": "wet", "score": 0.7}] for k in keys}
+    rows = [
+        ("harbour", "h1", "x", NOW, held("swell", "wind")),
+        ("harbour", "h2", "y", NOW, None),
+        ("inland", "i1", "x", NOW, held("rain")),
+        ("lake", "l1", "z", NOW, held("ice")),
+    ]
     table = spark.createDataFrame(rows, schemas.CLASSIFICATIONS)
-    plan = merge.classification_changes(table, merge.config_keys(spark, {"Events": ["new_field"], "brand": ["only"]})).collect()
-    got = {r.classification: (r.action, list(r["add"]), list(r["remove"])) for r in plan}
-    assert got == {"events": ("update", ["new_field"], ["old_field"]), "brand": ("create", [], []), "stale": ("drop", [], [])}
+    wanted = merge.config_keys(spark, {"Harbour": ["swell", "tide"], "coast": ["fog"], "lake": ["ice"]})
+    plan = merge.classification_changes(table, wanted).collect()
+    assert {r.classification: (r.action, list(r["add"]), list(r["remove"])) for r in plan} == {
+        "harbour": ("update", ["tide"], ["wind"]),
+        "coast": ("create", [], []),
+        "inland": ("drop", [], []),
+        "lake": ("keep", [], []),
+    }
     after = {r.id: r.data for r in merge.reconcile(table, plan).collect()}
-    assert after["2"] is None and "3" not in after
-    assert {k: [(s.label, s.score) for s in v] for k, v in after["1"].items()} == {"new_field": [("n/i", 0.0)]}
+    assert set(after) == {"h1", "h2", "l1"} and after["h2"] is None
+    assert {k: [(s.label, s.score) for s in v] for k, v in after["h1"].items()} == {"swell": [("wet", 0.7)], "tide": [("n/i", 0.0)]}
+    scores = spark.createDataFrame([(n, "x", "k", "wet", NOW, 0.7) for n in ("harbour", "inland", "lake")], schemas.METRICS)
+    assert {r.classification for r in merge.reconcile_metrics(scores, plan).collect()} == {"harbour", "lake"}
     with pytest.raises(ValueError):
-        merge.config_keys(spark, {"events": []})
+        merge.config_keys(spark, {"harbour": []})
 
 
 def test_article_checks(spark):
     good, bad = schemas.split_valid(
-        articles(spark, ("1", "t"), ("2", "t" * 256), ("3", "t" * 255)).withColumn("source_type", F.when(F.col("id") == "3", "fax").otherwise("rss")),
+        articles(spark, ("1", "t"), ("2", "t" * 5000), ("3", "t")).withColumn("source_type", F.when(F.col("id") == "3", "fax").otherwise("rss")),
         schemas.article_problem(),
     )
-    assert [r.id for r in good.collect()] == ["1"]
-    assert {r.id: r.error for r in bad.collect()} == {"2": "title longer than 255", "3": "unknown source type"}
+    assert [(r.id, len(r.title)) for r in good.orderBy("id").collect()] == [("1", 1), ("2", 5000)]
+    assert {r.id: r.error for r in bad.collect()} == {"3": "unknown source type"}

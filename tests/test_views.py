@@ -32,7 +32,7 @@ def test_a_bad_panel_does_not_break_the_others(tables):
     assert all((r.data is None) == bool(r.error) == k.startswith("e") for k, r in shown.items())
     assert (shown["p5"].variant, shown["p5"].format, shown["p5"].data.count()) == ("line", "n", 30)
     assert shown["p6"].variant == "article" and shown["p7"].variant == "source"
-    assert shown["e1"].error == "quadrant query requires range_b"
+    assert shown["e1"].error == "a quadrant compares two ranges; the second is missing"
 
 
 def test_stored_form(tables):
@@ -48,5 +48,5 @@ def test_stored_form(tables):
 
 
 def test_unknown_kind(tables):
-    with pytest.raises(QueryError, match="unknown viz kind"):
+    with pytest.raises(QueryError, match="no such panel kind"):
         run_query(Query("pie"), tables, AS_OF)

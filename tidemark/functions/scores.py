@@ -82,7 +82,7 @@ def with_label_scores(df: DataFrame, raw: str) -> DataFrame:
     error = (
         F.when(blank, F.lit(None).cast("string"))
         .when(F.col("_fields").isNull(), "invalid json")
-        .when(F.col("_found").isNull(), "no label/score map found in response")
+        .when(F.col("_found").isNull(), "reply holds no scores by label")
     )
     return staged.withColumns(
         {"scores": F.when(blank, no_scores()).otherwise(F.col("_found")), "error": error}

@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 # Date, "T", time, optional fraction, then Z or a numeric offset.
 RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}([.,]\d+)?(Z|[+-]\d{2}:\d{2})$"
 
-# Feed dates with the weekday taken off, most common first.
-FEED_DATE_FORMATS = (
-    "d MMM yyyy HH:mm:ss Z",
-    "d MMM yyyy HH:mm:ss z",
-    "d MMM yyyy HH:mm Z",
-    "d MMM yyyy HH:mm z",
-)
+# Feed dates with the weekday taken off, most common first. Months are cut to three letters and
+# dashes between words taken for blanks before.
+FEED_DATE_FORMATS = tuple(
+    f"d MMM {year} {clock}{zone}"
+    for year in ("yyyy", "yy")
+    for clock in ("HH:mm:ss", "HH:mm")
+    for zone in (" Z", " z", "")
+) + ("d MMM yyyy", "MMM d HH:mm:ss yyyy", "MMM d HH:mm:ss z yyyy", "MMM d, yyyy")
+_ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?)? ?(Z|[+-]\d{2}:?\d{2})?$"
+_MONTHS = r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b\.?"
 
 # Seconds beyond this do not fit a timestamp, either way.
 _LAST_SECOND = 9_223_372_036_854
@@ -57,7 +60,16 @@ def rfc3339(text: Column) -> Column:
 
 
 def feed_date(text: Column) -> Column:
-    """Publication date as feeds write it: RFC 1123/822 with or without weekday, or RFC 3339."""
-    bare = F.trim(F.regexp_replace(text, r"^\s*[A-Za-z]+,?\s+(?=\d)", ""))
-    tries = [F.try_to_timestamp(bare, F.lit(fmt)) for fmt in FEED_DATE_FORMATS]
-    return F.coalesce(rfc3339(F.trim(text)), *tries)
+    """Publication date as feeds write it: RFC 1123, 850 and 822 with or without weekday, full month
+    names, asctime, RFC 3339, and ISO dates without zone or time, which are UTC."""
+    one_line = F.trim(F.regexp_replace(text, r"\s+", " "))
+    iso = F.when(one_line.rlike(_ISO), F.translate(one_line, ",", ".").try_cast("timestamp"))
+    bare = F.regexp_replace(one_line, r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,? ", "")
+    bare = F.regexp_replace(bare, r"(?<=\d)-(?=[A-Za-z])|(?<=[A-Za-z])-(?=\d)", " ")
+    month = F.regexp_extract(bare, _MONTHS, 1)
+    bare = F.regexp_replace(bare, F.lit(_MONTHS), F.initcap(month))
+    found = F.coalesce(*[F.try_to_timestamp(bare, F.lit(fmt)) for fmt in FEED_DATE_FORMATS])
+    # Two digits from 69 on are of the last century.
+    short = ~bare.rlike(r"\d{4}")
+    found = F.when(short & (F.year(found) >= 2069), found - F.make_interval(years=F.lit(100))).otherwise(found)
+    return F.coalesce(rfc3339(one_line), found, iso)

@@ -301,7 +301,10 @@ def classify_replies(replies: DataFrame, articles: DataFrame, spec: InferenceSpe
     asked = F.create_map(
         *[x for n, attrs in spec.classifications.items() for x in (F.lit(n), F.lit(len(attrs)))]
     )
-    single = replies.groupBy("article_id", "classification", "attribute").agg(F.max("raw").alias("raw"))
+    # Of repeated replies the newest counts, where their time is known, then the greatest by text.
+    when = F.col("received_at") if "received_at" in replies.columns else F.lit(0)
+    newest = F.max(F.struct(when, "raw"))["raw"]
+    single = replies.groupBy("article_id", "classification", "attribute").agg(newest.alias("raw"))
     parsed = single.join(limits, ["classification", "attribute"])
     parsed = with_label_scores(parsed, "raw").select(
         "article_id",
@@ -338,9 +341,11 @@ def flatten(classifications: DataFrame) -> DataFrame:
 
 
 def dead_letters(failures: DataFrame, cap: int = 5) -> DataFrame:
-    """Articles that failed at least ``cap`` times, with their last recorded error."""
+    """Articles that failed at least ``cap`` times, with the error of their last batch; of
+    several in one batch, and where batches are not known, the greatest by text."""
+    batch = F.col("batch_id") if "batch_id" in failures.columns else F.lit(0)
     return (
         failures.groupBy("article_id", "classification")
-        .agg(F.count(F.lit(1)).alias("attempts"), F.max("error").alias("error"))
+        .agg(F.count(F.lit(1)).alias("attempts"), F.max(F.struct(batch, "error"))["error"].alias("error"))
         .filter(F.col("attempts") >= cap)
     )

@@ -37,25 +37,23 @@ class Filter:
     negate: bool = False
 
 
+_OP, _GEN = "|".join(OPERATORS), "|".join(GENERATORS)
+# A generator alone looks at all fields; its value then holds no dot. Anything else names a target first.
+_NOTATION = re.compile(
+    rf"(?P<all>{_GEN})\.(?P<op0>{_OP})\.(?P<value0>[^.]*)"
+    rf"|(?P<field>[^.]*)\.(?:(?P<gen>(?:{_GEN})?)\.)?(?P<op>{_OP})\.(?P<value>.*)",
+    re.DOTALL,
+)
+
+
 def parse_filter(text: str) -> Filter:
+    found = _NOTATION.fullmatch(text.removeprefix("!"))
+    if found is None:
+        raise FilterError(f"cannot read {text!r} as a filter")
     negate = text.startswith("!")
-    head, *rest = text.removeprefix("!").split(".", 3)
-    if len(rest) == 2 and head in GENERATORS:
-        target, generator, operator, value = WILDCARD, head, *rest
-    elif len(rest) == 2:
-        target, generator, operator, value = head, "", *rest
-    elif len(rest) == 3 and rest[0] in OPERATORS:
-        # Three parts whose value holds a dot.
-        target, generator, operator, value = head, "", rest[0], ".".join(rest[1:])
-    elif len(rest) == 3:
-        target, generator, operator, value = head, *rest
-    else:
-        raise FilterError(f"bad filter {text!r}: need target.[generator.]op.value")
-    if operator not in OPERATORS:
-        raise FilterError(f"unknown operator {operator!r} in {text!r}")
-    if generator and generator not in GENERATORS:
-        raise FilterError(f"unknown generator {generator!r} in {text!r}")
-    return Filter(target or WILDCARD, generator, operator, value, negate)
+    if found["all"]:
+        return Filter(WILDCARD, found["all"], found["op0"], found["value0"], negate)
+    return Filter(found["field"] or WILDCARD, found["gen"] or "", found["op"], found["value"], negate)
 
 
 def parse_filters(texts: Iterable[str]) -> list[Filter]:
@@ -64,16 +62,22 @@ def parse_filters(texts: Iterable[str]) -> list[Filter]:
 
 # --- regular expressions ---------------------------------------------------
 
-# Syntax Java accepts and the filter notation does not: look-around, atomic groups,
-# possessive quantifiers, back-references.
-_UNSUPPORTED = re.compile(r"\(\?(?:[=!>]|<[=!])|[*+?}]\+|\\[1-9]|\\k<")
-
 # Word edges by ASCII word characters, whatever the Java release takes them to be.
 _WORD_EDGES = {
-    r"\b": r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))",
-    r"\B": r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))",
+    "b": r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))",
+    "B": r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))",
 }
-_POSIX_CLASS = re.compile(r":(\^?)([a-z]+):\]")
+_POSIX_CLASS = re.compile(r"\[:(\^?)([a-z]+):\]")
+_REPEAT = re.compile(r"[*+?]|\{(\d+)(?:(,)(\d*))?\}")
+_GROUP = re.compile(r"\(\?(?:P?<(\w+)>|([imsU]*)(-[imsU]+)?([:)]))", re.ASCII)
+_ESCAPE = re.compile(r"\\(?:x\{([0-9A-Fa-f]+)\}|x([0-9A-Fa-f]{2})|(0[0-7]{0,2}|[1-7][0-7]{1,2})|([pP])(?:\{(\^?)(\w+)\}|(\w))|(.))", re.DOTALL)
+_SPACE = r"\t\n\f\r "
+# The largest count a repetition may ask for.
+_MOST_REPEATS = 1000
+
+
+class _BadPattern(ValueError):
+    pass
 
 
 def _posix(found: re.Match) -> str:
@@ -84,45 +88,149 @@ def _posix(found: re.Match) -> str:
     return rf"\{sign}{{{name}}}"
 
 
+def _literal(c: str) -> str:
+    return c if c.isalnum() or not c.isascii() else f"\\x{ord(c):02x}"
+
+
+def _escape(found: re.Match, in_class: bool) -> str:
+    """One escape of the filter notation as Java writes it."""
+    code, pair, octal, sign, caret, name, letter, c = found.groups()
+    if code or pair or octal:
+        value = int(octal, 8) if octal else int(code or pair, 16)
+        if value > 0x10FFFF:
+            raise _BadPattern
+        return f"\\x{{{value:x}}}"
+    if sign:
+        name = name or letter
+        sign = {"p": "P", "P": "p"}[sign] if caret else sign
+        return rf"\{sign}{{{name if len(name) < 3 else 'Is' + name}}}"
+    if c in "dDwW":
+        return rf"\{c}"
+    if c in "sS":
+        return f"[{'^' if c == 'S' else ''}{_SPACE}]"
+    if c in "aftnrv":
+        return r"\x0b" if c == "v" else rf"\{c}"
+    if not in_class and c in _WORD_EDGES:
+        return _WORD_EDGES[c]
+    if not in_class and c in "Az":
+        return rf"(?:\{c})"
+    if c.isascii() and not c.isalnum():
+        return _literal(c)
+    raise _BadPattern
+
+
+def _char_class(pattern: str, i: int) -> tuple[str, int]:
+    """The class that opens at i, and where it ends."""
+    out, i = ["["], i + 1
+    if pattern[i : i + 1] == "^":
+        out, i = ["[^"], i + 1
+    first = True
+    while first or pattern[i : i + 1] != "]":
+        if i >= len(pattern):
+            raise _BadPattern
+        if (posix := _POSIX_CLASS.match(pattern, i)) is not None:
+            out.append(_posix(posix))
+            i = posix.end()
+        elif pattern[i] == "\\":
+            found = _ESCAPE.match(pattern, i)
+            if found is None:
+                raise _BadPattern
+            out.append(_escape(found, in_class=True))
+            i = found.end()
+        elif pattern[i] == "-" and not first and pattern[i - 1] != "-" and pattern[i + 1 : i + 2] not in ("", "]"):
+            out.append("-")
+            i += 1
+        else:
+            out.append(_literal(pattern[i]))
+            i += 1
+        first = False
+    return "".join(out) + "]", i + 1
+
+
+def _translated(pattern: str) -> str:
+    # Per open group: whether ^ and $ stand for lines. Laziness and names do not change what matches.
+    lines, names = [False], set()
+    out, i, repeatable, repeated = [], 0, False, False
+    while i < len(pattern):
+        c, unit, atom = pattern[i], "", True
+        if (repeat := _REPEAT.match(pattern, i)) is not None:
+            low, comma, high = repeat.groups()
+            counts = [int(n) for n in (low, high) if n]
+            if not repeatable or repeated or (counts and (max(counts) > _MOST_REPEATS or counts != sorted(counts))):
+                raise _BadPattern
+            out.append(repeat[0])
+            i = repeat.end()
+            i += pattern[i : i + 1] == "?"
+            repeated = True
+            continue
+        if pattern.startswith(r"\Q", i):
+            end = pattern.find(r"\E", i + 2)
+            end, after = (len(pattern), len(pattern)) if end < 0 else (end, end + 2)
+            unit, i = "".join(map(_literal, pattern[i + 2 : end])), after
+            if not unit:
+                continue
+        elif c == "\\":
+            found = _ESCAPE.match(pattern, i)
+            if found is None:
+                raise _BadPattern
+            unit, i = _escape(found, in_class=False), found.end()
+        elif c == "[":
+            unit, i = _char_class(pattern, i)
+        elif pattern.startswith("(?", i):
+            group = _GROUP.match(pattern, i)
+            if group is None or (group[1] and group[1] in names) or group[0] == "(?)":
+                raise _BadPattern
+            name, on, off, close = group.groups()
+            names.add(name)
+            by_line = lines[-1]
+            if not name:
+                by_line = "m" in on or (by_line and "m" not in (off or ""))
+                put = "".join({"i": "iu", "s": "s"}.get(f, "") for f in on)
+                drop = "".join(f for f in (off or "") if f in "is")
+                unit = f"(?{put}{'-' + drop if drop else ''}{close}" if put or drop else ("(?:" if close == ":" else "")
+            else:
+                unit = "("
+            if close == ")":
+                lines[-1] = by_line
+            else:
+                lines.append(by_line)
+            i, atom = group.end(), False
+        elif c == "(":
+            lines.append(lines[-1])
+            unit, i, atom = "(", i + 1, False
+        elif c == ")":
+            if len(lines) == 1:
+                raise _BadPattern
+            lines.pop()
+            unit, i = ")", i + 1
+        elif c == "|":
+            unit, i, atom = "|", i + 1, False
+        elif c == "^":
+            unit, i = (r"(?:\A|(?<=\n))" if lines[-1] else r"(?:\A)"), i + 1
+        elif c == "$":
+            unit, i = (r"(?=\n|\z)" if lines[-1] else r"(?:\z)"), i + 1
+        elif c == ".":
+            unit, i = ".", i + 1
+        else:
+            unit, i = _literal(c), i + 1
+        out.append(unit)
+        repeatable, repeated = atom, False
+    if len(lines) > 1:
+        raise _BadPattern
+    return "(?d)" + "".join(out)
+
+
 def java_pattern(pattern: str) -> str | None:
-    """The pattern for Spark's matcher, or None if it is not a valid one.
+    """The pattern for Spark's matcher, or None if it is not a valid one of the notation, which
+    has no look-around, back-references or possessive repetition.
 
-    Only a line feed ends a line, white space leaves out the vertical tab, and a plain
-    ``$`` is the very end of the text.
+    Only a line feed ends a line, white space leaves out the vertical tab, a plain ``$`` is the
+    very end of the text, and ignoring case goes for all letters.
     """
-    if _UNSUPPORTED.search(re.sub(r"\\\\", "", pattern)):
+    try:
+        translated = _translated(pattern)
+    except _BadPattern:
         return None
-    named = pattern.replace("(?P<", "(?<")
-    # Ignoring case goes for all letters, not just ASCII ones.
-    named = re.sub(r"\(\?([a-zA-Z]*i)", r"(?\1u", named)
-    multiline = re.search(r"\(\?[a-zA-Z]*m", named) is not None
-    out, in_class, i = [], False, 0
-    while i < len(named):
-        unit = named[i : i + 2] if named[i] == "\\" else named[i]
-        i += len(unit)
-        if unit == "\\s":
-            unit = r"\t\n\f\r " if in_class else r"[\t\n\f\r ]"
-        elif unit == "\\S" and not in_class:
-            unit = r"[^\t\n\f\r ]"
-        elif unit in _WORD_EDGES and not in_class:
-            unit = _WORD_EDGES[unit]
-        elif unit == "$" and not in_class and not multiline:
-            unit = r"\z"
-        elif unit == "[" and in_class:
-            posix = _POSIX_CLASS.match(named, i)
-            if posix:
-                i = posix.end()
-                unit = _posix(posix)
-            else:
-                unit = r"\["
-        elif unit == "[":
-            in_class = True
-        elif unit == "]":
-            in_class = False
-        elif unit == "&" and in_class:
-            unit = r"\&"
-        out.append(unit)
-    translated = "(?d)" + "".join(out)
     return translated if _compiles(translated) else None
 
 

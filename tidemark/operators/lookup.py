@@ -4,20 +4,8 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Above this many rows a lookup is joined without a broadcast hint.
-BROADCAST_ROWS = 50_000
 
 
 def lookup_frame(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> DataFrame:
-    """A driver-made lookup table, broadcast while its known size allows it."""
-    frame = spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema))
-    return F.broadcast(frame) if len(rows) <= BROADCAST_ROWS else frame
-
-
-def bounded(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table with a broadcast hint if it is counted to be small enough, else as it is,
-    for a shuffled join whose hot keys AQE splits. For tables the size of a configuration,
-    as counting reads them; the count stops at the limit."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+    """A driver-made lookup table. Its size is known to Spark, which picks the join."""
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema))

@@ -194,7 +194,7 @@ def classification_changes(
 
 def reconcile(classifications: DataFrame, changes: list) -> DataFrame:
     """Classification rows after the changes (collected rows of
-    :func:`classification_changes`: one per classification). Metrics are left as they are."""
+    :func:`classification_changes`: one per classification)."""
     dropped = [c["classification"] for c in changes if c["action"] == "drop"]
     data = F.col("data")
     for c in changes:
@@ -204,3 +204,10 @@ def reconcile(classifications: DataFrame, changes: list) -> DataFrame:
             data = F.when(mine, updated).otherwise(data)
     kept = classifications.filter(~F.col("classification").isin(dropped)) if dropped else classifications
     return kept.withColumn("data", data)
+
+
+def reconcile_metrics(metrics: DataFrame, changes: list) -> DataFrame:
+    """Metrics rows after the changes: those of a dropped classification go with it, so that they
+    do not come back when its name is used again."""
+    dropped = [c["classification"] for c in changes if c["action"] == "drop"]
+    return metrics.filter(~F.col("classification").isin(dropped)) if dropped else metrics

@@ -16,7 +16,7 @@ RATE_BUCKETS = {"day": (3600, 24), "month": (86400, 30)}
 
 def bucketed(fmt: str, table: dict[str, tuple[int, int]]) -> tuple[int, int]:
     if fmt not in table:
-        raise ValueError(f"unsupported format: {fmt}")
+        raise ValueError(f"no calendar for {fmt!r}")
     return table[fmt]
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,23 +9,14 @@ from ..functions.scores import cut_data
 from ..specs import SearchRequest
 from .predicates import all_of, named, one_of, title_like, within
 
-# Up to this many labels one boolean per label is cheaper than counting distinct ones,
-# which takes a second shuffle.
-_FLAGS_LIMIT = 32
-
 
 def articles_with_all_labels(metrics: DataFrame, labels, classification: str | None = None) -> DataFrame:
     """article_id of every article that has each of the labels, at any time."""
     labels = list(dict.fromkeys(labels))
     scan = metrics.filter(all_of([named(classification), one_of("label", labels)]))
-    if len(labels) <= _FLAGS_LIMIT:
-        flags = [F.bool_or(F.col("label") == x).alias(f"has_{i}") for i, x in enumerate(labels)]
-        grouped = scan.groupBy("article_id").agg(*flags)
-        complete = reduce(and_, [F.col(f"has_{i}") for i in range(len(labels))])
-    else:
-        grouped = scan.groupBy("article_id").agg(F.count_distinct("label").alias("held"))
-        complete = F.col("held") == len(labels)
-    return grouped.filter(complete).select("article_id")
+    # A set holds at most the labels asked for, and is built before the shuffle as well as after.
+    held = scan.groupBy("article_id").agg(F.size(F.collect_set("label")).alias("held"))
+    return held.filter(F.col("held") == len(labels)).select("article_id")
 
 
 def newest_per_article(classifications: DataFrame) -> DataFrame:
@@ -51,22 +39,24 @@ def linked_classifications(
     """Search without order and limit.
 
     Label and title conditions hold for all rows of an article alike, so they commute with
-    taking its newest row. Taking that row first leaves unique keys for both joins, and all
-    three steps share one partitioning by article. The cutoff may empty the chosen row, and
-    then the article is dropped: an older row never stands in for it.
+    taking its newest row. They come first, as semi joins with distinct article ids, so that
+    rows they rule out are not ranked; the data is cut for the chosen rows only. The cutoff may
+    empty the chosen row, and then the article is dropped: an older row never stands in for it.
     """
     rows = classifications.filter(
         all_of([named(request.classification), within("timestamp", request.start, request.end)])
     )
-    data = cut_data(F.col("data"), request.cutoff) if request.cutoff > 0 else F.col("data")
-    newest = newest_per_article(rows.select("id", "article_id", "timestamp", data.alias("data")))
-    found = newest.filter(F.size("data") > 0)
-    if request.labels:
-        holders = articles_with_all_labels(metrics, request.labels, request.classification)
-        found = found.join(holders, "article_id", "left_semi")
+    rows = rows.select("id", "article_id", "timestamp", "data")
     linked = articles.filter(all_of([title_like("title", request.title)])).select(
         F.col("id").alias("article_id"), "title", "link"
     )
+    if request.labels:
+        holders = articles_with_all_labels(metrics, request.labels, request.classification)
+        rows = rows.join(holders, "article_id", "left_semi")
+    if request.title:
+        rows = rows.join(linked.select("article_id"), "article_id", "left_semi")
+    data = cut_data(F.col("data"), request.cutoff) if request.cutoff > 0 else F.col("data")
+    found = newest_per_article(rows).withColumn("data", data).filter(F.size("data") > 0)
     return found.join(linked, "article_id").select(
         "id", "article_id", "timestamp", "data", "title", "link"
     )

@@ -250,7 +250,7 @@ SQL["filter_len"] = _DOCS + f"{_BYTES.format('text')} >= 1000 AND {_BYTES.format
 SQL["filter_regex"] = (
     _DOCS + rf"regexp_matches(text, '(?i)\bTHE\b[\s\S]*\.$') AND NOT regexp_matches({_TITLE}, '^(fr|de)')"
 )
-SQL["filter_contains"] = _DOCS + "contains(text, 'http') AND NOT contains(text, 'the')"
+SQL["filter_contains"] = _DOCS + "contains(text, '@') AND NOT contains(text, 'the')"
 SQL["filter_text_order"] = _DOCS + f"{_TITLE} >= 'en src2' AND {_TITLE} < 'es' AND doc_id <> 1"
 SQL["filter_wildcard_negate"] = (
     _DOCS
@@ -300,7 +300,7 @@ SQL["unix_time"] = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN epoch_us(ts
 SQL["rfc3339_time"] = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN date_trunc('second', ts)
     WHEN 1 THEN ts - INTERVAL 2 HOUR END AS stamp FROM events"""
 
-SQL["feed_date"] = """SELECT event_id, CASE WHEN event_id % 4 < 3 THEN date_trunc('second', ts) END AS stamp
+SQL["feed_date"] = """SELECT event_id, CASE WHEN event_id % 9 < 8 THEN date_trunc('second', ts) END AS stamp
   FROM events"""
 
 # --- sources ---------------------------------------------------------------
@@ -453,7 +453,7 @@ SQL["stream_ingest"] = f"""SELECT 'prose' AS classification, category, label, co
     round(sum(score), 6) AS score
   FROM ({classified(_BYTES.format('text') + ' >= 500')}) GROUP BY category, label"""
 
-_INVALID, _NO_MAP = "invalid json", "no label/score map found in response"
+_INVALID, _NO_MAP = "invalid json", "reply holds no scores by label"
 SQL["label_score_parse"] = f"""WITH {M}
   SELECT event_id, 'A' AS label, score, NULL::VARCHAR AS error FROM m WHERE event_id % 7 < 4
   UNION ALL SELECT event_id, 'B', 0.25, NULL FROM m WHERE event_id % 7 < 3
@@ -480,18 +480,18 @@ SQL["classify_replies"] = f"""WITH {M}, s AS (
   FROM m WHERE event_id % 7 IN (4, 6)"""
 
 SQL["dead_letters"] = """SELECT CAST(user_id AS VARCHAR) AS article_id, 'events' AS classification,
-    count(*) AS attempts, 'boom' AS error
+    count(*) AS attempts, arg_max('boom ' || (event_id % 3), event_id) AS error
   FROM events WHERE event_type = 'error' GROUP BY user_id HAVING count(*) >= 5"""
 
 # --- views and streams -----------------------------------------------------
 
 _ERRORS = {
-    "e1": "quadrant query requires range_b",
-    "e2": "viz kind ''status'' not yet implemented",
-    "e3": "viz kind ''tree'' not yet implemented",
-    "e4": "unknown viz kind ''pie''",
-    "e5": "unknown list variant ''user''",
-    "e6": "unknown stats target ''articles''",
+    "e1": "a quadrant compares two ranges; the second is missing",
+    "e2": "panels of kind ''status'' cannot be drawn",
+    "e3": "panels of kind ''tree'' cannot be drawn",
+    "e4": "no such panel kind: ''pie''",
+    "e5": "no such list: ''user''",
+    "e6": "no such number: ''articles''",
 }
 
 

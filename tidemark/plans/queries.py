@@ -322,7 +322,7 @@ def filter_regex(t):
 
 @query
 def filter_contains(t):
-    return _filtered(t, "content.contains.eq.http", "!content.contains.eq.the")
+    return _filtered(t, "content.contains.eq.@", "!content.contains.eq.the")
 
 
 @query
@@ -420,9 +420,14 @@ def feed_date(t):
             F.concat(F.lit("Mon, "), F.date_format("ts", "dd MMM yyyy HH:mm:ss"), F.lit(" +0000")),
             F.concat(F.date_format("ts", "d MMM yyyy HH:mm:ss"), F.lit(" GMT")),
             F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+            F.concat(F.lit("Tue, "), F.date_format("ts", "dd MMM yy HH:mm:ss"), F.lit(" GMT")),
+            F.date_format("ts", "d MMMM yyyy HH:mm:ss"),
+            F.concat(F.lit("Sunday, "), F.date_format("ts", "dd-MMM-yy HH:mm:ss"), F.lit(" GMT")),
+            F.concat(F.lit("Fri "), F.date_format("ts", "MMM d HH:mm:ss yyyy")),
+            F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
             F.lit("yesterday"),
         ),
-        (F.col("event_id") % 4 + 1).cast("int"),
+        (F.col("event_id") % 9 + 1).cast("int"),
     )
     return t.events().select("event_id", times.feed_date(form).cast("timestamp_ntz").alias("stamp"))
 
@@ -901,7 +906,8 @@ def dead_letters(t):
     failed = t.events().filter("event_type = 'error'").select(
         F.col("user_id").cast("string").alias("article_id"),
         F.lit("events").alias("classification"),
-        F.lit("boom").alias("error"),
+        F.concat(F.lit("boom "), F.col("event_id") % 3).alias("error"),
+        F.col("event_id").alias("batch_id"),
     )
     return c.dead_letters(failed, 5)
 

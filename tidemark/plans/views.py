@@ -92,30 +92,41 @@ class QueryError(ValueError):
     """A panel query that cannot be answered."""
 
 
+def _bounds(r: Range | None, t: Tables, as_of: dt.datetime) -> tuple[str, str]:
+    """The range's bounds, refused here if they are no times: a panel that fails only when it is
+    read would fail a view that reads its panels together."""
+    bounds = resolve_range(r, as_of)
+    for text in filter(None, bounds):
+        read = t.metrics.sparkSession.sql("SELECT try_cast(:bound AS TIMESTAMP) AS time", {"bound": text})
+        if read.first()["time"] is None:
+            raise QueryError(f"no time can be read from {text!r}")
+    return bounds
+
+
 def _heatmap(q: Query, t: Tables, as_of: dt.datetime) -> DataFrame:
-    start, end = resolve_range(q.range, as_of)
+    start, end = _bounds(q.range, t, as_of)
     return m.heatmap(t.metrics, q.classification, label=q.label, start=start, end=end)
 
 
 def _treemap(q: Query, t: Tables, as_of: dt.datetime) -> DataFrame:
-    start, end = resolve_range(q.range, as_of)
+    start, end = _bounds(q.range, t, as_of)
     return m.treemap(
         t.metrics, q.classification, category=q.attribute, cutoff=q.cutoff, start=start, end=end
     )
 
 
-def _point_options(q: Query, as_of: dt.datetime) -> dict:
-    start, end = resolve_range(q.range, as_of)
+def _point_options(q: Query, t: Tables, as_of: dt.datetime) -> dict:
+    start, end = _bounds(q.range, t, as_of)
     return {"category": q.attribute, "labels": q.labels, "cutoff": q.cutoff, "start": start, "end": end}
 
 
 def _scatter(q: Query, t: Tables, as_of: dt.datetime) -> DataFrame:
-    return points.scatter_points(t.metrics, t.articles, q.classification, **_point_options(q, as_of))
+    return points.scatter_points(t.metrics, t.articles, q.classification, **_point_options(q, t, as_of))
 
 
 def _scatter3d(q: Query, t: Tables, as_of: dt.datetime) -> DataFrame:
     return points.scatter3d_points(
-        t.metrics, t.articles, t.label_axis, q.classification, **_point_options(q, as_of)
+        t.metrics, t.articles, t.label_axis, q.classification, **_point_options(q, t, as_of)
     )
 
 
@@ -129,24 +140,24 @@ def _list(q: Query, t: Tables, as_of: dt.datetime) -> DataFrame:
         return rates.sources_scan(t.sources)
     if q.variant in ("article", ""):
         return rates.recent_articles(t.articles)
-    raise QueryError(f"unknown list variant {q.variant!r}")
+    raise QueryError(f"no such list: {q.variant!r}")
 
 
 def _stats(q: Query, t: Tables, as_of: dt.datetime) -> DataFrame:
     if q.target not in ("classification_count", ""):
-        raise QueryError(f"unknown stats target {q.target!r}")
-    return m.classification_count(t.classifications, q.classification, *resolve_range(q.range, as_of))
+        raise QueryError(f"no such number: {q.target!r}")
+    return m.classification_count(t.classifications, q.classification, *_bounds(q.range, t, as_of))
 
 
 def _quadrant(q: Query, t: Tables, as_of: dt.datetime) -> DataFrame:
     if q.range_b is None:
-        raise QueryError("quadrant query requires range_b")
-    periods = resolve_range(q.range, as_of), resolve_range(q.range_b, as_of)
+        raise QueryError("a quadrant compares two ranges; the second is missing")
+    periods = _bounds(q.range, t, as_of), _bounds(q.range_b, t, as_of)
     return m.quadrant(t.metrics, q.classification, q.label, *periods)
 
 
 def _unbuilt(q: Query, t: Tables, as_of: dt.datetime) -> DataFrame:
-    raise QueryError(f"viz kind {q.kind!r} not yet implemented")
+    raise QueryError(f"panels of kind {q.kind!r} cannot be drawn")
 
 
 PANELS: dict[str, Callable[[Query, Tables, dt.datetime], DataFrame]] = {
@@ -167,7 +178,7 @@ _DEFAULT_VARIANT = {"spark": "line", "list": "article"}
 
 def run_query(q: Query, tables: Tables, as_of: dt.datetime) -> DataFrame:
     if q.kind not in PANELS:
-        raise QueryError(f"unknown viz kind {q.kind!r}")
+        raise QueryError(f"no such panel kind: {q.kind!r}")
     return PANELS[q.kind](q, tables, as_of)
 
 

@@ -76,7 +76,7 @@ def response_articles(payloads: DataFrame, as_of: dt.datetime) -> DataFrame:
 def response_errors(payloads: DataFrame) -> DataFrame:
     """Responses no article could be read from, and why."""
     error = (
-        F.when(F.col("paths").isNull(), "extract not configured")
+        F.when(F.col("paths").isNull(), "source names no paths to read")
         .when(F.col("value").isNull(), "body is not json")
         .when(F.col("items").isNull(), "items path does not lead to an array")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import hmac_sha256, with_hmac_keys
@@ -18,6 +18,11 @@ def normal_path(path: Column) -> Column:
     return F.regexp_replace(path, r"\A/", "")
 
 
+def delivered_path(path: Column) -> Column:
+    """The route of a delivery, which may carry the prefix that all webhooks are served under."""
+    return F.regexp_replace(normal_path(path), r"\Awebhooks/", "")
+
+
 def webhook_url(path: Column) -> Column:
     """The url a webhook source is known by when it has none of its own."""
     return F.concat(F.lit("webhook://"), path)
@@ -37,7 +42,10 @@ def routes(sources: DataFrame, path: Column | None = None) -> DataFrame:
         F.when(signed, F.lower(header)).alias("signature_header"),
         F.when(signed, F.coalesce("auth.secret", F.lit(""))).alias("secret"),
     )
-    return with_hmac_keys(listed, F.col("secret"), "inner_key", "outer_key").drop("secret")
+    # One source per route: of several on one path, the one whose id comes last.
+    latest = Window.partitionBy("route").orderBy(F.desc("source_id"))
+    single = listed.withColumn("_rank", F.row_number().over(latest)).filter("_rank = 1").drop("_rank")
+    return with_hmac_keys(single, F.col("secret"), "inner_key", "outer_key").drop("secret")
 
 
 def header_value(headers: Column, name: Column) -> Column:
@@ -49,7 +57,7 @@ def header_value(headers: Column, name: Column) -> Column:
 def judge_deliveries(events: DataFrame, routing: DataFrame) -> DataFrame:
     """Deliveries (path, headers, body) with their source and a ``status``: 202 accepted,
     404 no such route, 401 signature missing, 403 signature wrong, 400 unusable body."""
-    routed = events.drop("source_id").withColumn("route", normal_path(F.col("path"))).join(
+    routed = events.drop("source_id").withColumn("route", delivered_path(F.col("path"))).join(
         routing, "route", "left"
     )
     given = F.coalesce(header_value(F.col("headers"), F.col("signature_header")), F.lit(""))

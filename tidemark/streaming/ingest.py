@@ -14,12 +14,11 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schemas
 from ..operators.classify import LexicalScorer, Scorer, Wanted, classify, classify_with, dead_letters, split_failures
 from ..operators.filters import Filter, apply_filters
-from ..operators.lookup import bounded
 from ..operators.merge import new_articles
 from ..operators.rates import sources_scan, unprocessed
 from ..sources import feeds, json_api, webhooks
 from ..specs import InferenceSpec
-from .store import Store
+from .store import BATCHES_PER_RUN, Store
 
 Driver = Callable[[DataFrame, DataFrame, dt.datetime], DataFrame]
 
@@ -31,7 +30,6 @@ def _rss(payloads: DataFrame, sources: DataFrame, as_of: dt.datetime) -> DataFra
         F.coalesce(F.get_json_object("spec", "$.limit").try_cast("int"), F.lit(0)).alias("limit"),
         F.col("spec").isNotNull().alias("has_spec"),
     )
-    options = bounded(options)
     items = feeds.limit_items(feeds.feed_items(payloads), options.select("source_id", "limit"))
     # A spec that names no target asks for nothing; only a missing spec means description.
     target = F.when(F.col("has_spec"), F.coalesce("target", F.lit("")))
@@ -39,11 +37,11 @@ def _rss(payloads: DataFrame, sources: DataFrame, as_of: dt.datetime) -> DataFra
 
 
 def _http(payloads: DataFrame, sources: DataFrame, as_of: dt.datetime) -> DataFrame:
-    return json_api.response_articles(json_api.with_extract(payloads, bounded(sources)), as_of)
+    return json_api.response_articles(json_api.with_extract(payloads, sources), as_of)
 
 
 def _webhook(payloads: DataFrame, sources: DataFrame, as_of: dt.datetime) -> DataFrame:
-    judged = webhooks.judge_deliveries(payloads, bounded(webhooks.routes(sources)))
+    judged = webhooks.judge_deliveries(payloads, webhooks.routes(sources))
     return webhooks.delivery_articles(judged, as_of)
 
 
@@ -62,7 +60,7 @@ def with_source_url(articles: DataFrame, sources: DataFrame) -> DataFrame:
     active = sources_scan(sources, active_only=True).select(
         F.col("id").alias("source_id"), F.col("url").alias("source_url")
     )
-    return articles.join(bounded(active), "source_id", "left")
+    return articles.join(active, "source_id", "left")
 
 
 def attach_source(articles: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -134,7 +132,7 @@ class Pipeline:
         failed = (
             failures.select("article_id")
             .distinct()
-            .join(self.store.processed().filter(before), "article_id", "left_anti")
+            .join(self.store.processed().filter(F.col("batch_id") != batch_id), "article_id", "left_anti")
             .join(self._given_up(failures), "article_id", "left_anti")
             .select(F.col("article_id").alias("id"))
         )
@@ -156,7 +154,9 @@ class Pipeline:
         self.classify(self._fresh(batch_id) if native else self.pending(batch_id), batch_id)
 
     def drain(self, batch_id: int) -> None:
-        """Classify everything stored and not yet processed, in one distributed pass."""
+        """Classify everything stored and not yet processed, in one distributed pass. Drains are
+        numbered apart from the batches of streams, so none overwrites what a stream has stored."""
+        batch_id += self.store.first_batch("drain") + BATCHES_PER_RUN // 2
         dead = self._given_up(self.store.failures())
         left = unprocessed(self.store.articles(), self.store.processed(), dead=dead).select("id")
         articles = self.store.articles().drop("batch_id").join(left, "id", "left_semi")
