@@ -208,6 +208,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, leaf: int = LEAF) -
 
     for turn in range(1, ROUNDS + 1):
         joined = components(links).withColumnRenamed("id", "point")
+        links = joined.toDF("a", "b")  # says the same in fewer steps to follow
         live = live.drop("component", "size", "of_pivot").join(joined, "point", "left").withColumn("component", F.coalesce("component", "point"))
         # Regions within one component are done.
         several = live.groupBy("shingle").agg(
