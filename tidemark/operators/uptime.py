@@ -129,8 +129,9 @@ def _exact_sum(micros: Column) -> Column:
     return F.sum(micros.cast("decimal(20,0)"))
 
 
-def uptime_total(intervals: DataFrame, start: dt.datetime, end: dt.datetime) -> DataFrame:
-    """One row (uptime): covered share of [start, end], within 0 and 1."""
+def uptime_total(intervals: DataFrame, start: dt.datetime, end: dt.datetime, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (uptime): covered share of [start, end], within 0 and 1. With ``by``, one row for
+    each of its values that has an interval in the range."""
     lo, hi = epoch_micros(start), epoch_micros(end)
     if lo == hi:
         raise ValueError("uptime range is empty")
@@ -140,7 +141,7 @@ def uptime_total(intervals: DataFrame, start: dt.datetime, end: dt.datetime) ->
     ) / F.lit(float(hi - lo))
     return intervals.filter(
         (F.col("recent") > timestamp_literal(start)) & (F.col("start") < timestamp_literal(end))
-    ).agg(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)).alias("uptime"))
+    ).groupBy(*by).agg(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)).alias("uptime"))
 
 
 def uptime_segments(intervals: DataFrame, fmt: str, as_of: dt.datetime) -> DataFrame:

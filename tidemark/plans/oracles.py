@@ -222,6 +222,12 @@ SQL["uptime_total"] = f"""WITH {ISLANDS}
       / (10 * 86400 * 1e6), 1), 0), 6) AS uptime
   FROM u WHERE service = 'purchase' AND recent > TIMESTAMP '2024-01-05' AND start < TIMESTAMP '2024-01-15'"""
 
+SQL["uptime_total_by_service"] = f"""WITH {ISLANDS}
+  SELECT service, round(greatest(least(sum(
+      epoch_us(least(recent, TIMESTAMP '2024-01-15')) - epoch_us(greatest(start, TIMESTAMP '2024-01-05')))
+      / (10 * 86400 * 1e6), 1), 0), 6) AS uptime
+  FROM u WHERE recent > TIMESTAMP '2024-01-05' AND start < TIMESTAMP '2024-01-15' GROUP BY service"""
+
 
 def segments(step_seconds: int, buckets: int) -> str:
     return f"""WITH {ISLANDS}, g AS (

@@ -288,6 +288,12 @@ def uptime_total(t):
     )
 
 
+@query
+def uptime_total_by_service(t):
+    total = uptime.uptime_total(_intervals(t), dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 15), ("service",))
+    return rounded(total, "uptime")
+
+
 def _segments(t, fmt):
     rows = uptime.uptime_segments(_intervals(t), fmt, AS_OF)
     return rounded(rows.select("index", plain("bucket_start"), "percent"), "percent")
