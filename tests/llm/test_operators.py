@@ -289,6 +289,22 @@ def test_urls(spark):
     assert found == sorted([(1, "", "", None, "allow"), (2, "", "", None, "allow"), (3, "a.com", "", None, "allow"), (4, "x.net", "/es/1", "net/es/", "block"), (5, "www.example.com", "/en/x", "www.example.com/en/", "allow"), *[(6, "q.org", "/wp-login.php", None, "block")] * 2], key=str)
 
 
+def test_url_branches(spark, monkeypatch):
+    """Each branch of each pattern blocks, whether or not rules are fetched by an index."""
+    session = "0123456789abcdef0"
+    blocked = [
+        "?replytocom=7", f"?phpsessid={session}", f"?a=1&PHPSESSID={session}", f"?sessionid={session}", f"?a=1&SessionId={session}",
+        "wp-login.php", "wp-admin/", "cart/add", "cart/remove?x", "user/login", "user/logout",
+    ]
+    allowed = ["?replytocom=x", "?sessionid=short", f"?xsessionid={session}", f"phpsessid/{session}", "wp-content", "cart/added", "user/log"]
+    urls = [f"https://a.org/{x}" for x in blocked + allowed]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    by_index = {r.page_id: r.verdict for r in url_filter.judge(df).collect()}
+    assert by_index == {i: "block" if i < len(blocked) else "allow" for i in range(len(urls))}
+    monkeypatch.setattr(url_filter, "filed", lambda rules, counts: {"": list(rules)} if rules else {})
+    assert {r.page_id: r.verdict for r in url_filter.judge(df).collect()} == by_index
+
+
 def test_lines(spark):
     pages = [(i, "s", f"menu\nown {i}\n\nmenu ") for i in range(6)] + [(9, None, None), (10, "t", "menu"), (11, "t", "")]
     df = spark.createDataFrame(pages, "page_id long, site string, text string").withColumn("count", F.lit(1))

@@ -3,7 +3,7 @@
 A rule names an action and either a host with a path, which fits the host, its subdomains and
 paths that start with the rule's, or a regular expression over the whole url. Each rule is filed
 under one literal token: of those it must contain, the one that the fewest urls hold, counted
-over all urls. A url's tokens fetch the rules filed under them, and only those run their
+over all urls. An expression with branches that share no token is filed once for each. A url's tokens fetch the rules filed under them, and only those run their
 expression. Of the host rules that fit, the longest decides; else an expression that fits
 blocks; else the url is allowed.
 
@@ -49,10 +49,14 @@ class HostRule:
 
 @dataclass(frozen=True)
 class UrlPattern:
-    """An expression over the lower-cased url, and the literal tokens each fitting url holds."""
+    """An expression over the lower-cased url, and the literal tokens each fitting url holds.
+
+    Where it has branches that hold other tokens, ``others`` has those of each further branch.
+    """
 
     pattern: str
     tokens: list[str]
+    others: tuple[list[str], ...] = ()
 
 
 # The contract's host rules.
@@ -66,7 +70,7 @@ HOST_RULES = [
 # Pages that hold no text of their own.
 PATTERNS = [
     UrlPattern(r"[?&]replytocom=\d+", ["replytocom"]),
-    UrlPattern(r"[?&](?:phpsessid|sessionid)=[a-z0-9]{16,}", ["phpsessid"]),
+    UrlPattern(r"[?&](?:phpsessid|sessionid)=[a-z0-9]{16,}", ["phpsessid"], (["sessionid"],)),
     UrlPattern(r"/wp-(?:login|admin)\b", ["wp"]),
     UrlPattern(r"/cart/(?:add|remove)\b", ["cart"]),
     UrlPattern(r"/user/log(?:in|out)\b", ["user"]),
@@ -93,14 +97,20 @@ def token_counts(pages: DataFrame, tokens: list[str]) -> dict[str, int]:
 
 
 def filed(rules: list, counts: dict[str, int]) -> dict[str, list]:
-    """Rules by their rarest token; those without a token are filed under ''."""
+    """Rules by the rarest token of each of their branches; those without a token are filed under ''."""
     index: dict[str, list] = {}
     for rule in rules:
-        key = min(sorted(set(rule.tokens)), key=lambda t: counts.get(t, 0), default="")
-        index.setdefault(key, []).append(rule)
+        for tokens in _branches(rule):
+            key = min(sorted(set(tokens)), key=lambda t: counts.get(t, 0), default="")
+            if rule not in index.setdefault(key, []):
+                index[key].append(rule)
     return index
 
 
+def _branches(rule: HostRule | UrlPattern) -> list[list[str]]:
+    return [rule.tokens, *getattr(rule, "others", ())]
+
+
 def judge(pages: DataFrame, hosts: list[HostRule] | None = None, patterns: list[UrlPattern] | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of pages (page_id, url).
 
@@ -111,7 +121,7 @@ def judge(pages: DataFrame, hosts: list[HostRule] | None = None, patterns: list[
     patterns = PATTERNS if patterns is None else patterns
     # Expressions of the same name with different actions: the first listed stays.
     hosts = list({r.name: r for r in reversed(hosts)}.values())[::-1]
-    counts = token_counts(pages, [t for r in [*hosts, *patterns] for t in r.tokens])
+    counts = token_counts(pages, [t for r in [*hosts, *patterns] for b in _branches(r) for t in b])
 
     def candidates(rules: list, row) -> Column:
         """Rules under the url's tokens, as an array of structs."""
