@@ -131,6 +131,32 @@ def test_suffix_dedup(spark, texts, monkeypatch, crowded):
     assert {d: tuple(r)[1:] for d, r in found.items()} == removed_by_hand(texts)
 
 
+@pytest.mark.parametrize("crowded", [suffix_dedup.CROWDED, 0])
+def test_suffix_dedup_texts_of_one_id(spark, monkeypatch, crowded):
+    """Different texts of an id are cut by their own windows, in order of id and offset."""
+    monkeypatch.setattr(suffix_dedup, "CROWDED", crowded)
+    rng = np.random.default_rng(6)
+    letters = np.array(list("abcdefghij klmnop"))
+    a, b, c = ("".join(rng.choice(letters, n)) for n in (500, 150, 300))
+    data = [
+        (3, a), (3, b), (3, a), (5, b + c), (5, c), (5, a[:200] + c[:150]), (7, a[100:400] + b), (9, "x" * 40 + c), (9, c[:120]),
+        (4, a[:120]), (4, b[:130] + "!" * 30), (2, b[20:140]), (6, "short"), (6, c),
+    ]
+    first, out = {}, []
+    for d, text in data:
+        for p in range(len(text) - 99):
+            first[text[p : p + 100]] = min(first.get(text[p : p + 100], (d, p)), (d, p))
+    for d, text in data:
+        gone = np.zeros(len(text), bool)
+        for p in range(len(text) - 99):
+            if first[text[p : p + 100]] != (d, p):
+                gone[p : p + 100] = True
+        left = "".join(x for x, g in zip(text, gone, strict=True) if not g)
+        out.append((d, len(text), int(gone.sum()), int((np.diff(np.concatenate(([0], gone))) > 0).sum()), hashlib.sha256(left.encode()).hexdigest()))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert sorted(map(tuple, suffix_dedup.dedup(df).collect())) == sorted(out)
+
+
 def test_suffix_order():
     rng = np.random.default_rng(1)
     for turn in range(300):

@@ -11,7 +11,8 @@ of each run of equals the earliest stays. Anchors with very many different surro
 windows are grouped by 128-bit hash instead, with minima taken before the shuffle.
 
 Null and empty texts have no bytes; texts shorter than a window lose nothing. Rows without an id are compared
-with nothing. Rows that share an id stand at the same place, none before the other. Long texts are
+with nothing. Rows that share an id stand at the same place: of equal windows at one offset none is before the
+other. Different texts of an id are numbered, so that each is cut by its own windows. Long texts are
 whole. Empty tables give empty results. Extra columns are not returned.
 """
 
@@ -64,21 +65,31 @@ def anchors(raw: np.ndarray, bounds: np.ndarray, window: int = WINDOW, gram: int
     return row[new], at, low, high, hashes[at], around
 
 
-def _positions(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(place, text) with a number in order of ids, and the bits that a byte's offset needs beside it."""
+def _positions(docs: DataFrame) -> tuple[DataFrame, int, bool]:
+    """(place, twin, text) with a number in order of ids, one that tells apart different texts of
+    an id (0 where it has one), the bits that a byte's offset needs beside the place, and whether there are such ids."""
     known = docs.where("doc_id is not null")
-    least, most, longest = known.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text"))).first()
+    per_id = known.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("h0"), F.max(F.xxhash64("text")).alias("h1"), F.max(F.octet_length("text")).alias("size"))
+    least, most, longest, several = per_id.agg(F.min("doc_id"), F.max("doc_id"), F.max("size"), F.max(F.col("h0") != F.col("h1"))).first()
+    if several:
+        known = known.withColumn("print", F.sha2("text", 256))
+        texts = known.join(per_id.where("h0 <> h1"), "doc_id", "left_semi").select("doc_id", "print").distinct()
+        twins = texts.orderBy("doc_id", "print").rdd.map(tuple).zipWithIndex().map(lambda r: (*r[0], r[1] + 1))
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        known = known.join(materialize(twins.toDF(f"doc_id {kind}, print string, twin long")), ["doc_id", "print"], "left").drop("print")
+    known = known.withColumn("twin", F.coalesce("twin", F.lit(0)).cast("long") if several else F.lit(0).cast("long"))
     bits = max(8, (longest or 0).bit_length())
     if least is None or (most - least).bit_length() + bits <= 62:
-        return known.withColumn("place", F.col("doc_id") - F.lit(least or 0)), bits
+        return known.withColumn("place", F.col("doc_id") - F.lit(least or 0)), bits, bool(several)
     ids = known.select("doc_id").distinct().orderBy("doc_id").rdd.map(lambda r: r[0]).zipWithIndex()
-    return known.join(ids.toDF("doc_id long, place long"), "doc_id"), bits
+    return known.join(ids.toDF("doc_id long, place long"), "doc_id"), bits, bool(several)
 
 
 def anchor_rows(placed: DataFrame, bits: int) -> DataFrame:
-    """(gram, around, at, sides): at holds place and offset of the anchor, sides its windows' extent.
+    """(gram, around, at, sides): at holds place and offset of the anchor, sides its windows' extent
+    in 16 bits and, above them, the twin.
 
-    Surroundings that repeat within a slice are sent once, with their first place.
+    Surroundings that repeat within a slice are sent once, with their first place; once for each twin there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,13 +97,26 @@ def anchor_rows(placed: DataFrame, bits: int) -> DataFrame:
             raw, bounds = text_buffer(batch.column("text"))
             row, at, low, high, gram, around = anchors(raw, bounds)
             place = batch.column("place").to_numpy()[row] << bits | (at - bounds[row])
-            order = np.lexsort((place, around))
-            first = order[np.concatenate(([True], np.diff(around[order]) != 0))] if len(order) else order
-            sides = ((at - low) << 8 | (high - at + WINDOW))[first]
-            out = [pa.array(gram[first].view(np.int64)), pa.array(around[first].view(np.int64)), pa.array(place[first]), pa.array(sides.astype(np.int32))]
+            twin = batch.column("twin").to_numpy()[row]
+            order = np.lexsort((twin, place, around))
+            first = order
+            if len(order):
+                a, p, t = around[order], place[order], twin[order]
+                new = np.concatenate(([True], a[1:] != a[:-1]))
+                least = p[np.flatnonzero(new)][np.cumsum(new) - 1]
+                new[1:] |= (p[1:] == least[1:]) & (t[1:] != t[:-1])
+                first = order[new]
+            sides = (twin << 16 | (at - low) << 8 | (high - at + WINDOW))[first]
+            out = [pa.array(gram[first].view(np.int64)), pa.array(around[first].view(np.int64)), pa.array(place[first]), pa.array(sides)]
             yield pa.RecordBatch.from_arrays(out, names=["gram", "around", "at", "sides"])
 
-    return placed.select("place", "text").mapInArrow(run, "gram long, around long, at long, sides int")
+    return placed.select("place", "twin", "text").mapInArrow(run, "gram long, around long, at long, sides long")
+
+
+def _first(rows: DataFrame, keys: list[str], twin: str) -> DataFrame:
+    """Of rows with equal keys, those of the least ``at``: one for each twin."""
+    least = F.min("at").over(Window.partitionBy(*keys))
+    return rows.groupBy(*keys, twin).agg(F.min("at").alias("at")).withColumn("least", least).where("at = least").drop("least")
 
 
 def suffix_order(s: np.ndarray, need: int) -> np.ndarray:
@@ -187,24 +211,25 @@ def earliest(text: np.ndarray, starts: np.ndarray, at: np.ndarray, window: int =
     return kept[starts]
 
 
-def _pieces(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text of all pieces, and each window's start in it and place in the corpus."""
+def _pieces(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Text of all pieces, and each window's start in it, place in the corpus and twin."""
     raw, bounds = text_buffer(batch.column("piece"))
     at, sides = batch.column("at").to_numpy(), batch.column("sides").to_numpy()
     count = np.diff(bounds) - WINDOW + 1
     inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return raw, np.repeat(bounds[:-1], count) + inner, np.repeat(at - (sides >> 8), count) + inner
+    return raw, np.repeat(bounds[:-1], count) + inner, np.repeat(at - (sides >> 8), count) + inner, np.repeat(batch.column("twin").to_numpy(), count)
 
 
 def sorted_windows(pieces: DataFrame) -> DataFrame:
-    """(start): windows that stay, of pieces partitioned and sorted by anchor."""
+    """(start, twin): windows that stay, of pieces partitioned and sorted by anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def decide(part: pa.RecordBatch) -> pa.RecordBatch:
-            text, starts, at = _pieces(part)
-            return pa.RecordBatch.from_arrays([pa.array(at[earliest(text, starts, at)])], names=["start"])
+            text, starts, at, twin = _pieces(part)
+            stay = earliest(text, starts, at)
+            return pa.RecordBatch.from_arrays([pa.array(at[stay]), pa.array(twin[stay])], names=["start", "twin"])
 
         for batch in batches:
             held.append(batch)
@@ -219,24 +244,28 @@ def sorted_windows(pieces: DataFrame) -> DataFrame:
         if held and sum(b.num_rows for b in held):
             yield decide(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
-    return pieces.select("gram", "at", "sides", "piece").mapInArrow(run, "start long")
+    return pieces.select("gram", "at", "sides", "twin", "piece").mapInArrow(run, "start long, twin long")
 
 
-def hashed_windows(pieces: DataFrame) -> DataFrame:
-    """(start): windows that stay, for anchors with very many surroundings."""
+def hashed_windows(pieces: DataFrame, twins: bool) -> DataFrame:
+    """(start, twin): windows that stay, for anchors with very many surroundings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "piece", _CHUNK):
-            text, starts, at = _pieces(batch)
+            text, starts, at, twin = _pieces(batch)
             values = np.zeros((2, len(text) + 1), np.uint64)
             out = []
             for k, value in enumerate((_BYTE_VALUE[text], mix(_BYTE_VALUE[text]))):
                 np.cumsum(value * powers(len(text)), out=values[k, 1:])
                 out.append(mix((values[k, starts + WINDOW] - values[k, starts]) * powers(len(text), _BASE_INVERSE)[starts]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(at)], names=["h1", "h2", "at"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(at), pa.array(twin)], names=["h1", "h2", "at", "twin"])
 
-    hashed = pieces.select("at", "sides", "piece").mapInArrow(run, "h1 long, h2 long, at long")
-    return hashed.groupBy("h1", "h2").agg(F.min("at").alias("start")).select("start")
+    hashed = pieces.select("at", "sides", "twin", "piece").mapInArrow(run, "h1 long, h2 long, at long, twin long")
+    if twins:
+        first = _first(hashed, ["h1", "h2"], "twin")
+    else:
+        first = hashed.groupBy("h1", "h2").agg(F.min("at").alias("at")).withColumn("twin", F.lit(0).cast("long"))
+    return first.select(F.col("at").alias("start"), "twin")
 
 
 def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,21 +307,24 @@ def _result(place: list, texts: list[bytes], kept: list) -> list[pa.Array]:
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    placed, bits = _positions(docs)
+    placed, bits, twins = _positions(docs)
     low = (1 << bits) - 1
     found = anchor_rows(placed, bits).repartition("gram")
-    first = found.groupBy("gram", "around").agg(F.min("at").alias("at"), F.max("sides").alias("sides"))
+    if twins:
+        first = _first(found, ["gram", "around"], "sides")
+    else:
+        first = found.groupBy("gram", "around").agg(F.min("at").alias("at"), F.max("sides").alias("sides"))
     shared = first.withColumn("others", F.count(F.lit(1)).over(Window.partitionBy("gram")).cast("int"))
     # Per document: where windows stay, and the anchors whose windows are to be compared.
-    place = F.shiftright("at", bits).alias("place")
-    entry = F.struct(F.col("at").bitwiseAND(low).cast("int").alias("at"), F.col("sides"), F.when(F.col("others") > 1, F.col("gram")).alias("gram"), F.when(F.col("others") > CROWDED, True).alias("crowded"))
-    per_doc = shared.groupBy(place).agg(F.collect_list(entry).alias("anchors"))
-    joined = placed.select("doc_id", "place", "text").join(per_doc, "place", "left")
+    place, twin = F.shiftright("at", bits).alias("place"), F.shiftright("sides", 16).alias("twin")
+    entry = F.struct(F.col("at").bitwiseAND(low).cast("int").alias("at"), F.col("sides").bitwiseAND(0xFFFF).cast("int").alias("sides"), F.when(F.col("others") > 1, F.col("gram")).alias("gram"), F.when(F.col("others") > CROWDED, True).alias("crowded"))
+    per_doc = shared.groupBy(place, twin).agg(F.collect_list(entry).alias("anchors"))
+    joined = placed.select("doc_id", "place", "twin", "text").join(per_doc, ["place", "twin"], "left")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.name for f in open_schema]
         for batch in slices(batches, "text", _CHUNK):
-            doc_id, place, text, lists = (batch.column(c) for c in ("doc_id", "place", "text", "anchors"))
+            doc_id, place, twin, text, lists = (batch.column(c) for c in ("doc_id", "place", "twin", "text", "anchors"))
             texts = [t.encode() for t in text.to_pylist()]
             items, bounds = lists.flatten(), np.concatenate(([0], np.cumsum(np.where(lists.is_null().to_numpy(False), 0, lists.value_lengths().fill_null(0).to_numpy(False))))).astype(np.int64)
             at, sides, gram = items.field("at").to_numpy(False).astype(np.int64), items.field("sides").to_numpy(False).astype(np.int64), items.field("gram")
@@ -307,7 +339,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             wait = np.flatnonzero(has_open)
             flat = [pa.array([list(x) for x in zip(*kept[i], strict=True)] if kept[i] else [[], []], pa.list_(pa.int32())) for i in wait]
             yield _filled(names, open_schema, len(wait), {
-                "doc_id": doc_id.take(pa.array(wait)), "place": place.take(pa.array(wait)), "text": text.take(pa.array(wait)),
+                "doc_id": doc_id.take(pa.array(wait)), "place": place.take(pa.array(wait)), "twin": twin.take(pa.array(wait)), "text": text.take(pa.array(wait)),
                 "first": pa.array([f[0].as_py() for f in flat], pa.list_(pa.int32())), "count": pa.array([f[1].as_py() for f in flat], pa.list_(pa.int32())),
             })
             owner = np.searchsorted(bounds, np.flatnonzero(open_), side="right") - 1
@@ -315,21 +347,21 @@ def dedup(docs: DataFrame) -> DataFrame:
             where = place.to_numpy()[owner] << bits | at[pick]
             pieces = [texts[r][a : a + n + WINDOW - 1] for r, a, n in zip(owner, start[pick], count[pick], strict=True)]
             yield _filled(names, open_schema, len(pick), {
-                "gram": gram.take(pa.array(pick)), "at": pa.array(where, pa.int64()), "sides": pa.array(sides[pick].astype(np.int32)),
+                "gram": gram.take(pa.array(pick)), "at": pa.array(where, pa.int64()), "sides": pa.array(sides[pick].astype(np.int32)), "twin": twin.take(pa.array(owner)),
                 "piece": pa.array(pieces, pa.binary()), "crowded": pa.array(crowded[pick]),
             })
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    open_ddl = f"doc_id {kind}, {_RESULT}, text string, first array<int>, count array<int>, gram long, at long, sides int, piece binary, crowded boolean"
+    open_ddl = f"doc_id {kind}, {_RESULT}, twin long, text string, first array<int>, count array<int>, gram long, at long, sides int, piece binary, crowded boolean"
     open_schema = _arrow_fields(docs.sparkSession, open_ddl)
     stepped = materialize(joined.mapInArrow(split, open_ddl))
     results = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     done = stepped.where("kept_sha256 is not null").select(results)
     pieces = stepped.where("piece is not null")
-    quiet = pieces.where("not crowded").select("gram", "at", "sides", "piece").repartition("gram").sortWithinPartitions("gram")
-    stay = sorted_windows(quiet).union(hashed_windows(pieces.where("crowded")))
-    stay = stay.groupBy(F.shiftright("start", bits).alias("place")).agg(F.collect_list(F.col("start").bitwiseAND(low).cast("int")).alias("starts"))
-    waiting = stepped.where("text is not null").select("doc_id", "place", "text", "first", "count").join(stay, "place", "left")
+    quiet = pieces.where("not crowded").select("gram", "at", "sides", "twin", "piece").repartition("gram").sortWithinPartitions("gram")
+    stay = sorted_windows(quiet).union(hashed_windows(pieces.where("crowded"), twins))
+    stay = stay.groupBy(F.shiftright("start", bits).alias("place"), "twin").agg(F.collect_list(F.col("start").bitwiseAND(low).cast("int")).alias("starts"))
+    waiting = stepped.where("text is not null").select("doc_id", "place", "twin", "text", "first", "count").join(stay, ["place", "twin"], "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", _CHUNK):
