@@ -309,6 +309,18 @@ def test_jaccard_regions_split(spark):
     assert {d: r.component_id for d, r in found.items()} == label
 
 
+def test_one_of_each_repeated_ids(spark):
+    """A kept id keeps one row, of repeats and of different texts; rows without an id all stay."""
+    line = "the same ten words stand here once more for all"
+    other = "quite another text that is near to nothing else at all here"
+    data = [(1, line, 1), (1, line, 1), (1, line, 2), (2, line, 1), (3, other, 1), (3, "short words only in this one", 1), (3, " ", 1), (4, None, 1), (4, None, 1), (5, " " * 90, 1), (5, line, 1), (6, " " * 90, 1), (6, "a b", 1), (None, line, 1), (None, line, 1)]
+    df = spark.createDataFrame(data, "doc_id long, text string, n_chars long")
+    found = jaccard_join.one_of_each(df)
+    assert found.columns == df.columns
+    kept = [(r.doc_id, r.text) for r in found.collect()]
+    assert sorted(kept, key=str) == sorted([(1, line), (3, other), (4, None), (6, "a b"), (None, line), (None, line)], key=str)
+
+
 def test_urls(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "no scheme", 0), (3, "http://A.Com", 0), (4, "http://x.net/es/1?q", 0), (5, "http://www.example.com/en/x#y", 0), (6, "https://q.org/wp-login.php", 0), (6, "https://q.org/wp-login.php", 0)], "page_id long, url string, host int")
     found = sorted(map(tuple, url_filter.judge(df).collect()), key=str)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, materialize, mix, slices, text_buffer, word_hashes
+from tidemark.llm.common import WORD, components, materialize, mix, slices, text_buffer, word_hashes
 
 ROUNDS = 3  # of splits, before what the windows leave is compared
 PIVOTS = 16  # of a region in a split
@@ -253,8 +253,14 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, leaf: int = LEAF) -
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group; a row once where rows repeat one id."""
+    """The rows of ``docs`` whose id is the smallest of its group; a row once where rows repeat one id.
+
+    Of different texts of an id, which are of one group, the longest stays. Rows without an id all stay.
+    """
     found = join(docs, words, percent)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    whole = docs.join(kept, "doc_id", "left_semi")
+    # A blank row of an id is in no group; the id's other rows decide.
+    kept = found.groupBy("doc_id").agg(F.min("component_id").alias("__first")).where("doc_id = __first").select("doc_id")
+    order = [F.regexp_like("text", F.lit(WORD)).desc_nulls_last(), F.octet_length("text").desc_nulls_last(), F.xxhash64(*docs.columns)]
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
+    whole = docs.join(kept, "doc_id", "left_semi").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
     return whole.union(docs.where("doc_id is null").select(whole.columns)).select(docs.columns)
