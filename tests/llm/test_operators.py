@@ -99,6 +99,32 @@ def test_ngram_probabilities(spark):
             assert found[d].score == pytest.approx(expected, abs=1e-9)
 
 
+def test_ngram_hot_contexts(spark, monkeypatch):
+    """No shard gets much more than its share of one repeated text, held out or not; scores stay."""
+    texts = ["zz " * 900, "zz " * 700 + "end", "one of them and one of those " * 40, *(f"a{i} b{i} c{i % 7}" for i in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for trains in (F.col("doc_id") > 0, F.col("doc_id") > 2):
+        whole = rows(ngram_scoring.score(docs, trains), "doc_id")
+        sizes, make = spark.sparkContext.accumulator(0), ngram_scoring._score_shard
+
+        def watched(*given, make=make, sizes=sizes):
+            run = make(*given)
+
+            def counted(frame):
+                n = sum(len(ngram_scoring._unblob(d, [np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.int64, np.uint8])[2]) for d in frame["data"])
+                sizes.add(n > 2 * 400)
+                return run(frame)
+
+            return counted
+
+        with monkeypatch.context() as m:
+            m.setattr(ngram_scoring, "_score_shard", watched)
+            split = rows(ngram_scoring.score(docs, trains, shard_tokens=400), "doc_id")
+        assert sizes.value == 0
+        for d, r in whole.items():
+            assert tuple(split[d])[:4] == tuple(r)[:4] and split[d].score == pytest.approx(r.score, abs=1e-9)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(3)
     for n, top in ((0, 1), (1, 2**60), (70_000, 2**40), (200_000, 250_000)):

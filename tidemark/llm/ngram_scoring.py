@@ -10,8 +10,9 @@ Probabilities pool the counts of all three levels (posterior mean under Dirichle
 p(w | u v) = (A c(uvw) + B c(vw) + M p(w)) / (A c(uv) + B c(v) + M), with add-one p(w). They
 sum to one, and numerator and denominator each are a sum over nodes of one word. So a token
 is sent once, to the shard of its word: there, it counts (if its document trains) and is
-scored. Words with more than a shard's share of the tokens are split by the word before; there are
-at most a few per shard, so their list and counts have a known bound.
+scored. Words with more than a quarter of a shard's tokens, training or not, are split by the word before,
+pairs with more than that by the word before those, and triples with more than that are dealt out evenly.
+There are at most a few of each per shard, so their lists and counts, which go to all shards, have a known bound.
 
 Null and empty texts consist of the end token alone. Rows without an id train and are scored.
 Repeated rows count and are scored each. Empty tables give empty results. Extra columns
@@ -31,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, slices, text_buffer, word_hashes
+from tidemark.llm.common import materialize, mix, slices, text_buffer, word_hashes
 
 A, B, M = 12.0, 3.0, 40.0  # weights of trigram and bigram counts, and of the prior
 SHARD_TOKENS = 1_500_000
@@ -125,10 +126,10 @@ def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Trie:
     """Levels of a shard in one memory-mapped file."""
 
-    def __init__(self, words: np.ndarray, before: np.ndarray, earlier: np.ndarray, times: np.ndarray, counts: dict, prior: callable) -> None:
+    def __init__(self, words: np.ndarray, before: np.ndarray, earlier: np.ndarray, times: np.ndarray, hot: list, prior: callable) -> None:
         """From sorted distinct (word, before, earlier) and how often each occurs.
 
-        ``counts``: the words whose count is spread over shards. ``prior``: count -> M p(w).
+        ``hot``: words, pairs and triples whose count is spread over shards. ``prior``: count -> M p(w).
         """
         new_word = np.concatenate(([True], words[1:] != words[:-1])) if len(words) else np.zeros(0, bool)
         new_pair = new_word | np.concatenate(([True], before[1:] != before[:-1])) if len(words) else new_word
@@ -138,7 +139,8 @@ class Trie:
         c2 = np.add.reduceat(times, pair_at) if len(words) else times
         c1 = np.add.reduceat(times, word_at) if len(words) else times
         unique = words[word_at]
-        c1 = np.array([counts.get(w, c) for w, c in zip(unique.tolist(), c1.tolist(), strict=True)], float) if counts else c1.astype(float)
+        pair, triple = _keys(words, before, earlier)
+        c1, c2, times = _spread(unique, hot[0], c1), _spread(pair[pair_at], hot[1], c2), _spread(triple, hot[2], times)
         base = prior(c1)
         sections = {
             "words": EliasFano.encode(unique),
@@ -209,32 +211,128 @@ def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words, ends, END), np.insert(row, ends, np.arange(batch.num_rows))
 
 
-def word_counts(docs: DataFrame, trains: Column) -> DataFrame:
-    """(word, n): token counts of the training texts, by hash; summed up before the shuffle."""
+def _trigrams(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Tokens, 32 bits of the word before and of the one before that, and the row each is in."""
+    w, row = _tokens(batch)
+    v, u = np.concatenate(([BEGIN], w[:-1])), np.concatenate(([BEGIN, BEGIN], w[:-2]))[: len(w)]
+    v = np.where(v == END, BEGIN, v)
+    u = np.where((u == END) | (v == BEGIN), BEGIN, u)
+    return w, v.astype(np.uint32), u.astype(np.uint32), row
+
+
+def _keys(w: np.ndarray, v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of pairs (word, before) and of triples (word, before, earlier)."""
+    pair = mix(w ^ (v.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    return pair, mix(pair ^ (u.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _among(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are among the known ascending ones, and where."""
+    if not len(known):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return known[at] == keys, at
+
+
+def _spread(keys: np.ndarray, hot: tuple[np.ndarray, np.ndarray], own: np.ndarray) -> np.ndarray:
+    """Counts of keys: those over all shards where they are spread, else ``own``."""
+    found, at = _among(keys, hot[0])
+    out = own.astype(float)
+    out[found] = hot[1][at[found]]
+    return out
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n, trained): counts of all tokens and of those of training texts, by hash; summed up before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_w, held_n, size = [], [], 0
+        held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            w, inverse = np.unique(np.concatenate(held_w), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate(held_n)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], names=["word", "n"])
+            w, n, trained = (np.concatenate(c) for c in zip(*held, strict=True))
+            w, inverse = np.unique(w, return_inverse=True)
+            sums = (pa.array(np.bincount(inverse, c, len(w)).astype(np.int64)) for c in (n, trained))
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), *sums], names=["word", "n", "trained"])
 
         for batch in slices(batches, "text"):
-            w, n = np.unique(_tokens(batch)[0], return_counts=True)
-            held_w, held_n, size = [*held_w, w], [*held_n, n], size + len(w)
+            tokens, row = _tokens(batch)
+            trains = batch.column("trains").to_numpy(zero_copy_only=False)[row]
+            w, inverse, n = np.unique(tokens, return_inverse=True, return_counts=True)
+            held, size = [*held, (w, n, np.bincount(inverse, trains, len(w)))], size + len(w)
             if size > 2_000_000:
                 yield from flush()
-                held_w, held_n, size = [], [], 0
-        if held_w:
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    counted = docs.select("text", "trains").mapInArrow(run, "word long, n long, trained long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("trained").alias("trained"))
+
+
+def _counted(rows: list, *columns: str) -> tuple[np.ndarray, ...]:
+    """Keys of collected rows, ascending, and other columns of theirs."""
+    key = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(key)
+    return key[order], *(np.array([r[c] for r in rows], np.int64)[order] for c in columns)
+
+
+def hot_contexts(docs: DataFrame, words: np.ndarray, tokens: int, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs, then triples, that stand more than ``most`` times among all tokens, and their training counts.
+
+    A pair in that share of all tokens exceeds half the share in some batches, by at least half of ``most``
+    in all. Batches name those only, so few rows are shuffled and at most 2 tokens / most reach the driver. A second pass counts these.
+    """
+    half = most / 2 / max(tokens, 1)
+
+    def contexts(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        w, v, u, row = _trigrams(batch)
+        of_hot = _among(w, words)[0]
+        return *_keys(w[of_hot], v[of_hot], u[of_hot]), batch.column("trains").to_numpy(zero_copy_only=False)[row[of_hot]], len(w)
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for level, keys in enumerate(zip(*held, strict=True), 1):
+                key, n = np.unique(np.concatenate(keys), return_counts=True)
+                over = n - half * size
+                key, over = key[over > 0], over[over > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), level, np.int32)), pa.array(key.view(np.int64)), pa.array(over)], names=["level", "word", "over"])
+
+        for batch in slices(batches, "text"):
+            *keys, _, n = contexts(batch)
+            held, size = [*held, keys], size + n
+            if size > _BATCH_TOKENS:
+                yield from flush()
+                held, size = [], 0
+        if held:
             yield from flush()
 
-    counted = docs.where(trains).select("text").mapInArrow(run, "word long, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+    source = docs.select("text", "trains")
+    named = source.mapInArrow(often, "level int, word long, over double").groupBy("level", "word").agg(F.sum("over").alias("over"))
+    named = named.where(F.col("over") > most / 2 * (1 - 1e-6)).collect()
+    if not named:
+        return [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
+    wanted = [_counted([r for r in named if r["level"] == level])[0] for level in (1, 2)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros((2, len(known))) for known in wanted]
+        for batch in slices(batches, "text"):
+            *keys, trains, _ = contexts(batch)
+            for key, known, total in zip(keys, wanted, sums, strict=True):
+                found, at = _among(key, known)
+                total += [np.bincount(at[found], minlength=len(known)), np.bincount(at[found], trains[found], len(known))]
+        for level, (known, total) in enumerate(zip(wanted, sums, strict=True), 1):
+            n, trained = total.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(known), level, np.int32)), pa.array(known.view(np.int64)), pa.array(n), pa.array(trained)], names=["level", "word", "n", "trained"])
+
+    exact = source.mapInArrow(count, "level int, word long, n long, trained long").groupBy("level", "word").agg(F.sum("n").alias("n"), F.sum("trained").alias("trained"))
+    exact = exact.where(F.col("n") > most).collect()
+    return [_counted([r for r in exact if r["level"] == level], "trained") for level in (1, 2)]
 
 
-def _route(shards: int, hot: np.ndarray) -> callable:
-    """Tokens to shards: one row for a batch and shard, words in runs."""
+def _route(shards: int, hot: list[np.ndarray]) -> callable:
+    """Tokens to shards: one row for a batch and shard, words in runs. ``hot``: words, pairs and triples to be split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, docs = [], 0, 0
@@ -243,10 +341,12 @@ def _route(shards: int, hot: np.ndarray) -> callable:
             w, v, u, row = (np.concatenate(c) for c in zip(*(h[:4] for h in held), strict=True))
             uid, trains = (np.concatenate(c) for c in zip(*(h[4:] for h in held), strict=True))
             place = w.copy()
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, w), len(hot) - 1)
-                split = hot[at] == w
-                place[split] ^= v[split] * np.uint64(0x9E3779B97F4A7C15)
+            split = np.flatnonzero(_among(w, hot[0])[0])
+            if len(split):
+                pair, triple = _keys(w[split], v[split], u[split])
+                by_earlier, evenly = _among(pair, hot[1])[0], _among(triple, hot[2])[0]
+                turn = mix(np.arange(len(split), dtype=np.uint64) ^ np.uint64(int(uid[0])) << np.uint64(24))
+                place[split] = np.where(evenly, turn, np.where(by_earlier, triple, pair))
             target = ((place >> np.uint64(17)) % np.uint64(shards)).astype(np.int32)
             order = np.lexsort((w, target)) if shards > 1 else np.argsort(w, kind="stable")
             target = target[order]
@@ -259,14 +359,11 @@ def _route(shards: int, hot: np.ndarray) -> callable:
                 first = np.flatnonzero(np.concatenate(([True], ws[1:] != ws[:-1])))
                 there, rows = np.unique(rows, return_inverse=True)
                 batch_key = int(uid[0])
-                data = _blob(ws[first], np.diff([*first, len(ws)]).astype(np.uint32), v[pick].astype(np.uint32), u[pick].astype(np.uint32), rows.astype(np.uint32), uid[there], trains[there])
+                data = _blob(ws[first], np.diff([*first, len(ws)]).astype(np.uint32), v[pick], u[pick], rows.astype(np.uint32), uid[there], trains[there])
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([batch_key]), pa.array([data], pa.binary())], names=["shard", "batch", "data"])
 
         for batch in slices(batches, "text"):
-            w, row = _tokens(batch)
-            v, u = np.concatenate(([BEGIN], w[:-1])), np.concatenate(([BEGIN, BEGIN], w[:-2]))[: len(w)]
-            v = np.where(v == END, BEGIN, v)
-            u = np.where((u == END) | (v == BEGIN), BEGIN, u)
+            w, v, u, row = _trigrams(batch)
             uid = batch.column("uid").to_numpy()
             trains = batch.column("trains").to_numpy(zero_copy_only=False).astype(np.uint8)
             held.append((w, v, u, row + docs, uid, trains))
@@ -280,7 +377,7 @@ def _route(shards: int, hot: np.ndarray) -> callable:
     return run
 
 
-def _score_shard(tokens: int, vocabulary: int, texts: int, hot: dict[int, int]) -> callable:
+def _score_shard(tokens: int, vocabulary: int, texts: int, hot: list[tuple[np.ndarray, np.ndarray]]) -> callable:
     """Build a shard's trie from its training tokens, and score all its tokens with it."""
     prior = lambda c: M * (c + 1) / (tokens + vocabulary + 1)
     first_denominator = np.log10((A + B) * texts + M)
@@ -308,13 +405,15 @@ def _score_shard(tokens: int, vocabulary: int, texts: int, hot: dict[int, int])
         n2 = trie.descend("pairs", n1, gv)
         n3 = trie.descend("triples", n2, gu)
         count = np.where(n1 >= 0, trie.value("c1", np.maximum(n1, 0)) if len(trie.codes["c1"]) else 0.0, 0.0)
-        if hot:
-            spread = np.array([hot.get(x, -1) for x in gw.tolist()], float)
-            count = np.where(spread >= 0, spread, count)
+        count = _spread(gw, hot[0], count)
         base = prior(count)
+        # What is spread over shards may have trained at others alone.
+        pair, triple = _keys(gw, gv, gu)
+        two, three = _spread(pair, hot[1], np.zeros(len(gw))), _spread(triple, hot[2], np.zeros(len(gw)))
+        elsewhere = np.log10(A * three + B * two + base)
         pick = lambda name, node, other: np.where(node >= 0, trie.value(name, np.maximum(node, 0)), other) if len(trie.codes[name]) else other
-        over = pick("p3", n3, pick("p2", n2, np.log10(base)))
-        under = pick("d2", n2, np.log10(B * count + M))
+        over = pick("p3", n3, np.where(three > 0, elsewhere, pick("p2", n2, elsewhere)))
+        under = pick("d2", n2, np.log10(A * two + B * count + M))
         # A token's own context comes next; the end has none, and stands for that of the first word.
         under = np.where(gw == END, first_denominator, under)
         total, plain = np.bincount(row, (over - under)[gram], docs), np.bincount(row, np.log10(count + 1)[gram], docs)
@@ -338,17 +437,19 @@ def _sum_up(frame: pd.DataFrame) -> pd.DataFrame:
 def score(docs: DataFrame, trains: Column, text: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    On the driver: the totals, and words with more than a quarter of a shard's tokens.
+    On the driver: the totals, and words, pairs and triples with more than a quarter of a shard's tokens.
     """
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(trains, F.lit(True)).alias("trains"))
-    counts = materialize(word_counts(rows, F.col("trains")))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    texts = counts.where(F.col("word") == int(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = 1 + total["n"] // shard_tokens
-    heavy = counts.where(F.col("n") > shard_tokens // 4) if shards > 1 else counts.limit(0)
-    hot = {r["word"] % 2**64: r["n"] for r in heavy.collect()}
+    counts = materialize(word_counts(rows))
+    total = counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.sum("trained"), F.lit(0)).alias("n"), F.count(F.when(F.col("trained") > 0, 1)).alias("v")
+    ).first()
+    texts = counts.where(F.col("word") == int(END)).agg(F.coalesce(F.sum("trained"), F.lit(0))).first()[0]
+    shards, most = 1 + total["all"] // shard_tokens, shard_tokens // 4
+    hot = [_counted(counts.where(F.col("n") > most).collect() if shards > 1 else [], "trained")]
+    hot += hot_contexts(rows, hot[0][0], total["all"], most) if len(hot[0][0]) else [hot[0]] * 2
     rows = rows.withColumn("uid", F.monotonically_increasing_id())
-    route = _route(shards, np.array(sorted(hot), np.uint64))
+    route = _route(shards, [keys for keys, _ in hot])
     routed = rows.select("uid", "text", "trains").mapInArrow(route, "shard int, batch long, data binary")
     scored = _score_shard(total["n"], total["v"], texts, hot)
     parts = routed.groupBy("shard").applyInPandas(scored, "batch long, data binary")
