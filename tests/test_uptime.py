@@ -133,6 +133,39 @@ def test_segments_empty_and_bad_format(spark):
         u.uptime_segments(empty, "year", DAY)
 
 
+def test_segments_by_service(spark):
+    """Services keep apart: none passes 100, and each equals what it gives alone."""
+    rng = random.Random(4)
+    rows, spans = [], {}
+    for service in "abc":
+        t = -40.0 * 3600
+        while t < 3600:
+            end = t + rng.choice([30, 500, 5000, 90_000])
+            spans.setdefault(service, []).append((at(round(t, 3)), at(round(end, 3)), True))
+            t = end + rng.choice([31, 700, 20_000])
+        rows += [(service, *x) for x in spans[service]]
+    table = spark.createDataFrame(rows, "service string, start timestamp, recent timestamp, up boolean")
+    for fmt in ("day", "month"):
+        got = u.uptime_segments(table, fmt, DAY, ("service",)).collect()
+        for service, own in spans.items():
+            assert [r.percent for r in got if r.service == service] == pytest.approx(segment_model(own, fmt, DAY))
+        assert max(r.percent for r in got) <= 100
+    total = [r.percent for r in u.uptime_segments(table, "day", DAY).collect()]
+    assert total == pytest.approx([sum(x) for x in zip(*(segment_model(s, "day", DAY) for s in spans.values()))])
+
+
+def test_a_sweep_has_four_rows_an_interval(spark):
+    """However long an interval is; and a beat a year late touches the days around it only."""
+    table = intervals(spark, [(at(-86400 * 400), at(0), True)])
+    plan = u.uptime_segments(table, "day", DAY)._jdf.queryExecution().toString()
+    assert "sequence" not in plan
+    year = [("a", at(-86400 * d), at(-86400 * d + 50), True) for d in range(365)]
+    stored = spark.createDataFrame(year, "service string, start timestamp, recent timestamp, up boolean")
+    late = frame(spark, [("a", at(-86400 * 300 + 70))])
+    got = rows(u.extend_uptime(stored, late, 30))
+    assert got == sorted((s, a, at(-86400 * 300 + 70) if a == at(-86400 * 300) else b) for s, a, b, _ in year)
+
+
 def test_no_range_join_is_planned(spark):
     plan = u.uptime_segments(intervals(spark, [(at(0), at(1), True)]), "day", DAY)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan

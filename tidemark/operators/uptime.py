@@ -97,31 +97,44 @@ def uptime_intervals(beats: DataFrame, threshold_seconds: int = DEFAULT_THRESHOL
     return _intervals(_fold(_points(beats), gap))
 
 
+def _days(first: Column, last: Column) -> Column:
+    """The days, counted from the epoch, that the instants from ``first`` to ``last`` fall on."""
+    day = _CHUNK_SECONDS * 1_000_000
+    return F.sequence(F.floor(first / day), F.floor(last / day))
+
+
+def _joined(spans: DataFrame, gap: int) -> DataFrame:
+    """(service, start, until) of spans in micros, those at most ``gap`` apart made one.
+
+    A span opens an interval where it starts past all that a service has before it. Rows here are
+    intervals, not beats: a service has at most one a gap."""
+    in_order = Window.partitionBy("service").orderBy("start", "until")
+    reached = F.max("until").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce((F.col("start") - reached > gap).cast("bigint"), F.lit(1))
+    numbered = spans.withColumn("opens", opens).withColumn("number", F.sum("opens").over(in_order))
+    return numbered.groupBy("service", "number").agg(F.min("start").alias("start"), F.max("until").alias("until")).drop("number")
+
+
 def extend_uptime(
     intervals: DataFrame, beats: DataFrame, threshold_seconds: int = DEFAULT_THRESHOLD
 ) -> DataFrame:
     """The uptime table after new beats, in whatever order they come: an interval grows by
     beats within the threshold of it, beats between two may join them, others open new ones.
 
-    Only intervals within reach of the new beats are folded again, and of those only the
-    part within reach, as beats one threshold apart; the rest of the table passes through.
+    Beats are folded among themselves first. Only stored intervals that share a day with one of
+    these, widened by the threshold, can be touched; they are found by an equal join on (service, day)
+    and joined up whole, by their two ends. The rest of the table passes through.
     """
     gap = _check(threshold_seconds)
-    fresh = _points(beats)
-    reach = fresh.groupBy("service").agg(
-        (F.min("at") - gap).alias("lo"), (F.max("at") + gap).alias("hi")
-    )
-    placed = intervals.join(reach, "service", "left").withColumns(
-        {"a": F.unix_micros("start"), "b": F.unix_micros("recent")}
-    )
-    near = F.coalesce((F.col("b") >= F.col("lo")) & (F.col("a") <= F.col("hi")), F.lit(False))
-    first, last = F.greatest("a", "lo"), F.least("b", "hi")
-    chain = F.array_append(F.sequence(first, last, F.lit(gap).cast("bigint")), last)
-    touched = placed.filter(near).select(
-        "service", F.col("a").alias("start"), F.explode(chain).alias("at"), F.col("b").alias("until")
-    )
-    untouched = placed.filter(~near).select("service", "start", "recent", "up")
-    return untouched.unionByName(_intervals(_fold(touched.unionByName(fresh), gap)))
+    fresh = _fold(_points(beats), gap).withColumnRenamed("recent", "until")
+    days = fresh.select("service", F.explode(_days(F.col("start") - gap, F.col("until") + gap)).alias("day")).distinct()
+    stored = intervals.withColumns({"a": F.unix_micros("start"), "b": F.unix_micros("recent")})
+    on_days = stored.select("service", "a", "b", F.explode(_days(F.col("a"), F.col("b"))).alias("day"))
+    near = on_days.join(days, ["service", "day"], "left_semi").select("service", "a", "b").distinct()
+    touched = near.select("service", F.col("a").alias("start"), F.col("b").alias("until"))
+    untouched = stored.join(near, ["service", "a", "b"], "left_anti").select("service", "start", "recent", "up")
+    grown = _joined(touched.unionByName(fresh), gap).withColumnRenamed("until", "recent")
+    return untouched.unionByName(_intervals(grown))
 
 
 def _exact_sum(micros: Column) -> Column:
@@ -144,39 +157,59 @@ def uptime_total(intervals: DataFrame, start: dt.datetime, end: dt.datetime, by:
     ).groupBy(*by).agg(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)).alias("uptime"))
 
 
-def uptime_segments(intervals: DataFrame, fmt: str, as_of: dt.datetime) -> DataFrame:
+def uptime_segments(intervals: DataFrame, fmt: str, as_of: dt.datetime, by: tuple[str, ...] = ()) -> DataFrame:
     """Percent covered per bucket: 144 of ten minutes (``day``) or 30 of a day
-    (``month``), counted back from ``as_of`` itself.
+    (``month``), counted back from ``as_of`` itself. With ``by`` (the service, say), all buckets of each of its
+    values that is up in the horizon; without, coverage is added over all services, so it can pass 100.
 
-    An interval is cut to the horizon, then repeated once per bucket it touches (at most
-    144 times) and summed by bucket before any shuffle; there is no overlap join.
+    A sweep over edges: an interval, however long, gives what it covers of its first and of its last bucket, a
+    rise after the first and a fall at the last; the prefix sum of these counts the intervals that cover
+    a bucket whole. So an interval makes four rows at most, summed by bucket before any shuffle.
     """
     step_seconds, buckets = bucketed(fmt, SEGMENT_BUCKETS)
     step = step_seconds * 1_000_000
     lo = epoch_micros(as_of) - buckets * step
     horizon = buckets * step
     begin = dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=lo)
-    cut = (
-        intervals.filter(
-            F.col("up")
-            & (F.col("recent") > timestamp_literal(begin))
-            & (F.col("start") < timestamp_literal(as_of))
-            & (F.col("recent") > F.col("start"))
-        )
-        .select(
-            F.greatest(F.unix_micros("start") - lo, F.lit(0)).alias("a"),
-            F.least(F.unix_micros("recent") - lo, F.lit(horizon)).alias("e"),
-        )
-        .select(
-            "a", "e", F.explode(F.expr(f"sequence(a div {step}L, (e - 1) div {step}L)")).alias("index")
+    cut = intervals.filter(
+        F.col("up")
+        & (F.col("recent") > timestamp_literal(begin))
+        & (F.col("start") < timestamp_literal(as_of))
+        & (F.col("recent") > F.col("start"))
+    ).select(
+        *by,
+        F.greatest(F.unix_micros("start") - lo, F.lit(0)).alias("a"),
+        F.least(F.unix_micros("recent") - lo, F.lit(horizon)).alias("e"),
+    )
+    first, last = F.expr(f"a div {step}L"), F.expr(f"(e - 1) div {step}L")
+    edge = lambda at, part, rise: F.struct(at.alias("index"), part.alias("part"), F.lit(rise).cast("bigint").alias("rise"))
+    none = F.lit(0).cast("bigint")
+    edges = F.when(first == last, F.array(edge(first, F.col("e") - F.col("a"), 0))).otherwise(
+        F.array(
+            edge(first, (first + 1) * step - F.col("a"), 0),
+            edge(last, F.col("e") - last * step, 0),
+            edge(first + 1, none, 1),
+            edge(last, none, -1),
         )
     )
-    overlap = F.least("e", (F.col("index") + 1) * step) - F.greatest("a", F.col("index") * step)
-    covered = cut.groupBy("index").agg(_exact_sum(overlap).alias("covered"))
-    percent = F.col("covered").cast("double") * 100.0 / float(step)
+    swept = (
+        cut.select(*by, F.inline(edges))
+        .groupBy(*by, "index")
+        .agg(_exact_sum(F.col("part")).alias("part"), F.sum("rise").alias("rise"))
+    )
+    if by:
+        indexes = F.sequence(F.lit(0).cast("bigint"), F.lit(buckets - 1).cast("bigint"))
+        grid = swept.select(*by).distinct().select(*by, F.explode(indexes).alias("index"))
+    else:
+        grid = calendar(intervals, buckets, lo, step_seconds).select("index")
+    # One row a bucket is left, so the window is small whatever the intervals were.
+    in_order = Window.partitionBy(*by).orderBy("index").rowsBetween(Window.unboundedPreceding, 0)
+    exact = "decimal(20,0)"
+    whole = F.coalesce(F.sum("rise").over(in_order), none).cast(exact) * F.lit(step).cast(exact)
+    covered = (F.coalesce("part", F.lit(0).cast(exact)) + whole).cast("double")
+    start = F.timestamp_micros(F.lit(lo) + F.col("index") * step)
     return (
-        calendar(intervals, buckets, lo, step_seconds)
-        .join(F.broadcast(covered), "index", "left")
-        .select("index", "bucket_start", F.coalesce(percent, F.lit(0.0)).alias("percent"))
-        .orderBy("index")
+        grid.join(swept, [*by, "index"], "left")
+        .select(*by, "index", start.alias("bucket_start"), (covered * 100.0 / float(step)).alias("percent"))
+        .orderBy(*by, "index")
     )
