@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 import sys
 
 import numpy as np
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.operators import classify as c
-from tidemark.operators import filters, uptime
+from tidemark.operators import filters, rollup, uptime
 from tidemark.specs import Attribute, InferenceSpec, Label, classify_prompt
 from tidemark.streaming import ingest, sessions
-from tidemark.streaming.store import BATCHES_PER_RUN, Store
+from tidemark.streaming.store import Batch, Store
 
 # Scorers defined here travel to the workers by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -180,27 +181,74 @@ def state(store):
     )
 
 
+def ingest_all(spark, p, folder, checkpoint, files=1):
+    ingest.ingest_available(payload_stream(spark, folder, files), p, str(checkpoint))
+
+
 def test_stream_batches_equal_one_batch(spark, tmp_path):
-    land(tmp_path / "in", "a.json", FIRST)
-    land(tmp_path / "in", "b.json", SECOND)
     split = pipeline(spark, str(tmp_path / "split"))
-    ingest.start_ingest(payload_stream(spark, tmp_path / "in"), split, str(tmp_path / "cp1")).awaitTermination()
+    for name, docs in (("a.json", FIRST), ("b.json", SECOND)):
+        land(tmp_path / "in", name, docs)
+        ingest_all(spark, split, tmp_path / "in", tmp_path / "cp1")
     links = [a[0] for a in state(split.store)[0]]
     assert links == ["u1", "u3", "u4"]
     assert state(split.store)[0][0][1] in ("one", "again")
-    assert split.quarantined(0).isEmpty()
+    assert split.quarantined().isEmpty()
     assert split.store.metrics().count() == 3 * 4
     assert split.store.articles().select("batch_id").distinct().count() == 2
 
     # Nothing new: a restart from the checkpoint, and a replay under a new one.
     before = state(split.store)
     for checkpoint in ("cp1", "cp2"):
-        ingest.start_ingest(payload_stream(spark, tmp_path / "in", 10), split, str(tmp_path / checkpoint)).awaitTermination()
+        ingest_all(spark, split, tmp_path / "in", tmp_path / checkpoint, 10)
         assert state(split.store) == before
 
     land(tmp_path / "in", "c.json", [("u5", "five", "sad")])
-    ingest.start_ingest(payload_stream(spark, tmp_path / "in"), split, str(tmp_path / "cp1")).awaitTermination()
+    ingest_all(spark, split, tmp_path / "in", tmp_path / "cp1")
     assert [a[0] for a in state(split.store)[0]] == ["u1", "u3", "u4", "u5"]
+    # The rollup kept up batch by batch is that of all metrics.
+    rows = lambda df: sorted((r.label, r.rows, round(r.sum, 9), round(r.m2, 9)) for r in df.collect())
+    assert rows(rollup.merged(split.store.moments(), *rollup.KEYS)) == rows(rollup.moments(split.store.metrics()))
+
+
+def test_admission_reads_no_stored_ids(spark, tmp_path, monkeypatch):
+    """Whatever is stored: known ids are told by the stream's state."""
+    p = pipeline(spark, str(tmp_path / "t"))
+    for n in range(3):
+        land(tmp_path / "in", f"{n}.json", [(f"h{n}-{i}", "t", "cat") for i in range(20)])
+        ingest_all(spark, p, tmp_path / "in", tmp_path / "cp")
+    land(tmp_path / "in", "again.json", [("h0-1", "t", "cat"), ("new", "t", "cat"), ("h2-7", "other", "dog")])
+
+    def unread():
+        raise AssertionError("stored articles are read")
+
+    with monkeypatch.context() as m:
+        m.setattr(p.store, "articles", unread)
+        ingest.start_landing(payload_stream(spark, tmp_path / "in"), p, str(tmp_path / "cp")).awaitTermination()
+        admission = ingest.start_admission(p)
+        admission.awaitTermination()
+    state_of = admission.recentProgress[-1].stateOperators[0]
+    assert state_of.numRowsTotal == 61 and state_of.numRowsUpdated <= 1
+    assert "rocksdbGetCount" in state_of.customMetrics
+    assert p.store.articles().count() == 61
+
+
+def test_streams_that_share_articles(spark, tmp_path):
+    """Two landings that deliver the same articles: each is stored, classified and counted once."""
+    p = pipeline(spark, str(tmp_path / "t"), make_scorer=Moody)
+    land(tmp_path / "one", "a.json", [("u1", "one", "cat"), ("u2", "two", "dog")])
+    land(tmp_path / "two", "a.json", [("u1", "one", "cat"), ("u2", "two", "dog"), ("u3", "three", "cat")])
+    queries = [ingest.start_landing(payload_stream(spark, tmp_path / x), p, str(tmp_path / f"cp-{x}")) for x in ("one", "two")]
+    for q in queries:
+        q.awaitTermination()
+    assert p.store.spark.read.parquet(f"{p.store.root}/incoming").groupBy("stream").count().count() == 2
+    ingest.start_admission(p).awaitTermination()
+    assert sorted(r.link for r in p.store.articles().collect()) == ["u1", "u2", "u3"]
+    assert p.store.metrics().groupBy("article_id", "category", "label").count().filter("count > 1").isEmpty()
+    # What one stream failed on is not taken up by another one's batch.
+    other = Batch("other", 7)
+    p.store.write_articles(articles(spark, ["cat"]).withColumns({"source_type": F.lit("http"), "title": F.lit("t"), "link": F.lit("x"), "processed": F.lit(False)}), other)
+    assert p.store.failures().count() > 0 and [r.link for r in p.pending(other).collect()] == ["x"]
 
 
 def test_retried_batch_leaves_the_same_rows(spark, tmp_path):
@@ -279,30 +327,64 @@ def test_last_error_and_newest_reply(spark):
     assert [(r.attempts, r.error) for r in c.dead_letters(failed, 2).collect()] == [(2, "bad reply")]
 
 
-def test_each_checkpoint_numbers_its_own_batches(spark, tmp_path):
-    store = Store(spark, str(tmp_path))
-    assert [store.first_batch(x) for x in ("a", "b", "a")] == [0, BATCHES_PER_RUN, 0]
-
-
 def beats_stream(spark, folder, beats):
     folder.mkdir(exist_ok=True)
     for i, part in enumerate(beats):
         (folder / f"{i}.json").write_text("\n".join(json.dumps({"service": s, "timestamp": t.isoformat() + "Z"}) for s, t in part))
+        # Files are read in order of their times.
+        os.utime(folder / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
     return (
         spark.readStream.schema("service string, timestamp timestamp").option("maxFilesPerTrigger", 1).json(str(folder))
     )
 
 
+def intervals_of(df):
+    return sorted((r.service, r.start, r.recent) for r in df.collect())
+
+
+def run_beats(spark, tmp_path, parts, **more):
+    store = Store(spark, str(tmp_path / "t"))
+    sessions.start_uptime(beats_stream(spark, tmp_path / "in", parts), store, str(tmp_path / "cp"), 30, **more).awaitTermination()
+    return store
+
+
 def test_uptime_stream(spark, tmp_path):
     at = lambda s: NOW + dt.timedelta(seconds=s)
     parts = [[("a", at(0)), ("a", at(20)), ("b", at(5))], [("a", at(45)), ("a", at(100))], [("b", at(35.5)), ("a", at(130))]]
-    store = Store(spark, str(tmp_path / "t"))
-    sessions.start_uptime(beats_stream(spark, tmp_path / "in", parts), store, str(tmp_path / "cp"), 30).awaitTermination()
-    table = lambda df: sorted((r.service, r.start, r.recent) for r in df.collect())
+    store = run_beats(spark, tmp_path, parts, lateness=dt.timedelta(minutes=5))
     whole = spark.createDataFrame([b for p in parts for b in p], "service string, timestamp timestamp")
-    assert table(store.uptime_before()) == table(uptime.uptime_intervals(whole, 30))
+    assert intervals_of(store.uptime()) == intervals_of(uptime.uptime_intervals(whole, 30))
+    assert store.late_beats().isEmpty()
     with pytest.raises(ValueError):
         sessions.closed_intervals(whole, 0)
+    with pytest.raises(ValueError):
+        sessions.extend_on_batch(store, 0)
+
+
+def test_uptime_stream_carries_open_intervals_only(spark, tmp_path):
+    """Closed intervals are appended once; a batch holds what it closed and what is open, not the history."""
+    at = lambda s: NOW + dt.timedelta(seconds=s)
+    parts = [[("a", at(600 * n + s)) for s in (0, 30, 60)] + [("b", at(600 * n + 90 + s)) for s in (0, 45)] for n in range(4)]
+    store = run_beats(spark, tmp_path, parts)
+    whole = spark.createDataFrame([b for p in parts for b in p], "service string, timestamp timestamp")
+    assert intervals_of(store.uptime()) == intervals_of(uptime.uptime_intervals(whole, 30))
+    stored = store._uptime()
+    # 3 intervals a batch, each stored once open and once closed.
+    assert stored.filter("NOT open").distinct().count() == stored.filter("NOT open").count() == 9
+    assert max(r["count"] for r in stored.groupBy("batch_id").count().collect()) <= 6
+    assert store.open_uptime().count() == 3
+
+
+def test_late_beats_are_kept_and_settled(spark, tmp_path):
+    """In time: a beat before others, not before the watermark. Late: one that could touch a closed interval."""
+    at = lambda s: NOW + dt.timedelta(seconds=s)
+    parts = [[("a", at(0)), ("a", at(20)), ("b", at(0))], [("a", at(500)), ("b", at(470))], [("a", at(455)), ("a", at(480)), ("a", at(45)), ("b", at(10_000))], []]
+    store = run_beats(spark, tmp_path, parts[:3])
+    table = {(s, (x - NOW).total_seconds(), (y - NOW).total_seconds()) for s, x, y in intervals_of(store.uptime())}
+    assert table == {("a", 0, 20), ("b", 0, 0), ("b", 470, 470), ("a", 455, 500), ("b", 10_000, 10_000)}
+    assert [(r.service, r.timestamp) for r in store.late_beats().collect()] == [("a", at(45))]
+    whole = spark.createDataFrame([b for p in parts for b in p], "service string, timestamp timestamp")
+    assert intervals_of(sessions.settle_late(store)) == intervals_of(uptime.uptime_intervals(whole, 30))
 
 
 def test_drivers_cover_feeds_and_json(spark, tmp_path):

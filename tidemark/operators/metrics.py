@@ -39,8 +39,8 @@ def metrics_scan(
     )
 
 
-def _across_groups(column: str) -> Column:
-    # Runs over one row per label or day, never over metric rows.
+def across_groups(column: str) -> Column:
+    # Runs over one row per label or day, never over metric rows; a total aggregated beside them would scan the metrics twice.
     return F.sum(column).over(Window.partitionBy())
 
 
@@ -55,7 +55,7 @@ def label_metrics(metrics: DataFrame, classification: str | None = None, **predi
             F.var_pop("score").alias("var"),
         )
     )
-    return per_label.withColumn("total", _across_groups("n"))
+    return per_label.withColumn("total", across_groups("n"))
 
 
 def binary_entropy(p: Column) -> Column:
@@ -99,7 +99,7 @@ def heatmap(
         .groupBy(F.to_date("timestamp").alias("day"))
         .agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"))
     )
-    share = F.col("n").cast("double") / _across_groups("n")
+    share = F.col("n").cast("double") / across_groups("n")
     return per_day.select("day", (share * F.col("mean")).alias("value")).orderBy("day")
 
 
@@ -181,7 +181,7 @@ def profile(
             F.avg("score").alias("mean"),
             F.var_pop("score").alias("var"),
         )
-        .withColumn("total", _across_groups("n"))
+        .withColumn("total", across_groups("n"))
     )
     return per_label.select(
         "category",
@@ -218,8 +218,8 @@ def profile_delta(
         .filter(in_a | in_b)
         .groupBy("category", "label")
         .agg(*measures(in_a, "a"), *measures(in_b, "b"))
-        .withColumn("total_a", _across_groups("n_a"))
-        .withColumn("total_b", _across_groups("n_b"))
+        .withColumn("total_a", across_groups("n_a"))
+        .withColumn("total_b", across_groups("n_b"))
     )
 
     def signal(tag: str) -> list[Column]:

@@ -229,24 +229,35 @@ SQL["uptime_total_by_service"] = f"""WITH {ISLANDS}
   FROM u WHERE recent > TIMESTAMP '2024-01-05' AND start < TIMESTAMP '2024-01-15' GROUP BY service"""
 
 
-def segments(step_seconds: int, buckets: int) -> str:
-    return f"""WITH {ISLANDS}, g AS (
-        SELECT i AS index, {AS_OF} - to_seconds(({buckets} - i) * {step_seconds}) AS lo,
-               {AS_OF} - to_seconds(({buckets} - 1 - i) * {step_seconds}) AS hi
-        FROM range({buckets}) t(i))
-      SELECT index, lo AS bucket_start,
-             round(coalesce(100.0::DOUBLE * sum(CASE WHEN start IS NOT NULL
-                     THEN epoch_us(least(hi, recent)) - epoch_us(greatest(lo, start)) END)
-                   / ({step_seconds} * 1e6), 0), 6) AS percent
-      FROM g LEFT JOIN u ON u.start < hi AND u.recent > lo GROUP BY index, lo"""
+def edges(step_seconds: int, buckets: int) -> str:
+    """Bucket edges, one more than there are buckets."""
+    return f"g AS (SELECT i, {AS_OF} - to_seconds(({buckets} - i) * {step_seconds}) AS edge FROM range({buckets} + 1) t(i))"
+
+
+def segments(step_seconds: int, buckets: int, by: str = "") -> str:
+    """Seconds of uptime before each edge, over all time; a bucket's share is the rise from its edge to the next."""
+    one, per = (f"{by}, ", f"PARTITION BY {by}") if by else ("", "")
+    shown = "WHERE EXISTS (SELECT 1 FROM u y WHERE y.service = r.service AND y.recent > first_edge AND y.start < last_edge AND y.recent > y.start)" if by else ""
+    return f"""WITH {ISLANDS}, {edges(step_seconds, buckets)}, c AS (
+        SELECT {one}i, edge, sum(greatest(epoch_us(least(edge, recent)) - epoch_us(start), 0))::HUGEINT AS before
+        FROM g CROSS JOIN u GROUP BY ALL), r AS (
+        SELECT {one}i AS index, edge AS bucket_start, lead(before) OVER ({per} ORDER BY i) - before AS rise,
+               min(edge) OVER () AS first_edge, max(edge) OVER () AS last_edge FROM c)
+      SELECT {one}index, bucket_start, round(100 * rise::DOUBLE / ({step_seconds} * 1e6), 6) AS percent
+      FROM (SELECT * FROM r {shown}) WHERE rise IS NOT NULL"""
 
 
 SQL["uptime_segments_day"] = segments(600, 144)
 SQL["uptime_segments_month"] = segments(86400, 30)
+SQL["uptime_segments_by_service"] = segments(600, 144, "service")
+SQL["uptime_segments_by_service_month"] = segments(86400, 30, "service")
 
 SQL["stream_closed_intervals"] = f"""WITH {ISLANDS} SELECT service, start, recent FROM u
   WHERE recent + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
 
+SQL["stream_uptime_closed"] = f"""WITH {ISLANDS} SELECT service, start, recent FROM u
+  WHERE recent + INTERVAL 10 MINUTE < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+
 # --- filters ---------------------------------------------------------------
 
 _TITLE = "lang || ' ' || source"
@@ -525,3 +536,12 @@ SQL["render_view"] = f"""WITH {M}, {A}, h AS (
   """ + " ".join(f"UNION ALL SELECT '{k}', '{v}', NULL" for k, v in _ERRORS.items())
 
 SQL["stream_dedupe"] = f"""SELECT DISTINCT {uuid5("('u://' || user_id)")} AS id, 'u://' || user_id AS link FROM events"""
+
+SQL["stream_dedupe_all"] = SQL["stream_dedupe"]
+
+for _kept, _plain in {"label_metrics": "label_metrics", "signals": "signals", "heatmap": "heatmap_label", "label_delta": "label_delta", "quadrant": "quadrant"}.items():
+    SQL[f"rollup_{_kept}"] = SQL[_plain]
+
+SQL["stream_rollup"] = f"""WITH s AS ({classified(_BYTES.format("text") + " >= 500")})
+  SELECT label, count(*) AS n, round(avg(score), 6) AS mean, round(var_pop(score), 6) AS var, (SELECT count(*) FROM s) AS total
+  FROM s GROUP BY label"""

@@ -19,9 +19,9 @@ from ..functions import ids, scores, text, times
 from ..functions.scores import cut_data, top_scores
 from ..operators import classify as c
 from ..operators import filters as f
-from ..operators import merge, metrics as m, points, rates, uptime
+from ..operators import merge, metrics as m, points, rates, rollup, uptime
 from ..operators.search import linked_classifications, search
-from ..session import shared_dir
+from ..session import shared_dir, with_rocksdb
 from ..sources import feeds, json_api, uploads, webhooks
 from ..specs import Range, SearchRequest
 from ..streaming import ingest, sessions
@@ -153,6 +153,42 @@ def data_keys(t):
     return m.data_keys(t.classifications(), "events")
 
 
+# --- the rollup ------------------------------------------------------------
+
+
+def _rollup(t) -> rollup.Rollup:
+    """The rollup of the whole metrics table, written and read as a table, next to the metrics."""
+    path = f"{_fresh_dir(t)}/moments"
+    rollup.moments(t.metrics()).write.parquet(path)
+    return rollup.Rollup(t.spark.read.schema(rollup.MOMENTS).parquet(path), t.metrics())
+
+
+@query
+def rollup_label_metrics(t):
+    found = _rollup(t).label_metrics("events", labels=["view", "click", "error"], start=START, end=END)
+    return rounded(found, "mean", "var")
+
+
+@query
+def rollup_signals(t):
+    return rounded(_rollup(t).signals("events"), "frequency", "mean", "variance", "weight", "entropy")
+
+
+@query
+def rollup_heatmap(t):
+    return rounded(_rollup(t).heatmap("events", label="click", start=START, end=END), "value")
+
+
+@query
+def rollup_label_delta(t):
+    return rounded(_rollup(t).label_delta("events", "click", START, END), "mean_confidence")
+
+
+@query
+def rollup_quadrant(t):
+    return rounded(_rollup(t).quadrant("events", "purchase", PERIOD_A, PERIOD_B), "frequency", "mean_confidence")
+
+
 # --- points and search -----------------------------------------------------
 
 
@@ -309,6 +345,21 @@ def uptime_segments_month(t):
     return _segments(t, "month")
 
 
+def _service_segments(t, fmt):
+    rows = uptime.uptime_segments(_intervals(t), fmt, AS_OF, ("service",))
+    return rounded(rows.select("service", "index", plain("bucket_start"), "percent"), "percent")
+
+
+@query
+def uptime_segments_by_service(t):
+    return _service_segments(t, "day")
+
+
+@query
+def uptime_segments_by_service_month(t):
+    return _service_segments(t, "month")
+
+
 # --- filters ---------------------------------------------------------------
 
 
@@ -1041,12 +1092,22 @@ def stream_ingest(t):
     store = Store(t.spark, f"{folder}/tables")
     for attempt in (1, 2):
         # A new checkpoint makes the second run deliver everything again.
-        ingest.start_ingest(_document_stream(t), _pipeline(t, store), f"{folder}/checkpoint-{attempt}").awaitTermination()
+        ingest.ingest_available(_document_stream(t), _pipeline(t, store), f"{folder}/checkpoint-{attempt}")
     return store.metrics().groupBy("classification", "category", "label").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 6).alias("score")
     )
 
 
+@query
+def stream_rollup(t):
+    """Label metrics out of the rollup that the write path has kept up, batch by batch."""
+    folder = _fresh_dir(t)
+    store = Store(t.spark, f"{folder}/tables")
+    ingest.ingest_available(_document_stream(t), _pipeline(t, store), f"{folder}/checkpoint")
+    kept = rollup.Rollup(store.moments(), store.metrics())
+    return rounded(kept.label_metrics("prose"), "mean", "var")
+
+
 def _beat_stream(t) -> DataFrame:
     rows = t.stream("events", t.events().schema)
     return rows.select(F.col("event_type").alias("service"), F.col("ts").alias("timestamp"))
@@ -1058,7 +1119,16 @@ def stream_uptime(t):
     folder = _fresh_dir(t)
     store = Store(t.spark, f"{folder}/tables")
     sessions.start_uptime(_beat_stream(t), store, f"{folder}/checkpoint", BEAT_GAP).awaitTermination()
-    return _plain_intervals(store.uptime_before())
+    return _plain_intervals(store.uptime())
+
+
+@query
+def stream_uptime_closed(t):
+    """Of these the intervals that are closed for good, an hour being allowed for late beats."""
+    folder = _fresh_dir(t)
+    store = Store(t.spark, f"{folder}/tables")
+    sessions.start_uptime(_beat_stream(t), store, f"{folder}/checkpoint", BEAT_GAP, dt.timedelta(hours=1)).awaitTermination()
+    return _plain_intervals(store.closed_uptime())
 
 
 def _drained(t, rows: DataFrame, folder: str) -> DataFrame:
@@ -1088,3 +1158,12 @@ def stream_dedupe(t):
     articles = rows.select(ids.article_id(link).alias("id"), link.alias("link"), F.col("ts").alias("timestamp"))
     folder = _fresh_dir(t)
     return _drained(t, ingest.bounded_dedupe(articles, "60 days").select("id", "link"), folder)
+
+
+@query
+def stream_dedupe_all(t):
+    """The same against all history, by keyed state."""
+    rows = t.stream("events", t.events().schema)
+    link = F.concat(F.lit("u://"), F.col("user_id"))
+    with_rocksdb(t.spark)
+    return _drained(t, ingest.new_in_stream(rows.select(ids.article_id(link).alias("id"), link.alias("link"))), _fresh_dir(t))

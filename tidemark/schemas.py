@@ -63,6 +63,7 @@ SOURCES = struct(
     created_at=_TIME,
     updated_at=_TIME,
 )
+BEATS = struct(service=_TEXT, timestamp=_TIME)
 UPTIME = struct(service=_TEXT, start=_TIME, recent=_TIME, up=_BOOL)
 FEED_ITEMS = struct(
     source_id=_TEXT,

@@ -26,6 +26,17 @@ SESSION_SETTINGS = {
 }
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def with_rocksdb(spark: SparkSession) -> SparkSession:
+    """Keep the state of streams started from here on in RocksDB, on disk, and checkpoint its changes only:
+    state that grows without bound must not be held in memory nor written whole with every batch."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    return spark
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings, and make this package importable in Python workers."""
     for key, value in SESSION_SETTINGS.items():
