@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import cut_data
 from ..specs import SearchRequest
-from .predicates import all_of, named, one_of, title_like, within
+from .predicates import all_of, named, one_of, within
+from .titles import titled
 
 
 def articles_with_all_labels(metrics: DataFrame, labels, classification: str | None = None) -> DataFrame:
@@ -35,8 +36,9 @@ def linked_classifications(
     articles: DataFrame,
     metrics: DataFrame,
     request: SearchRequest,
+    titles: DataFrame | None = None,
 ) -> DataFrame:
-    """Search without order and limit.
+    """Search without order and limit. ``titles`` is the trigram index of the articles, where there is one.
 
     Label and title conditions hold for all rows of an article alike, so they commute with
     taking its newest row. They come first, as semi joins with distinct article ids, so that
@@ -47,7 +49,7 @@ def linked_classifications(
         all_of([named(request.classification), within("timestamp", request.start, request.end)])
     )
     rows = rows.select("id", "article_id", "timestamp", "data")
-    linked = articles.filter(all_of([title_like("title", request.title)])).select(
+    linked = titled(articles, request.title, titles).select(
         F.col("id").alias("article_id"), "title", "link"
     )
     if request.labels:
@@ -67,10 +69,11 @@ def search(
     articles: DataFrame,
     metrics: DataFrame,
     request: SearchRequest,
+    titles: DataFrame | None = None,
 ) -> DataFrame:
     """Newest classification of each matching article, latest first, top ``limit``."""
     return (
-        linked_classifications(classifications, articles, metrics, request)
+        linked_classifications(classifications, articles, metrics, request, titles)
         .orderBy(F.desc("timestamp"), "id")
         .limit(request.limit)
     )

@@ -177,6 +177,10 @@ SQL["search_labels_all"] = search(
     50,
 )
 SQL["search_title_cutoff"] = search("a.title ILIKE '%customer#_0000000%'", 0.3, 200)
+SQL["search_title_index"] = SQL["search_title_cutoff"]
+SQL["title_candidates"] = f"""WITH {A} SELECT needle, count(*) AS n
+  FROM a JOIN (VALUES ('CUSTOMER#'), ('00012'), ('er#0%7_1'), ('9'), ('_'), ('100%'), ('')) v(needle)
+    ON title ILIKE '%' || needle || '%' GROUP BY needle"""
 SQL["search_unlimited"] = search("true", -1, None)
 
 SQL["score_cutoff"] = f"WITH {L} SELECT id, category, label, score FROM l WHERE score >= 0.8"
@@ -545,3 +549,13 @@ for _kept, _plain in {"label_metrics": "label_metrics", "signals": "signals", "h
 SQL["stream_rollup"] = f"""WITH s AS ({classified(_BYTES.format("text") + " >= 500")})
   SELECT label, count(*) AS n, round(avg(score), 6) AS mean, round(var_pop(score), 6) AS var, (SELECT count(*) FROM s) AS total
   FROM s GROUP BY label"""
+
+_V = "embedding::DOUBLE[]"
+_EMBEDDED = f"""e AS (SELECT vec_id AS id, vec_id AS minute, {_V} AS v FROM embeddings UNION ALL
+    SELECT vec_id + 1000000, vec_id + vec_id % 7 * 20,
+      list_transform(list_zip({_V}, list_reverse({_V})), lambda p: p[1] + p[2] * CASE WHEN vec_id % 6 = 0 THEN 0.2 ELSE 0.9 END::DOUBLE)
+    FROM embeddings WHERE vec_id % 3 = 0),
+  n AS (SELECT DISTINCT a.id FROM e a JOIN e b ON b.minute BETWEEN a.minute - 60 AND a.minute AND (b.minute < a.minute OR b.id < a.id)
+    AND list_cosine_similarity(a.v, b.v) >= 0.9)"""
+SQL["near_copies"] = f"WITH {_EMBEDDED} SELECT id, id NOT IN (SELECT id FROM n) AS kept FROM e"
+SQL["stream_near_copies"] = f"WITH {_EMBEDDED} SELECT id FROM n"

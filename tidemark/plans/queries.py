@@ -19,7 +19,7 @@ from ..functions import ids, scores, text, times
 from ..functions.scores import cut_data, top_scores
 from ..operators import classify as c
 from ..operators import filters as f
-from ..operators import merge, metrics as m, points, rates, rollup, uptime
+from ..operators import merge, metrics as m, near, points, rates, rollup, titles, uptime
 from ..operators.search import linked_classifications, search
 from ..session import shared_dir, with_rocksdb
 from ..sources import feeds, json_api, uploads, webhooks
@@ -235,6 +235,28 @@ def search_title_cutoff(t):
     return _found(search(t.classifications(), t.articles(), t.metrics(), request))
 
 
+def _title_index(t) -> DataFrame:
+    path = f"{_fresh_dir(t)}/titles"
+    titles.trigram_index(t.articles()).write.parquet(path)
+    return t.spark.read.schema("gram string, article_id string").parquet(path)
+
+
+@query
+def search_title_index(t):
+    """The same through the trigram index."""
+    request = SearchRequest("events", title="customer#_0000000", cutoff=0.3, limit=200)
+    return _found(search(t.classifications(), t.articles(), t.metrics(), request, _title_index(t)))
+
+
+@query
+def title_candidates(t):
+    """How many titles a few needles match, with wildcards, in other case, too short for the index, or empty."""
+    index, articles = _title_index(t), t.articles()
+    needles = ["CUSTOMER#", "00012", "er#0%7_1", "9", "_", "100%", ""]
+    found = [titles.titled(articles, n, index).select(F.lit(n).alias("needle")) for n in needles]
+    return reduce(DataFrame.unionByName, found).groupBy("needle").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def search_unlimited(t):
     return _found(linked_classifications(t.classifications(), t.articles(), t.metrics(), SearchRequest("events")))
@@ -290,6 +312,30 @@ def mark_processed(t):
     return merge.mark_processed(t.classifications())
 
 
+# --- near copies -----------------------------------------------------------
+
+NEAR_WINDOW, NEAR_COSINE = 3600, 0.9
+
+
+def _embedded(vectors: DataFrame) -> DataFrame:
+    """Embeddings as articles, one a minute; every third comes again, up to two hours later, turned a little or, every other one, too far."""
+    n = F.col("vec_id")
+    v = F.col("embedding").cast("array<double>")
+    at = lambda minutes: F.timestamp_seconds(F.lit(1704067200) + minutes * 60)
+    turn = F.when(n % 6 == 0, 0.2).otherwise(0.9)
+    echo = F.when(n % 3 == 0, F.struct((n + 1_000_000).alias("id"), at(n + n % 7 * 20).alias("timestamp"), F.zip_with(v, F.reverse(v), lambda a, b: a + b * turn).alias("embedding")))
+    own = F.struct(n.alias("id"), at(n).alias("timestamp"), v.alias("embedding"))
+    return vectors.select(F.inline(F.filter(F.array(own, echo), lambda x: x.isNotNull())))
+
+
+@query
+def near_copies(t):
+    """Articles kept, and near copies of one up to an hour before."""
+    articles = _embedded(t.raw("embeddings"))
+    kept = near.without_near_copies(articles, NEAR_WINDOW, NEAR_COSINE).select("id", F.lit(True).alias("kept"))
+    return articles.join(kept, "id", "left").select("id", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
 # --- uptime ----------------------------------------------------------------
 
 
@@ -1167,3 +1213,11 @@ def stream_dedupe_all(t):
     link = F.concat(F.lit("u://"), F.col("user_id"))
     with_rocksdb(t.spark)
     return _drained(t, ingest.new_in_stream(rows.select(ids.article_id(link).alias("id"), link.alias("link"))), _fresh_dir(t))
+
+
+@query
+def stream_near_copies(t):
+    """Near copies told as the articles stream in, with an hour of vectors as state."""
+    articles = _embedded(t.stream("embeddings", t.raw("embeddings").schema)).withWatermark("timestamp", "1 hour")
+    with_rocksdb(t.spark)
+    return _drained(t, near.near_copies(articles, NEAR_WINDOW, NEAR_COSINE).select("id"), _fresh_dir(t)).distinct()
