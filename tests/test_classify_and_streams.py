@@ -395,3 +395,5 @@ def test_drivers_cover_feeds_and_json(spark, tmp_path):
         p = ingest.Pipeline(Store(spark, str(tmp_path / kind)), kind, sources, SPEC, as_of=lambda: NOW)
         p.run_batch(spark.createDataFrame([("s1", None, None, body, None), ("gone", None, None, body, None)], schemas.PAYLOADS), 0)
         assert [(r.title, r.content, r.source_type) for r in p.store.articles().collect()] == [("A", "cat", kind)]
+        p.land(spark.createDataFrame([("s1", None, None, body[:-9], None)], schemas.PAYLOADS), 1)
+        assert [(r.source_id, "not" in r.error) for r in p.unreadable().filter("source_id = 's1'").collect()] == [("s1", True)]

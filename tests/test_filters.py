@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +146,57 @@ def test_sources_with_one_list_share_a_branch(spark):
     assert df.filter(condition).count() == 0
 
 
+SOURCES = "url string, filters array<string>"
+
+
+def test_table_equals_lists(spark):
+    """The same rules by table and by plan, with failing, shared, inherited, unknown and repeated filters over several mask words."""
+    rules = {f"u{i}": [f"content.len.gte.{i % 70}", "!title.contains.eq.x"][: 1 + i % 2] for i in range(90)}
+    rules |= {"bad": ["title.len.eq.x"], "never": ["!content.sim.gte.1"], "unknown": ["!tags.eq.a", "!tags.eq.a"], "empty": [], "none": None}
+    urls = [*rules, "elsewhere", None]
+    rows = [(u, t, "y" * n, "") for u in urls for n in (0, 3, 64, 200) for t in ("x", None)]
+    df = spark.createDataFrame(rows, "source_url string, title string, content string, link string")
+    sources = spark.createDataFrame([(u, r) for u, r in rules.items()], SOURCES)
+    for default, inherit in (([], True), (["content.len.lt.100"], True), (["content.len.lt.100"], False)):
+        resolved = f.resolve_filters({u: r or [] for u, r in rules.items()}, default, inherit=inherit)
+        expected = f.apply_filters(df, resolved)
+        got = f.apply_filter_table(df, f.filter_table(sources, default, inherit=inherit))
+        assert got.columns == df.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+
+
+def test_table_of_ten_thousand_sources(spark):
+    """The plan holds the different filters, whatever the number of sources."""
+    lists = [["content.len.gte.3"], ["title.regex.eq.^a"], ["content.len.gte.3", "!title.eq.b"]]
+    articles = spark.createDataFrame([(f"u{i}", "abc"[i % 3], "y" * (i % 7), "") for i in range(20_000)], "source_url string, title string, content string, link string")
+    plans = []
+    for n in (30, 10_000):
+        sources = spark.range(n).select(F.concat(F.lit("u"), "id").alias("url"), F.get(F.lit(lists), (F.col("id") % 3).cast("int")).alias("filters"))
+        kept = f.apply_filter_table(articles, f.filter_table(sources))
+        plans.append(kept._jdf.queryExecution().optimizedPlan().toString())
+        assert kept.count() == sum(
+            i >= n or (i % 7 >= 3 if i % 3 == 0 else i % 3 == 0 if i % 3 == 1 else i % 7 >= 3 and i % 3 != 1) for i in range(20_000)
+        )
+    assert abs(len(plans[0]) - len(plans[1])) < 100
+
+
+def test_table_with_too_many_filters(spark, monkeypatch):
+    monkeypatch.setattr(f, "MOST_FILTERS", 2)
+    sources = spark.createDataFrame([("a", ["title.eq.1", "title.eq.2"]), ("b", ["title.eq.3"])], SOURCES)
+    with pytest.raises(ValueError):
+        f.filter_table(sources)
+
+
+@pytest.mark.parametrize("pattern", [r"\bTHE\b", r"(?i)\bthe\b", r"a\b[\s\S]*\bz", r"\b.", r"x?\bS\b", r"(?i)\bst?\b", r"\bk*", r"(a|b)\b", r"_\b-", r"\B\w\b", r"[\d\D]\b1"])
+def test_word_edges_next_to_letters(spark, pattern):
+    """An edge beside a plain letter is simplified; what matches stays."""
+    texts = ["THE", "THEN", "the end", "éTHE", "a z", "az", "a\nbz", "", "ſt", "s", "xS", "\u212a", "_-", "a1", "kk", "b,", "1"]
+    made = f.java_pattern(pattern)
+    python = re.compile(pattern.replace(r"[\s\S]", "(?s:.)").replace(r"[\d\D]", "(?s:.)"), re.ASCII)
+    got = [r.m for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(F.col("t").rlike(made).alias("m")).collect()]
+    assert got == [python.search(t) is not None for t in texts], made
+
+
 def test_failing_filters_are_named():
     bad = f.parse_filters(["title.len.eq.x", "content.sim.gte.1", "title.eq.a", "missing.count.eq.1"])
     assert f.filter_errors(bad) == bad[:2]

@@ -2,6 +2,7 @@ import datetime as dt
 import hashlib
 import hmac
 import html
+from html.entities import html5
 import uuid
 
 from pyspark.sql import functions as F
@@ -42,8 +43,12 @@ def test_unescape_rare_entities(evaluate):
     assert evaluate(["&#1;x", "&#xFFFE;"], text.unescape) == ["\x01x", "￾"]
 
 
-def test_common_entities_equal_html(evaluate):
-    cases = [e for e, _ in text.COMMON_ENTITIES]
+def test_every_entity_equals_html(spark, evaluate):
+    """All names, with and without semicolon, inside words; all one-byte numbers, and those beyond the last code point."""
+    names = sorted(html5)
+    cases = ["&" + n for n in names] + ["&" + n.rstrip(";") + "x &" for n in names]
+    cases += [f"&#{n};" for n in [*range(0x20, 0x7F), *range(0xA0, 0x180), 0, 0x80, 0x9F, 0xD800, 0x10FFFF - 2, 0x110000, 10**20]]
+    cases += ["&#;", "&#x;", "&", "&&amp;&", "&#00065", "&#x00041z", "&ampamp;", "&notin", "é&eacute"]
     assert evaluate(cases, text.unescape) == [html.unescape(c) for c in cases]
 
 
@@ -136,6 +141,19 @@ def test_feed_date(evaluate):
         "2025-01-02": utc(2025, 1, 2),
         "2 Jan 2025": utc(2025, 1, 2),
         "January 2, 2025": utc(2025, 1, 2),
+        "Jan 2 03:04:05 UTC 2025": at,
+        "2 Jan 2025 03:04:05": at,
+        "Wed, 02 Jul 2025 23:04:05 EST": utc(2025, 7, 3, 4, 4, 5),
+        "Wed, 02 Jul 2025 20:04:05 PDT": utc(2025, 7, 3, 3, 4, 5),
+        "2 Jan 2025 04:04:05 CET": at,
+        "2 Jan 2025 04:04:05 Europe/Paris": at,
+        "2 JAN 2025 3:04 Z": utc(2025, 1, 2, 3, 4),
+        "31 Feb 2025 03:04:05 GMT": None,
+        "2 Jan 2025 25:04:05 GMT": None,
+        "2 Jan 2025 03:04:05 NOWHERE": None,
+        "2 Jan 68": utc(2068, 1, 2),
+        "2 Jan 69": utc(1969, 1, 2),
+        "2025-01-02T03:04:05.250+00:00": utc(2025, 1, 2, 3, 4, 5, 250000),
         "2025": None,
         "May be soon": None,
         "soon": None,
@@ -145,6 +163,17 @@ def test_feed_date(evaluate):
     assert got == list(cases.values())
 
 
+def test_feed_date_is_compiled(spark):
+    """One cast, within the code that Spark generates; no chain of formats that grows past its limit."""
+    df = spark.range(5).select(times.feed_date(F.concat(F.col("id").cast("string"), F.lit(" Jan 2025 03:04:05 GMT"))).alias("d"))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "*(1) Project" in plan and plan.count("gettimestamp") == 0
+    generated = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenStringSeq(df._jdf.queryExecution().executedPlan())
+    sizes = [generated.apply(i)._3().maxMethodCodeSize() for i in range(generated.size())]
+    assert sizes and max(sizes) < 64_000
+
+
 def fields(texts, bodies, path):
     df = payload.with_json(texts(bodies), "t", "v")
     at = payload.variant_path(path)

@@ -13,7 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
 # Those whose feature is running Python.
-PYTHON = {"classify_scorer", "near_copies", "html_clean", "feed_articles", "articles_of_all_kinds"}
+PYTHON = {"classify_scorer", "near_copies"}
 
 
 @pytest.fixture(scope="module")

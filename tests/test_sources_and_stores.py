@@ -52,6 +52,68 @@ def test_feed_articles(spark):
     assert feeds.feed_articles(items, NOW, F.lit("link")).count() == 0
 
 
+def test_feeds_that_do_not_parse(spark):
+    """Each document that gives nothing for a reason of its own says so; an empty feed is none."""
+    cut = RSS[: RSS.index("</item>") + 3]
+    cases = {
+        cut: "feed is not xml, or is cut off",
+        "not xml": "feed is not xml, or is cut off",
+        "<rss><channel>&undefined;</channel></rss>": "feed is not xml, or is cut off",
+        "<!DOCTYPE html><html><body>x</body></html>": "not a feed",
+        "": "feed is empty",
+        " \n ": "feed is empty",
+        None: "feed is empty",
+        '{"items": [{"url": "u"}]}': "not a feed",
+        '{"version": "https://jsonfeed.org/version/1", "items": [{"url"': "feed is not json",
+    }
+    fine = [RSS, ATOM, "<rss></rss>", "<?xml version='1.0'?>\n<!-- <x> -->\n<rdf:RDF xmlns:rdf='r'><item><link>u</link></item></rdf:RDF>", '{"version": "https://jsonfeed.org/version/1.1", "items": []}']
+    df = payloads(spark, *cases, *fine)
+    found = feeds.feed_errors(df).collect()
+    assert {r.body: r.error for r in found} == cases and len(found) == len(cases)
+    # What can be read is read, next to what can not.
+    assert feeds.feed_items(df).filter("link = 'u'").count() == 1
+
+
+def test_json_feed(spark):
+    body = """{"version": "https://jsonfeed.org/version/1.1", "title": "f", "items": [
+      {"id": "1", "url": "http://j/1", "title": "A", "content_html": "<p>a &amp; b</p>", "summary": "s", "date_published": "2025-01-02T03:04:05Z"},
+      {"id": "http://j/2", "content_text": "plain", "summary": "s2", "extra": [1]}, {"title": "no link", "summary": "x"}]}"""
+    items = feeds.feed_items(payloads(spark, body))
+    got = {r.link: (r.title, r.content, r.timestamp) for r in feeds.feed_articles(items, NOW, F.lit("content")).collect()}
+    assert got == {"http://j/1": ("A", "a & b", dt.datetime(2025, 1, 2, 3, 4, 5)), "http://j/2": ("", "plain", NOW)}
+    assert {r.content for r in feeds.feed_articles(items, NOW).collect()} == {"s", "s2"}
+
+
+@pytest.mark.parametrize("kind", ["rss", "atom", "jsonl"])
+def test_archives_are_read_in_ranges(spark, tmp_path, kind):
+    """One file cut at every few bytes gives each item once, as a batch and as a stream."""
+    def one(i):
+        link, text = f"http://x/{i}", f"text {i} y" + "y" * (i * 7 % 90)
+        if kind == "jsonl":
+            return json.dumps({"url": link, "title": f"t{i}", "summary": text}) + "\n"
+        if kind == "rss":
+            return f"<item><title>t{i}</title>\n<link>{link}</link><description>{text}</description></item>"
+        return f'<entry><title>t{i}</title><link href="{link}"/>\n<summary>{text}</summary></entry>'
+
+    head, tail = {"rss": ("<rss><channel>", "</channel></rss>"), "atom": ("<feed>", "</feed>"), "jsonl": ("", "")}[kind]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "all.txt").write_text(head + "".join(map(one, range(60))) + tail)
+    wanted = sorted((f"http://x/{i}", f"t{i}", f"text {i} y" + "y" * (i * 7 % 90)) for i in range(60))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "333")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        items = feeds.archive_items(spark, str(tmp_path / "in"), "s", kind)
+        assert items.rdd.getNumPartitions() > 5
+        assert sorted((r.link, r.title, r.description) for r in items.collect()) == wanted
+        stream = feeds.archive_items(spark, str(tmp_path / "in"), "s", kind, stream=True)
+        run = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((r.link, r.title, r.description) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == wanted
+
+
 def test_feed_limit_is_per_document(spark):
     items = feeds.feed_items(payloads(spark, RSS, RSS, ATOM))
     limits = spark.createDataFrame([("s0", 2), ("s1", 0)], "source_id string, limit int")
@@ -61,12 +123,12 @@ def test_feed_limit_is_per_document(spark):
 
 def test_feed_files(spark, tmp_path):
     (tmp_path / "a.xml").write_text(RSS)
-    items = feeds.read_feed_files(spark, str(tmp_path), "s")
+    items = feeds.archive_items(spark, str(tmp_path), "s")
     assert {r.link for r in feeds.feed_articles(items, NOW).collect()} == {"http://x/1", "http://x/4"}
     atom = tmp_path / "atom"
     atom.mkdir()
     (atom / "a.xml").write_text(ATOM)
-    assert [r.link for r in feeds.read_feed_files(spark, str(atom), "s", "atom").collect()] == ["http://x/e"]
+    assert [r.link for r in feeds.archive_items(spark, str(atom), "s", "atom").collect()] == ["http://x/e"]
 
 
 # --- json ------------------------------------------------------------------

@@ -67,6 +67,10 @@ _WORD_EDGES = {
     "b": r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))",
     "B": r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))",
 }
+# Letters that also match a sign outside of ASCII when case is ignored say nothing of word edges.
+_WORD_CHARACTER = re.compile(r"[A-JL-RT-Za-jl-rt-z0-9_]")
+# Classes that hold a shorthand and its opposite hold every character.
+_ANY_CHARACTER = re.compile(r"\[(?:\\s\\S|\\S\\s|\\d\\D|\\D\\d|\\w\\W|\\W\\w)\]")
 _POSIX_CLASS = re.compile(r"\[:(\^?)([a-z]+):\]")
 _REPEAT = re.compile(r"[*+?]|\{(\d+)(?:(,)(\d*))?\}")
 _GROUP = re.compile(r"\(\?(?:P?<(\w+)>|([imsU]*)(-[imsU]+)?([:)]))", re.ASCII)
@@ -147,6 +151,14 @@ def _char_class(pattern: str, i: int) -> tuple[str, int]:
     return "".join(out) + "]", i + 1
 
 
+def _word_edge(pattern: str, i: int, before: str) -> str:
+    """A word edge at i, after the atom ``before``. Next to a character of a word it is no more than a look at the other side."""
+    ahead, repeat = pattern[i + 2 : i + 3], pattern[i + 3 : i + 4]
+    if _WORD_CHARACTER.fullmatch(ahead) and repeat not in ("*", "?", "{"):
+        return r"(?<!\w)"
+    return r"(?!\w)" if _WORD_CHARACTER.fullmatch(before) else _WORD_EDGES["b"]
+
+
 def _translated(pattern: str) -> str:
     # Per open group: whether ^ and $ stand for lines. Laziness and names do not change what matches.
     lines, names = [False], set()
@@ -173,7 +185,11 @@ def _translated(pattern: str) -> str:
             found = _ESCAPE.match(pattern, i)
             if found is None:
                 raise _BadPattern
-            unit, i = _escape(found, in_class=False), found.end()
+            edge = found[0] == r"\b"
+            unit = _word_edge(pattern, i, out[-1] if out else "") if edge else _escape(found, in_class=False)
+            i = found.end()
+        elif (any_character := _ANY_CHARACTER.match(pattern, i)) is not None:
+            unit, i = "(?s:.)", any_character.end()
         elif c == "[":
             unit, i = _char_class(pattern, i)
         elif pattern.startswith("(?", i):
@@ -334,6 +350,61 @@ def apply_filters(
     return articles.filter(filter_condition(by_url, F.col(url_column), fields))
 
 
+# How many different filters a table of sources may hold: each is a predicate of the plan.
+MOST_FILTERS = 2_000
+# Bits of one mask word; the sign stays out of it.
+_WORD_BITS = 62
+
+
+@dataclass(frozen=True)
+class FilterTable:
+    """Filters of any number of sources: the different ones, and per url which of them apply, as bits."""
+
+    filters: tuple[Filter, ...]
+    masks: DataFrame
+
+
+def filter_table(sources: DataFrame, default: Iterable[str] = (), *, inherit: bool = True) -> FilterTable:
+    """From (url, filters array<string>), one row a source. A non-empty list replaces the default; an empty one
+    inherits it, unless ``inherit`` is off. Only the different filters come to the driver, to be read there;
+    more than MOST_FILTERS are an error."""
+    fallback = F.array(*map(F.lit, default)) if inherit and list(default) else F.array()
+    own = F.coalesce("filters", F.array().cast("array<string>"))
+    lists = sources.select("url", F.when(F.size(own) > 0, own).otherwise(fallback.cast("array<string>")).alias("texts"))
+    rows = lists.select(F.explode("texts").alias("text")).distinct().limit(MOST_FILTERS + 1).collect()
+    if len(rows) > MOST_FILTERS:
+        raise ValueError(f"more than {MOST_FILTERS} different filters")
+    texts = sorted(r["text"] for r in rows)
+    wanted = lists.filter(F.size("texts") > 0)
+    place = F.array_position(F.array(*map(F.lit, texts)).cast("array<string>"), F.col("text")) - 1
+    bits = wanted.select("url", F.explode(F.array_distinct("texts")).alias("text")).select("url", place.cast("int").alias("at"))
+    words = -(-len(texts) // _WORD_BITS)
+    word = lambda w: F.expr(f"bit_or(CASE WHEN at DIV {_WORD_BITS} = {w} THEN shiftleft(1L, at % {_WORD_BITS}) ELSE 0L END)")
+    masks = bits.groupBy("url").agg(F.array(*[word(w) for w in range(words)]).cast("array<bigint>").alias("mask"))
+    return FilterTable(tuple(parse_filters(texts)), masks)
+
+
+def apply_filter_table(
+    articles: DataFrame, table: FilterTable, url_column: str = "source_url", fields: Iterable[str] = ARTICLE_FIELDS
+) -> DataFrame:
+    """Articles their source's filters let through; sources without filters keep all.
+
+    One join with the masks; the plan has each different filter once, and a row is tested against those of
+    its own source alone. Spark broadcasts the masks where they are small; else both sides are dealt by url and AQE
+    splits a source that holds most of the articles.
+    """
+    fields = list(fields)
+    masks = table.masks.select(F.col("url").alias("_url"), F.col("mask").alias("_mask"))
+    joined = articles.join(masks, F.col(url_column) == F.col("_url"), "left")
+    keep = F.col("_mask").isNull()
+    tests = []
+    for n, f in enumerate(table.filters):
+        asked = F.get("_mask", n // _WORD_BITS).bitwiseAND(F.lit(1 << n % _WORD_BITS).cast("bigint")) != 0
+        passes, fails = compile_filter(f, fields)
+        tests.append(~asked if fails else ~asked | passes)
+    return joined.filter(keep | reduce(and_, tests, F.lit(True))).select(*articles.columns)
+
+
 def filter_errors(filters: Iterable[Filter], fields: Iterable[str] = ARTICLE_FIELDS) -> list[Filter]:
     """Filters that reject every row because they cannot be evaluated."""
     fields = list(fields)

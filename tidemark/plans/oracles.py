@@ -224,7 +224,7 @@ SQL["uptime_total"] = f"""WITH {ISLANDS}
   SELECT round(greatest(least(coalesce(sum(
       epoch_us(least(recent, TIMESTAMP '2024-01-15')) - epoch_us(greatest(start, TIMESTAMP '2024-01-05'))), 0)
       / (10 * 86400 * 1e6), 1), 0), 6) AS uptime
-  FROM u WHERE service = 'purchase' AND recent > TIMESTAMP '2024-01-05' AND start < TIMESTAMP '2024-01-15'"""
+  FROM u WHERE recent > TIMESTAMP '2024-01-05' AND start < TIMESTAMP '2024-01-15'"""
 
 SQL["uptime_total_by_service"] = f"""WITH {ISLANDS}
   SELECT service, round(greatest(least(sum(
@@ -286,6 +286,14 @@ SQL["filter_per_source"] = f"""SELECT CAST(doc_id AS VARCHAR) AS id, source AS s
              WHEN source = 'src1' THEN contains(text, 'the') AND NOT contains(text, 'http')
              WHEN source = 'src2' THEN lang = 'en' ELSE true END"""
 
+SQL["filter_empty"] = """WITH d AS (SELECT doc_id % 3 = 0 AS untitled, coalesce(text, '') = '' AS blank, doc_id % 2 = 0 AS unlinked FROM documents)
+  SELECT count(*) FILTER (untitled) AS title, count(*) FILTER (NOT untitled) AS no_title,
+         count(*) FILTER (untitled OR blank OR unlinked) AS one_is, count(*) FILTER (NOT (untitled OR blank OR unlinked)) AS none_is, 0::BIGINT AS unknown FROM d"""
+SQL["filter_source_table"] = f"""WITH d AS (SELECT *, doc_id % 50 AS n FROM documents)
+  SELECT CAST(doc_id AS VARCHAR) AS id, 'u' || n AS url FROM d WHERE n NOT IN (SELECT s_suppkey FROM supplier) OR
+    CASE n % 3 WHEN 0 THEN {_BYTES.format("coalesce(text, '')")} >= 2000
+               WHEN 1 THEN contains(text, 'the') AND NOT contains(text, 'http') ELSE lang = 'en' END"""
+
 # --- text, ids, times ------------------------------------------------------
 
 # The entities the pages hold, as characters.
@@ -331,6 +339,21 @@ SQL["feed_articles"] = f"""WITH p AS (SELECT *, page_id % 4 AS kind, {clean('htm
          CASE WHEN kind = 1 THEN {AS_OF} ELSE TIMESTAMP '2025-01-02 03:04:05' END AS timestamp, url AS link
   FROM p WHERE kind < 3 AND content <> ''"""
 
+_LINKED = f"SELECT *, page_id % 4 AS kind, {clean('html')} AS content FROM pages"
+SQL["feed_link_target"] = f"""SELECT 'f-' || CASE page_id % 5 WHEN 2 THEN 'purchase' WHEN 3 THEN 'signup' ELSE 'error' END AS source_id, count(*) AS n
+  FROM ({_LINKED}) WHERE kind < 3 AND page_id % 5 >= 2 AND content <> '' GROUP BY 1"""
+SQL["feed_errors"] = """SELECT 'f-' || page_id % 8 AS source_id, CASE page_id % 8
+      WHEN 1 THEN 'not a feed' WHEN 3 THEN 'feed is empty' WHEN 4 THEN 'feed is not json' WHEN 5 THEN 'not a feed'
+      ELSE 'feed is not xml, or is cut off' END AS error, count(*) AS n
+  FROM pages WHERE page_id % 8 < 6 GROUP BY page_id % 8"""
+SQL["json_feed_articles"] = f"""WITH p AS ({_LINKED}), l AS (
+    SELECT *, url AS link FROM p UNION ALL SELECT *, 'i2://' || page_id FROM p)
+  SELECT {uuid5('link')} AS id, 't' AS title, md5(content) AS content_md5, TIMESTAMP '2024-05-06 05:08:09' AS timestamp, link
+  FROM l WHERE content <> ''"""
+SQL["archive_articles"] = f"""WITH d AS (SELECT 'doc://' || doc_id AS link, source AS title, {clean('text')} AS content FROM documents)
+  SELECT {uuid5('link')} AS id, CASE WHEN title < 'src2' THEN 'rss' ELSE 'jsonl' END AS source_id, title,
+         {_BYTES.format('content')} AS size, link FROM d WHERE content <> ''"""
+
 _ITEM = f"""{uuid5("('e://' || event_id)")} AS id, 's-' || event_type AS source_id,
     CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS title, props AS content,
     CASE event_id % 8 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('second', ts)
@@ -500,6 +523,15 @@ SQL["classify_replies"] = f"""WITH {M}, s AS (
          'content: ' || CASE event_id % 7 WHEN 4 THEN '{_INVALID}' ELSE '{_NO_MAP}' END, NULL, NULL, NULL
   FROM m WHERE event_id % 7 IN (4, 6)"""
 
+SQL["classify_replies_again"] = f"""SELECT article_id, error, category, label, score
+  FROM ({SQL["classify_replies"]}) WHERE article_id::BIGINT % 2 = 1
+  UNION ALL SELECT CAST(event_id AS VARCHAR), NULL, c, 'A', 0.75 FROM events, (VALUES ('language'), ('content')) v(c) WHERE event_id % 2 = 0"""
+
+_ALL_SCORES = f"""SELECT 'prose' AS classification, category, label, count(*) AS n, round(sum(score), 6) AS score
+  FROM ({classified()}) GROUP BY category, label"""
+SQL["drain_unprocessed"] = _ALL_SCORES
+SQL["classify_brought"] = f"{_ALL_SCORES} UNION ALL SELECT '', 'processed', '', 0, 0"
+
 SQL["dead_letters"] = """SELECT CAST(user_id AS VARCHAR) AS article_id, 'events' AS classification,
     count(*) AS attempts, arg_max('boom ' || (event_id % 3), event_id) AS error
   FROM events WHERE event_type = 'error' GROUP BY user_id HAVING count(*) >= 5"""
@@ -559,3 +591,14 @@ _EMBEDDED = f"""e AS (SELECT vec_id AS id, vec_id AS minute, {_V} AS v FROM embe
     AND list_cosine_similarity(a.v, b.v) >= 0.9)"""
 SQL["near_copies"] = f"WITH {_EMBEDDED} SELECT id, id NOT IN (SELECT id FROM n) AS kept FROM e"
 SQL["stream_near_copies"] = f"WITH {_EMBEDDED} SELECT id FROM n"
+
+_UNLINKED = "event_type || chr(31) || user_id || chr(31) || coalesce(props, '') || chr(31) || strftime(ts, '%Y-%m-%d %H:%M:%S')"
+SQL["article_ids"] = f"""SELECT event_id, {uuid5(f"(CASE WHEN event_id % 3 = 0 THEN 'e://' || event_id ELSE {_UNLINKED} END)")} AS id FROM events"""
+
+SQL["classification_reconcile"] = f"""WITH {L}, x AS (
+    SELECT e.event_type AS classification, l.category, l.label FROM l JOIN events e ON l.id = CAST(e.event_id AS VARCHAR)
+    WHERE e.event_type IN ('view', 'click', 'error')), y AS (
+    SELECT * FROM x WHERE NOT (classification = 'click' AND category = 'tier')
+    UNION ALL SELECT event_type, 'actor', 'n/i' FROM events WHERE event_type IN ('click', 'error')
+    UNION ALL SELECT event_type, 'metrics', 'all' FROM events WHERE event_type IN ('view', 'click', 'error'))
+  SELECT classification, category, label, count(*) AS n FROM y GROUP BY ALL"""

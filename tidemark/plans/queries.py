@@ -25,7 +25,7 @@ from ..session import shared_dir, with_rocksdb
 from ..sources import feeds, json_api, uploads, webhooks
 from ..specs import Range, SearchRequest
 from ..streaming import ingest, sessions
-from ..streaming.store import Store
+from ..streaming.store import Batch, Store
 from .bindings import AS_OF, LABEL_AXIS, SPEC, Tables, category, score
 from .views import Panel, Query, View, render
 from .views import Tables as ViewTables
@@ -364,10 +364,8 @@ def uptime_extend(t):
 
 @query
 def uptime_total(t):
-    one = _intervals(t).filter("service = 'purchase'")
-    return rounded(
-        uptime.uptime_total(one, dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 15)), "uptime"
-    )
+    """Of all services: more than one of them is up at most times, so the share is clamped."""
+    return rounded(uptime.uptime_total(_intervals(t), dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 15)), "uptime")
 
 
 @query
@@ -469,6 +467,26 @@ def filter_per_source(t):
     return f.apply_filters(t.documents(), rules, "source_id").select("id", "source_id")
 
 
+@query
+def filter_empty(t):
+    """Empty or missing fields, on their own, on any field, and negated."""
+    docs = t.documents().withColumns({"title": F.when(F.col("id") % 3 != 0, F.col("title")), "link": F.when(F.col("id") % 2 == 0, "").otherwise(F.col("link"))})
+    sets = {"title": ["title.empty.eq.true"], "no_title": ["!title.empty.eq.x"], "one_is": ["empty.eq."], "none_is": ["!empty.eq.true", "content.empty.ne.true"], "unknown": ["tags.empty.eq.true"]}
+    return docs.agg(*[F.count(F.when(f.keep_condition(f.parse_filters(x)), F.lit(1))).alias(k) for k, x in sets.items()])
+
+
+@query
+def filter_source_table(t):
+    """Filters of many sources as a table: a tenth of the suppliers have a list of their own, the same three lists over and over."""
+    docs = t.documents().withColumn("url", F.concat(F.lit("u"), (F.col("id").cast("int") % 50).cast("string")))
+    lists = [["content.len.gte.2000"], ["content.contains.eq.the", "!content.contains.eq.http"], []]
+    key = F.col("s_suppkey")
+    picked = reduce(lambda c, n: c.when(key % 3 == n, F.array(*map(F.lit, lists[n])).cast("array<string>")), (1, 2), F.when(key % 3 == 0, F.array(*map(F.lit, lists[0]))))
+    sources = t.raw("supplier").select(F.concat(F.lit("u"), key).alias("url"), picked.alias("filters"))
+    table = f.filter_table(sources, ["title.regex.eq.^en"])
+    return f.apply_filter_table(docs, table, "url").select("id", "url")
+
+
 # --- text, ids, times ------------------------------------------------------
 
 
@@ -477,6 +495,14 @@ def html_clean(t):
     return t.raw("pages").select("page_id", text.clean(F.col("html")).alias("content"))
 
 
+@query
+def article_ids(t):
+    """Ids of events with a link, with an empty one and with none; these by source, title, content and time."""
+    link = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("e://"), F.col("event_id"))).when(F.col("event_id") % 3 == 1, "")
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    return t.events().select("event_id", ids.article_id(link, F.col("event_type"), F.col("user_id"), F.col("props"), stamp).alias("id"))
+
+
 @query
 def uuid5_links(t):
     return t.raw("pages").select("page_id", ids.uuid5(F.col("url")).alias("id"))
@@ -579,6 +605,66 @@ def feed_articles(t):
     )
 
 
+@query
+def feed_errors(t):
+    """The same feeds spoiled: cut off, cut inside markup, no feed, no markup, blank, or JSON that is none."""
+    n = F.col("page_id") % 8
+    page = _xml(F.col("html"))
+    body = (
+        F.when(n == 0, F.concat(F.lit("<rss><channel><item><link>l</link><description>"), page))
+        .when(n == 1, F.concat(F.lit("<html><body>"), page, F.lit("</body></html>")))
+        .when(n == 2, F.concat(F.lit("just text "), F.col("url")))
+        .when(n == 3, F.lit(" \n"))
+        .when(n == 4, F.concat(F.lit('{"version": "https://jsonfeed.org/version/1.1", "items": [{"url": "'), F.col("url")))
+        .when(n == 5, F.concat(F.lit('{"items": [], "n": '), F.col("page_id"), F.lit("}")))
+        .when(n == 6, F.lit("<?xml version='1.0'?><rss><channel><title>nothing yet</title></channel></rss>"))
+        .otherwise(F.concat(F.lit("<feed><entry><link href='l'/><summary>"), page, F.lit("</summary></entry></feed>")))
+    )
+    spoiled = t.raw("pages").select(F.concat(F.lit("f-"), n).alias("source_id"), body.alias("body"))
+    return feeds.feed_errors(spoiled).groupBy("source_id", "error").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def json_feed_articles(t):
+    """Pages as JSON feeds of two items, one of them linked by its id alone."""
+    item = lambda n, link: F.struct(
+        F.concat(F.lit(f"i{n}://"), F.col("page_id")).alias("id"), link.alias("url"), F.lit("t").alias("title"),
+        F.col("html").alias("content_html"), F.lit("a summary").alias("summary"), F.lit("2024-05-06T07:08:09+02:00").alias("date_published"),
+    )
+    feed = F.struct(
+        F.lit("https://jsonfeed.org/version/1.1").alias("version"), F.array(item(1, F.col("url")), item(2, F.lit(None).cast("string"))).alias("items")
+    )
+    payloads = t.raw("pages").select(F.lit("j").alias("source_id"), F.to_json(feed).alias("body"))
+    articles = feeds.feed_articles(feeds.feed_items(payloads), AS_OF, F.lit("content"))
+    return articles.select("id", "title", F.md5("content").alias("content_md5"), plain("timestamp"), "link")
+
+
+@query
+def feed_link_target(t):
+    """Feeds whose source wants the link's text give nothing here; those that want the description give all that have one."""
+    target = F.when(F.col("source_id") == "f-view", "link").when(F.col("source_id") == "f-click", "other").otherwise("description")
+    articles = feeds.feed_articles(feeds.feed_items(_feed_payloads(t)), AS_OF, target)
+    return articles.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def archive_articles(t):
+    """Documents written as archives of feed items, one RSS file and one of JSON lines a partition, read in ranges and told
+    apart by nothing but their items."""
+    docs = t.raw("documents")
+    folder = _fresh_dir(t)
+    link = F.concat(F.lit("doc://"), F.col("doc_id"))
+    rows = docs.select(link.alias("link"), F.col("source").alias("title"), F.col("text").alias("description"))
+    rows.filter("title < 'src2'").write.format("xml").option("rootTag", "rss").option("rowTag", "item").save(f"{folder}/rss")
+    lines = rows.filter("NOT title < 'src2'").select(F.col("link").alias("url"), "title", F.col("description").alias("summary"))
+    lines.write.json(f"{folder}/jsonl")
+    items = reduce(
+        DataFrame.unionByName, [feeds.archive_items(t.spark, f"{folder}/{kind}", kind, kind) for kind in ("rss", "jsonl")]
+    )
+    articles = feeds.feed_articles(items, AS_OF)
+    return articles.select("id", "source_id", "title", F.octet_length("content").cast("bigint").alias("size"), "link")
+
+
 def _sources(t) -> DataFrame:
     """Event types as sources: one row each."""
     kinds = t.events().select("event_type").distinct()
@@ -904,6 +990,19 @@ def classification_reconcile_plan(t):
     )
 
 
+@query
+def classification_reconcile(t):
+    """The plan applied: scores left per stored classification and attribute, and metrics left per classification."""
+    stored = t.classifications(name=F.col("event_type"))
+    wanted = {"view": ["vector", "tier"], "click": ["vector", "actor"], "error": ["severity", "tier", "actor"], "brand": ["only"]}
+    changes = merge.classification_changes(stored, merge.config_keys(t.spark, wanted)).collect()
+    rows = exploded(merge.reconcile(stored, changes), "classification").groupBy("classification", "category", "label")
+    kept = merge.reconcile_metrics(t.metrics().withColumn("classification", F.col("label")), changes)
+    left = kept.groupBy("classification").agg(F.count(F.lit(1)).alias("n"))
+    counted = rows.agg(F.count(F.lit(1)).alias("n"))
+    return counted.unionByName(left.select("classification", F.lit("metrics").alias("category"), F.lit("all").alias("label"), "n"))
+
+
 @query
 def key_drift(t):
     data = scores.add_keys(scores.remove_keys(F.col("data"), ["tier"]), ["vector", "actor"])
@@ -1004,6 +1103,18 @@ def classify_replies(t):
     )
 
 
+@query
+def classify_replies_again(t):
+    """Replies given twice, an hour apart: the newer one counts, whichever comes first."""
+    base = t.events().withColumn("raw", _raw_reply())
+    asked = F.explode(F.array(F.lit("language"), F.lit("content"))).alias("attribute")
+    first = base.select(F.col("event_id").cast("string").alias("article_id"), F.lit("Prose").alias("classification"), asked, "raw", F.col("ts").alias("received_at"))
+    again = first.withColumns({"raw": F.lit('{"A": 0.75, "B": 0.125}'), "received_at": F.col("received_at") + F.expr("INTERVAL 1 HOUR") * F.when(F.col("article_id") % 2 == 0, 1).otherwise(-1)})
+    rows = c.classify_replies(again.unionByName(first), t.event_articles(), SPEC)
+    flat = rows.select("article_id", "error", F.explode_outer("data").alias("category", "scores"))
+    return flat.select("article_id", "error", "category", F.explode_outer("scores").alias("s")).select("article_id", "error", "category", "s.label", "s.score")
+
+
 @query
 def dead_letters(t):
     failed = t.events().filter("event_type = 'error'").select(
@@ -1144,6 +1255,32 @@ def stream_ingest(t):
     )
 
 
+def _stored_scores(store: Store) -> DataFrame:
+    return store.metrics().groupBy("classification", "category", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 6).alias("score"))
+
+
+@query
+def classify_brought(t):
+    """Articles a caller brings along: classified at once, stored with their metrics, not marked as processed."""
+    store = Store(t.spark, f"{_fresh_dir(t)}/tables")
+    _pipeline(t, store).classify(t.documents(), 0, mark_processed=False)
+    marked = store.processed().agg(F.count(F.lit(1)).alias("n")).select(F.lit("").alias("classification"), F.lit("processed").alias("category"), F.lit("").alias("label"), "n", F.lit(0.0).alias("score"))
+    return _stored_scores(store).unionByName(marked)
+
+
+@query
+def drain_unprocessed(t):
+    """Articles stored, some of them marked as processed before; a drain classifies the rest, a second one finds nothing."""
+    store = Store(t.spark, f"{_fresh_dir(t)}/tables")
+    pipeline = _pipeline(t, store)
+    docs = t.documents()
+    store.write_articles(docs, Batch("landed", 0))
+    pipeline.classify(docs.filter("content LIKE '%the%'"), Batch("landed", 0))
+    pipeline.drain(0)
+    pipeline.drain(1)
+    return _stored_scores(store)
+
+
 @query
 def stream_rollup(t):
     """Label metrics out of the rollup that the write path has kept up, batch by batch."""

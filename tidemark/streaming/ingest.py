@@ -50,6 +50,17 @@ def _webhook(payloads: DataFrame, sources: DataFrame, as_of: dt.datetime) -> Dat
 DRIVERS: dict[str, Driver] = {"rss": _rss, "http": _http, "webhook": _webhook}
 
 
+def _no_paths(payloads: DataFrame, sources: DataFrame) -> DataFrame:
+    return json_api.response_errors(json_api.with_extract(payloads, sources))
+
+
+# Source type -> (source_id, body, error) of payloads no article can be read from. Webhooks answer theirs at once.
+UNREADABLE: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    "rss": lambda payloads, sources: feeds.feed_errors(payloads),
+    "http": _no_paths,
+}
+
+
 def read_all(payloads: dict[str, DataFrame], sources: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Articles of payloads of several source types (by type), as one table."""
     read = [DRIVERS[kind](rows, sources_scan(sources, kind), as_of) for kind, rows in payloads.items()]
@@ -97,9 +108,16 @@ class Pipeline:
         """Parsed rows of a batch, written to a table of their own and read back.
 
         Filters then reach its scan instead of repeating the parsing below it, rows set aside stay there with their
-        error, and a lost executor costs a re-read.
+        error, and a lost executor costs a re-read. Payloads that can't be read at all go to a table beside it.
         """
-        return self.store.stage("incoming", self.read(payloads, self.as_of()), as_batch(batch))
+        batch = as_batch(batch)
+        if self.kind in UNREADABLE:
+            self.store.stage("unreadable", UNREADABLE[self.kind](payloads, sources_scan(self.sources, self.kind)), batch)
+        return self.store.stage("incoming", self.read(payloads, self.as_of()), batch)
+
+    def unreadable(self) -> DataFrame:
+        """Payloads no article could be read from, and why."""
+        return self.store.spark.read.parquet(f"{self.store.root}/unreadable")
 
     def storable(self, landed: DataFrame) -> DataFrame:
         """Landed rows without an error that pass their source's filters."""
