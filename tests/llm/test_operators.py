@@ -125,6 +125,31 @@ def test_ngram_hot_contexts(spark, monkeypatch):
             assert tuple(split[d])[:4] == tuple(r)[:4] and split[d].score == pytest.approx(r.score, abs=1e-9)
 
 
+def test_ngram_rows_keep_their_scores(spark):
+    """Whatever order rows come in, and however often: each gets its own counts and score."""
+    rng = np.random.default_rng(9)
+    data = [(i, " ".join(rng.choice([f"w{k}" for k in range(40)], rng.integers(0, 12)))) for i in range(3000)]
+    data += [(5, data[5][1]), (5, data[5][1]), (6, "another text of this id"), (7, None), (8, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    trains = F.col("doc_id") % 3 != 0
+    plain = sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in ngram_scoring.score(df.coalesce(1), trains).collect())
+    assert sorted((d, n) for d, n, *_ in plain) == sorted((d, len(words(t or "")) + 1) for d, t in data)
+    dealt = ngram_scoring.score(df.repartition(7), trains, shard_tokens=2000).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in dealt) == plain
+
+
+def test_words_of_opposite_letters(spark):
+    """Words that a polynomial hash takes for one: a Thue-Morse word of two letters and its opposite."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    opposite = word.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, word), (2, opposite), (3, f"{word} {opposite}"), (4, word)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.join(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 1}
+    found = rows(ngram_scoring.score(df, F.col("doc_id") == 1), "doc_id")
+    assert (found[2].n_known, found[3].n_known, found[4].n_known) == (1, 2, 2)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(3)
     for n, top in ((0, 1), (1, 2**60), (70_000, 2**40), (200_000, 250_000)):

@@ -339,7 +339,7 @@ def _route(shards: int, hot: list[np.ndarray]) -> callable:
 
         def flush() -> Iterator[pa.RecordBatch]:
             w, v, u, row = (np.concatenate(c) for c in zip(*(h[:4] for h in held), strict=True))
-            uid, trains = (np.concatenate(c) for c in zip(*(h[4:] for h in held), strict=True))
+            uid, own, trains = (np.concatenate(c) for c in zip(*(h[4:] for h in held), strict=True))
             place = w.copy()
             split = np.flatnonzero(_among(w, hot[0])[0])
             if len(split):
@@ -359,14 +359,14 @@ def _route(shards: int, hot: list[np.ndarray]) -> callable:
                 first = np.flatnonzero(np.concatenate(([True], ws[1:] != ws[:-1])))
                 there, rows = np.unique(rows, return_inverse=True)
                 batch_key = int(uid[0])
-                data = _blob(ws[first], np.diff([*first, len(ws)]).astype(np.uint32), v[pick], u[pick], rows.astype(np.uint32), uid[there], trains[there])
+                data = _blob(ws[first], np.diff([*first, len(ws)]).astype(np.uint32), v[pick], u[pick], rows.astype(np.uint32), there.astype(np.int64), trains[there], own[there])
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([batch_key]), pa.array([data], pa.binary())], names=["shard", "batch", "data"])
 
         for batch in slices(batches, "text"):
             w, v, u, row = _trigrams(batch)
-            uid = batch.column("uid").to_numpy()
+            uid, own = batch.column("uid").to_numpy(), batch.column("own").to_numpy()
             trains = batch.column("trains").to_numpy(zero_copy_only=False).astype(np.uint8)
-            held.append((w, v, u, row + docs, uid, trains))
+            held.append((w, v, u, row + docs, uid, own, trains))
             size, docs = size + len(w), docs + batch.num_rows
             if size > _BATCH_TOKENS:
                 yield from flush()
@@ -385,11 +385,11 @@ def _score_shard(tokens: int, vocabulary: int, texts: int, hot: list[tuple[np.nd
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         columns, docs, edges = [], 0, [0]
         for data in frame["data"]:
-            w, n, v, u, row, uid, trains = _unblob(data, [np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.int64, np.uint8])
-            columns.append((np.repeat(w, n), v, u, row.astype(np.int64) + docs, uid, trains))
-            docs += len(uid)
+            w, n, v, u, row, place, trains, own = _unblob(data, [np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.int64, np.uint8, np.int64])
+            columns.append((np.repeat(w, n), v, u, row.astype(np.int64) + docs, place, trains, own))
+            docs += len(place)
             edges.append(docs)
-        w, v, u, row, uid, trains = (np.concatenate(c) for c in zip(*columns, strict=True))
+        w, v, u, row, place, trains, own = (np.concatenate(c) for c in zip(*columns, strict=True))
         del columns
         unique, number = np.unique(w, return_inverse=True)
         order = np.lexsort((u, number.astype(np.uint64) << np.uint64(32) | v.astype(np.uint64)))
@@ -419,19 +419,19 @@ def _score_shard(tokens: int, vocabulary: int, texts: int, hot: list[tuple[np.nd
         total, plain = np.bincount(row, (over - under)[gram], docs), np.bincount(row, np.log10(count + 1)[gram], docs)
         known, size = np.bincount(row, (count > 0)[gram], docs), np.bincount(row, minlength=docs)
         # Back to the batches the tokens came from, a row for each.
-        sums = [uid, total, plain, known.astype(np.int64), size.astype(np.int64)]
+        sums = [place, own, total, plain, known.astype(np.int64), size.astype(np.int64)]
         return pd.DataFrame({"batch": frame["batch"], "data": [_blob(*(c[a:b] for c in sums)) for a, b in zip(edges, edges[1:], strict=False)]})
 
     return run
 
 
 def _sum_up(frame: pd.DataFrame) -> pd.DataFrame:
-    """The documents of a batch, from what all shards found."""
-    parts = [_unblob(d, [np.int64, np.float64, np.float64, np.int64, np.int64]) for d in frame["data"]]
-    uid, *values = (np.concatenate(c) for c in zip(*parts, strict=True))
-    uid, row = np.unique(uid, return_inverse=True)
-    score, plain, known, size = (np.bincount(row, v, len(uid)) for v in values)
-    return pd.DataFrame({"uid": uid, "score": score, "plain": plain, "known": known.astype(np.int64), "size": size.astype(np.int64)})
+    """The documents of a batch, from what all shards found, each by its place in the batch and named by its own hash."""
+    parts = [_unblob(d, [np.int64, np.int64, np.float64, np.float64, np.int64, np.int64]) for d in frame["data"]]
+    place, own, *values = (np.concatenate(c) for c in zip(*parts, strict=True))
+    place, first, row = np.unique(place, return_index=True, return_inverse=True)
+    score, plain, known, size = (np.bincount(row, v, len(place)) for v in values)
+    return pd.DataFrame({"own": own[first], "score": score, "plain": plain, "known": known.astype(np.int64), "size": size.astype(np.int64)})
 
 
 def score(docs: DataFrame, trains: Column, text: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -448,14 +448,17 @@ def score(docs: DataFrame, trains: Column, text: str = "text", shard_tokens: int
     shards, most = 1 + total["all"] // shard_tokens, shard_tokens // 4
     hot = [_counted(counts.where(F.col("n") > most).collect() if shards > 1 else [], "trained")]
     hot += hot_contexts(rows, hot[0][0], total["all"], most) if len(hot[0][0]) else [hot[0]] * 2
-    rows = rows.withColumn("uid", F.monotonically_increasing_id())
+    # Batches are told apart by the number of their first row, which counts in this pass alone. A row is known by its id and text, which
+    # say the same whenever they are worked out; rows equal in both score alike.
+    rows = rows.withColumn("own", F.xxhash64("doc_id", "text"))
+    numbered = rows.select(F.monotonically_increasing_id().alias("uid"), "own", "text", "trains")
     route = _route(shards, [keys for keys, _ in hot])
-    routed = rows.select("uid", "text", "trains").mapInArrow(route, "shard int, batch long, data binary")
+    routed = numbered.mapInArrow(route, "shard int, batch long, data binary")
     scored = _score_shard(total["n"], total["v"], texts, hot)
     parts = routed.groupBy("shard").applyInPandas(scored, "batch long, data binary")
-    sums = parts.groupBy("batch").applyInPandas(_sum_up, "uid long, score double, plain double, known long, size long")
+    sums = parts.groupBy("batch").applyInPandas(_sum_up, "own long, score double, plain double, known long, size long").dropDuplicates(["own"])
     base = F.col("plain") - F.col("size") * F.lit(float(np.log10(total["n"] + total["v"] + 1)))
-    return rows.select("uid", "doc_id").join(sums, "uid").select(
+    return rows.select("own", "doc_id").join(sums, "own").select(
         "doc_id", F.col("size").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(total["n"]).cast("long").alias("train_tokens"),
         base.alias("base_score"), "score",
     )
