@@ -359,7 +359,12 @@ def _route(shards: int, hot: list[np.ndarray]) -> callable:
                 first = np.flatnonzero(np.concatenate(([True], ws[1:] != ws[:-1])))
                 there, rows = np.unique(rows, return_inverse=True)
                 batch_key = int(uid[0])
-                data = _blob(ws[first], np.diff([*first, len(ws)]).astype(np.uint32), v[pick], u[pick], rows.astype(np.uint32), there.astype(np.int64), trains[there], own[there])
+                # A document is named where its one end token goes, and known by its place elsewhere.
+                ends = rows[ws == END]
+                data = _blob(
+                    ws[first], np.diff([*first, len(ws)]).astype(np.uint32), v[pick], u[pick], rows.astype(np.uint32), there.astype(np.int64), trains[there],
+                    ends.astype(np.uint32), own[there[ends]],
+                )
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([batch_key]), pa.array([data], pa.binary())], names=["shard", "batch", "data"])
 
         for batch in slices(batches, "text"):
@@ -383,13 +388,14 @@ def _score_shard(tokens: int, vocabulary: int, texts: int, hot: list[tuple[np.nd
     first_denominator = np.log10((A + B) * texts + M)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        columns, docs, edges = [], 0, [0]
+        columns, named, docs, edges = [], [], 0, [0]
         for data in frame["data"]:
-            w, n, v, u, row, place, trains, own = _unblob(data, [np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.int64, np.uint8, np.int64])
-            columns.append((np.repeat(w, n), v, u, row.astype(np.int64) + docs, place, trains, own))
+            w, n, v, u, row, place, trains, ends, own = _unblob(data, [np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.int64, np.uint8, np.uint32, np.int64])
+            columns.append((np.repeat(w, n), v, u, row.astype(np.int64) + docs, place, trains))
+            named.append((place[ends], own))
             docs += len(place)
             edges.append(docs)
-        w, v, u, row, place, trains, own = (np.concatenate(c) for c in zip(*columns, strict=True))
+        w, v, u, row, place, trains = (np.concatenate(c) for c in zip(*columns, strict=True))
         del columns
         unique, number = np.unique(w, return_inverse=True)
         order = np.lexsort((u, number.astype(np.uint64) << np.uint64(32) | v.astype(np.uint64)))
@@ -419,19 +425,21 @@ def _score_shard(tokens: int, vocabulary: int, texts: int, hot: list[tuple[np.nd
         total, plain = np.bincount(row, (over - under)[gram], docs), np.bincount(row, np.log10(count + 1)[gram], docs)
         known, size = np.bincount(row, (count > 0)[gram], docs), np.bincount(row, minlength=docs)
         # Back to the batches the tokens came from, a row for each.
-        sums = [place, own, total, plain, known.astype(np.int64), size.astype(np.int64)]
-        return pd.DataFrame({"batch": frame["batch"], "data": [_blob(*(c[a:b] for c in sums)) for a, b in zip(edges, edges[1:], strict=False)]})
+        sums = [place.astype(np.uint32), total, plain, known.astype(np.uint32), size.astype(np.uint32)]
+        parts = zip(edges, edges[1:], named, strict=False)
+        return pd.DataFrame({"batch": frame["batch"], "data": [_blob(*(c[a:b] for c in sums), at.astype(np.uint32), own) for a, b, (at, own) in parts]})
 
     return run
 
 
 def _sum_up(frame: pd.DataFrame) -> pd.DataFrame:
     """The documents of a batch, from what all shards found, each by its place in the batch and named by its own hash."""
-    parts = [_unblob(d, [np.int64, np.int64, np.float64, np.float64, np.int64, np.int64]) for d in frame["data"]]
-    place, own, *values = (np.concatenate(c) for c in zip(*parts, strict=True))
-    place, first, row = np.unique(place, return_index=True, return_inverse=True)
-    score, plain, known, size = (np.bincount(row, v, len(place)) for v in values)
-    return pd.DataFrame({"own": own[first], "score": score, "plain": plain, "known": known.astype(np.int64), "size": size.astype(np.int64)})
+    parts = [_unblob(d, [np.uint32, np.float64, np.float64, np.uint32, np.uint32, np.uint32, np.int64]) for d in frame["data"]]
+    place, *values, at, own = (np.concatenate(c) for c in zip(*parts, strict=True))
+    score, plain, known, size = (np.bincount(place, v) for v in values)
+    names = np.zeros(len(size), np.int64)
+    names[at] = own
+    return pd.DataFrame({"own": names, "score": score, "plain": plain, "known": known.astype(np.int64), "size": size.astype(np.int64)})
 
 
 def score(docs: DataFrame, trains: Column, text: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
