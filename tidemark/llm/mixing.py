@@ -9,8 +9,9 @@ meet in the next round, block by block, until each source has two at most: these
 whichever of the outcomes lies nearest to the totals.
 
 Blocks are ranges of a hash of the row, so a hot source is many blocks, and reruns agree. Null
-texts have size 0. Null sources are a source of their own, last. Rows equal in id,
-source and text are one unit: they are taken equally often. Documents of size 0 are never
+texts have size 0. Null sources are a source of their own, last. Rows equal in id, source and text are told apart by
+a number: of c copies with fraction p, floor(c p) are taken once more for sure and the fraction of c p is
+the probability of one other, so any two are taken equally often or once apart. Documents of size 0 are never
 taken. An empty table gives an empty result, one without words takes nothing. Extra
 columns are kept, whatever their names (working columns start with ``__``).
 """
@@ -19,13 +20,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD, materialize
 
 BLOCK = 2000
 MOST = 3
+# Parts that the copies of one row are numbered in.
+SPREAD = 64
 _EPS = 1e-9
 
 
@@ -91,16 +94,17 @@ def land(p: np.ndarray, words: np.ndarray, docs: np.ndarray) -> np.ndarray:
 def _fly(frame: pd.DataFrame) -> pd.DataFrame:
     """One block of one source."""
     frame = frame.sort_values("key", ignore_index=True)
-    words = (frame["size"] * frame["copies"]).to_numpy(float)
-    docs = frame["copies"].to_numpy(float)
+    words = frame["size"].to_numpy(float)
+    docs = np.ones(len(frame))
     rng = np.random.default_rng(int(frame["key"].iloc[0]) & (2**63 - 1))
     p = flight(frame["p"].to_numpy(float), words, docs, rng)
     frame["p"] = land(p, words, docs) if (frame["blocks"] == 1).all() else p
-    return frame[["s", "key", "size", "copies", "p"]]
+    return frame[["s", "key", "size", "p"]]
 
 
 def mix(docs: DataFrame, source: str = "source", text: str = "text", most: int = MOST, block: int = BLOCK) -> tuple[Column, DataFrame]:
-    """The key of a row of ``docs``, and (key, source_size, target, times) by key.
+    """The key of a row of ``docs``, and (key, source_size, target, copies, times) by key: how many rows have the key, and
+    how often they are taken in all.
 
     Per source there is one row of totals on the driver; per document nothing.
     """
@@ -118,8 +122,12 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", most: int =
     units = units.alias("a").join(F.broadcast(totals), of(totals)).select("a.*", "source_size", "target", "ratio")
     part = F.col("ratio") - F.floor("ratio")
     units = units.withColumn("base", F.when(F.col("size") > 0, F.floor(F.col("ratio") + _EPS)).otherwise(0).cast("int"))
-    units = units.withColumn("p", F.when((F.col("size") > 0) & (part > _EPS) & (part < 1 - _EPS), part).otherwise(0.0))
-    left = units.where("p > 0").select("s", "key", "size", "copies", "p")
+    # What all copies of a row are to get beyond the base, for sure and by chance.
+    extra = F.when((F.col("size") > 0) & (part > _EPS) & (part < 1 - _EPS), part * F.col("copies")).otherwise(0.0)
+    units = units.withColumn("extra", extra).withColumn("sure", F.floor(F.col("extra") + _EPS))
+    chance = F.col("extra") - F.col("sure")
+    units = units.withColumn("p", F.when((chance > _EPS) & (chance < 1 - _EPS), chance).otherwise(0.0))
+    left = units.where("p > 0").select("s", "key", "size", "p")
     decided = spark.createDataFrame([], "key long, more int")
     while True:
         # What is left of many blocks meets in fewer; a source with one block lands there.
@@ -129,15 +137,35 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", most: int =
         counts = spark.createDataFrame(counts, "s string, blocks long")
         dealt = left.alias("a").join(F.broadcast(counts), of(counts)).select("a.*", "blocks")
         slot = F.pmod("key", "blocks").alias("slot")
-        moved = materialize(dealt.groupBy("s", slot).applyInPandas(_fly, "s string, key long, size long, copies long, p double"))
+        moved = materialize(dealt.groupBy("s", slot).applyInPandas(_fly, "s string, key long, size long, p double"))
         decided = decided.union(moved.where(f"p <= {_EPS} or p >= 1 - {_EPS}").select("key", F.round("p").cast("int").alias("more")))
         left = moved.where(f"p > {_EPS} and p < 1 - {_EPS}")
-    times = F.col("base") + F.coalesce("more", F.lit(0))
-    return key, units.join(decided, "key", "left").select("key", "source_size", "target", times.alias("times"))
+    times = F.col("base") * F.col("copies") + F.col("sure") + F.coalesce("more", F.lit(0))
+    return key, units.join(decided, "key", "left").select("key", "source_size", "target", "copies", times.alias("times"))
+
+
+def shared(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` that carry their key's ``__copies`` and ``__times``, with ``__own``, how often each row itself is taken.
+
+    Only rows whose copies are taken unequally are numbered: within a spread of SPREAD parts of a key, after the
+    rows of the parts before, so that no task numbers all copies of one document.
+    """
+    even = F.pmod("__times", "__copies") == 0
+    each = F.floor(F.col("__times") / F.col("__copies"))
+    plain = rows.where(even).withColumn("__own", each)
+    uneven = materialize(rows.where(~even).withColumn("__place", F.monotonically_increasing_id()))
+    uneven = uneven.withColumn("__part", F.pmod("__place", F.lit(SPREAD)))
+    held = uneven.groupBy(key, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(key).orderBy("__part")) - F.col("__n")
+    starts = held.select(key, "__part", before.alias("__before"))
+    nth = F.row_number().over(Window.partitionBy(key, "__part").orderBy("__place")) + F.col("__before")
+    numbered = uneven.join(starts, [key, "__part"]).withColumn("__own", each + (nth <= F.pmod("__times", "__copies")).cast("long"))
+    return plain.unionByName(numbered.select(plain.columns))
 
 
 def mixed(docs: DataFrame, source: str = "source", text: str = "text", most: int = MOST) -> DataFrame:
     """Documents of the mix, a row for each time one is taken; the columns of ``docs``."""
     key, times = mix(docs, source, text, most)
-    chosen = docs.withColumn("__key", key).join(times.where("times > 0").select(F.col("key").alias("__key"), F.col("times").alias("__times")), "__key")
-    return chosen.withColumn("__nth", F.explode(F.sequence(F.lit(1), "__times"))).select(docs.columns)
+    wanted = times.where("times > 0").select(F.col("key").alias("__key"), F.col("copies").alias("__copies"), F.col("times").alias("__times"))
+    chosen = shared(docs.withColumn("__key", key).join(wanted, "__key"), "__key").where("__own > 0")
+    return chosen.withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), "__own"))).select(docs.columns)

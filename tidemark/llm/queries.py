@@ -66,7 +66,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     key, times = mixing.mix(docs)
     sizes = docs.select("doc_id", key.alias("key"), mixing.word_count("text").alias("size"))
-    return sizes.join(times, "key").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    rows = sizes.join(times.withColumnsRenamed({"copies": "__copies", "times": "__times"}), "key")
+    return mixing.shared(rows, "key").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("__own")).alias("taken"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
