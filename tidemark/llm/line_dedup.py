@@ -31,17 +31,20 @@ def html_lines(html: Column) -> Column:
     return F.trim(F.regexp_replace(spaced, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
-def boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(__site, __line, on_pages, site_pages): lines on more than ``ratio`` of a site's pages.
+def boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
+    """(__site, __line, on_pages, site_pages): lines on more than ``ratio`` of a site's pages. With ``distinct``, pages of one text count as one.
 
     A row per line and site that exceeds the ratio, so at most sum(lines of a page) / ratio a site.
     """
     own = F.filter(F.array_distinct(F.transform(F.split(text, "\n"), _trimmed)), lambda x: x != "")
-    lines = pages.select(F.coalesce(F.col(site), F.lit("")).alias("__site"), own.alias("__own"))
-    total = lines.groupBy("__site").agg(F.count(F.lit(1)).alias("site_pages"))
+    page = [F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("__page")] if distinct else []
+    lines = pages.select(F.coalesce(F.col(site), F.lit("")).alias("__site"), own.alias("__own"), *page)
+    one = (lambda df: df.distinct()) if distinct else (lambda df: df)
+    total = one(lines.drop("__own")).groupBy("__site").agg(F.count(F.lit(1)).alias("site_pages"))
+    line = [F.xxhash64("__line").alias("__h"), F.crc32(F.col("__line").cast("binary")).alias("__c"), F.length("__line").alias("__n")]
     counted = (
-        lines.select("__site", F.explode("__own").alias("__line"))
-        .groupBy("__site", F.xxhash64("__line").alias("__h"), F.crc32(F.col("__line").cast("binary")).alias("__c"), F.length("__line").alias("__n"))
+        one(lines.select("__site", F.explode("__own").alias("__line"), *[F.col("__page") for _ in page]).select("__site", *line, *[F.col("__page") for _ in page]))
+        .groupBy("__site", "__h", "__c", "__n")
         .agg(F.count(F.lit(1)).alias("on_pages"))
         .where(F.col("on_pages") >= min_pages)
     )
@@ -52,9 +55,9 @@ def _trimmed(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\r"))
 
 
-def drop_boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
     """The rows of ``pages`` with ``text`` cut, plus ``__lines`` and ``__dropped`` (line counts)."""
-    found = boilerplate(pages, site, text, ratio, min_pages)
+    found = boilerplate(pages, site, text, ratio, min_pages, distinct)
     # As text keys: what a page looks its lines up in. One row per site, bounded as above.
     key = F.concat_ws(":", "__h", "__c", "__n")
     per_site = found.groupBy("__site").agg(F.collect_set(key).alias("__bad"))
