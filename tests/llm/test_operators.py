@@ -111,7 +111,7 @@ def test_ngram_hot_contexts(spark, monkeypatch):
             run = make(*given)
 
             def counted(frame):
-                n = sum(len(ngram_scoring._unblob(d, [np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.int64, np.uint8])[2]) for d in frame["data"])
+                n = sum(len(ngram_scoring._unblob(d, [np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.int64, np.uint8, np.uint32, np.int64])[2]) for d in frame["data"])
                 sizes.add(n > 2 * 400)
                 return run(frame)
 
@@ -318,6 +318,34 @@ def test_mixing(spark, duck, texts):
     assert ((q > 1e-9) & (q < 1 - 1e-9)).sum() <= 2 and q @ w == pytest.approx(p @ w) and q.sum() == pytest.approx(p.sum())
 
 
+def test_mixing_repeated_rows(spark):
+    """Copies are units of their own: targets, worked out here by hand, are met within a document where all rows are equal."""
+    # 1,400 documents of 4 words: weights 1 and 2 share 5,600 words, 1,866.7 and 3,733.3, below thrice each source's 4,000 and 1,600.
+    data = [(1, "one two three four", "a")] * 1000 + [(2, "one two three four", "b")] * 400
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").withColumn("extra", F.monotonically_increasing_id()).repartition(5)
+    mixed = mixing.mixed(df)
+    taken = {r.source: r["count"] * 4 for r in mixed.groupBy("source").count().collect()}
+    assert abs(taken["a"] - 5600 / 3) <= 4 and abs(taken["b"] - 2 * 5600 / 3) <= 4
+    times = sorted(r["count"] for r in mixed.where("source = 'b'").groupBy("extra").count().collect())
+    assert len(times) == 400 and set(times) <= {2, 3}
+    # Copies of several documents, beside others: each source within its largest document.
+    rng = np.random.default_rng(3)
+    data = [(i, "w " * int(rng.integers(1, 30)), "abc"[int(rng.integers(3))]) for i in range(60)]
+    data = [r for r in data for _ in range(int(rng.integers(1, 40)))]
+    own, largest = Counter(), 0
+    for _, text, source in data:
+        own[source] += len(text.split())
+        largest = max(largest, len(text.split()))
+    total = sum(own.values())
+    goal = {"a": total / 6, "b": total / 3, "c": total / 2}
+    assert all(goal[s] <= 3 * own[s] for s in own)
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    taken = Counter()
+    for r in mixing.mixed(df).collect():
+        taken[r.source] += len(r.text.split())
+    assert all(abs(taken[s] - goal[s]) <= largest for s in own)
+
+
 def components_by_hand(sets, percent):
     label = {d: d for d in sets}
     changed = True
