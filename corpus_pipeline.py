@@ -18,14 +18,17 @@ WORDS, PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject; it learns from all labels."""
-    scored = toxicity.score(docs, table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 0").select(docs.columns)
+    """Documents that the classifier does not reject; it learns from all labels. The columns it adds replace none of the documents' own."""
+    own = {name: f"__own_{name}" for name in ("score", "predicted") if name in docs.columns}
+    scored = toxicity.score(docs.withColumnsRenamed(own), table(spark, sf_dir, "labels"))
+    kept = scored.where("predicted = 0").drop("score", "predicted")
+    return kept.withColumnsRenamed({held: name for name, held in own.items()}).select(docs.columns)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand in too large a share of their source."""
-    cut = line_dedup.drop_boilerplate(docs, "source", "text")
+    """Documents without the lines that stand in too large a share of their source's texts. Copies of a text count
+    as one here, so that they keep their lines and the next stage one of them."""
+    cut = line_dedup.drop_boilerplate(docs, "source", "text", distinct=True)
     return cut.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(docs.columns)
 
 
