@@ -37,9 +37,11 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one the cluster shares; one of our own only where none is named."""
+    """A new folder below the one the cluster shares; one of our own only in a local session where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder they share")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="tidemark-"))
         base = _own_folder[0]
