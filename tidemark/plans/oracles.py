@@ -342,6 +342,8 @@ SQL["feed_articles"] = f"""WITH p AS (SELECT *, page_id % 4 AS kind, {clean('htm
 _LINKED = f"SELECT *, page_id % 4 AS kind, {clean('html')} AS content FROM pages"
 SQL["feed_link_target"] = f"""SELECT 'f-' || CASE page_id % 5 WHEN 2 THEN 'purchase' WHEN 3 THEN 'signup' ELSE 'error' END AS source_id, count(*) AS n
   FROM ({_LINKED}) WHERE kind < 3 AND page_id % 5 >= 2 AND content <> '' GROUP BY 1"""
+SQL["feed_limits"] = """SELECT 'f-' || page_id % 4 AS source_id, url || '#' || seq AS link, seq::BIGINT AS seq
+  FROM pages, range(3) r(seq) WHERE seq < CASE page_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END"""
 SQL["feed_errors"] = """SELECT 'f-' || page_id % 8 AS source_id, CASE page_id % 8
       WHEN 1 THEN 'not a feed' WHEN 3 THEN 'feed is empty' WHEN 4 THEN 'feed is not json' WHEN 5 THEN 'not a feed'
       ELSE 'feed is not xml, or is cut off' END AS error, count(*) AS n

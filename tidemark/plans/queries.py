@@ -639,6 +639,17 @@ def json_feed_articles(t):
     return articles.select("id", "title", F.md5("content").alias("content_md5"), plain("timestamp"), "link")
 
 
+@query
+def feed_limits(t):
+    """The first items of each feed document, for sources that set a limit; zero and none keep all three."""
+    n = F.col("page_id")
+    items = F.transform(F.array(*map(F.lit, range(3))), lambda i: F.struct(F.concat(F.col("url"), F.lit("#"), i.cast("string")).alias("url"), F.lit("s").alias("summary")))
+    feed = F.struct(F.lit("https://jsonfeed.org/version/1.1").alias("version"), items.alias("items"))
+    payloads = t.raw("pages").select(F.concat(F.lit("f-"), n % 4).alias("source_id"), F.to_json(feed).alias("body"))
+    limits = t.spark.createDataFrame([("f-0", 1), ("f-1", 2), ("f-2", 0)], "source_id string, limit int")
+    return feeds.limit_items(feeds.feed_items(payloads), limits).select("source_id", "link", F.col("seq").cast("bigint").alias("seq"))
+
+
 @query
 def feed_link_target(t):
     """Feeds whose source wants the link's text give nothing here; those that want the description give all that have one."""

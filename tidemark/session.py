@@ -65,11 +65,12 @@ def _ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The folder every executor can reach, as named by the cluster.
 
-    ``fallback`` is for local tests, where no such folder is configured.
+    ``fallback`` is for local sessions, where no such folder is configured; on a cluster each machine
+    would have another one under that name.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if fallback is None:
+    if fallback is None or not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError("spark.checkpoint.dir is unset and no folder was given")
     return fallback.rstrip("/")

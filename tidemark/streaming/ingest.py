@@ -186,9 +186,13 @@ class Pipeline:
         self._classify_new(batch)
 
     def _classify_new(self, batch: Batch) -> None:
-        # The native scorer cannot fail, so it leaves nothing over.
-        native = self.make_scorer is None
-        self.classify(self._fresh(batch) if native else self.pending(batch), batch)
+        if self.make_scorer is not None:
+            self.classify(self.pending(batch), batch)
+            return
+        # The native scorer cannot fail, so it leaves nothing over, and a batch without new articles has nothing to do.
+        fresh = self._fresh(batch)
+        if not fresh.isEmpty():
+            self.classify(fresh, batch)
 
     def drain(self, number: int) -> None:
         """Classify everything stored and not yet processed, in one distributed pass. Drains have
