@@ -139,6 +139,23 @@ def _least_shared(na: Column, nb: Column, percent: int) -> Column:
     return ceil((na + nb) * percent, 100 + percent) - ceil(F.greatest(na, nb) * percent, 100) + 1
 
 
+SKETCH = 4  # words of 64 bits
+
+
+def sketches(firsts: DataFrame) -> DataFrame:
+    """(point, bits0, ..., doubled): first shingles as bits of SKETCH words, and how many of them fell on a bit that was set."""
+    word = lambda w: F.expr(f"aggregate(firsts, 0L, (s, x) -> IF((x >> 6 & {SKETCH - 1}) = {w}, s | shiftleft(1L, int(x & 63)), s))")
+    made = firsts.select("point", F.size("firsts").alias("size"), *[word(w).alias(f"bits{w}") for w in range(SKETCH)])
+    held = sum((F.bit_count(f"bits{w}") for w in range(1, SKETCH)), F.bit_count("bits0"))
+    return made.withColumn("doubled", F.col("size") - held).drop("size")
+
+
+def _most_shared(a: str, b: str) -> Column:
+    """What sets share at most, by their sketches: each shared shingle has a bit set in both, its own or a doubled one."""
+    both = [F.bit_count(F.col(f"{a}.bits{w}").bitwiseAND(F.col(f"{b}.bits{w}"))) for w in range(SKETCH)]
+    return sum(both[1:], both[0]) + F.least(f"{a}.doubled", f"{b}.doubled")
+
+
 def _may_link(pairs: DataFrame, firsts: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that sizes and the number of shared first shingles allow.
 
@@ -187,9 +204,8 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, leaf: int = LEAF) -
         F.min("point").alias("pivot"), F.max("point").alias("last"), F.min_by("n", "point").alias("pivot_n"), F.min_by("place", "point").alias("pivot_place")
     ).where("pivot <> last")
     live = materialize(members.join(regions.drop("last"), "shingle").distinct())
-    # The shared first shingles of each point, in order: a bounded part of its set.
-    in_order = F.transform(F.sort_array(F.collect_list(F.struct("place", "shingle"))), lambda x: x["shingle"])
-    firsts = materialize(live.groupBy("point").agg(in_order.alias("firsts")))
+    # The shared first shingles of each point: a bounded part of its set.
+    firsts = materialize(live.groupBy("point").agg(F.collect_list("shingle").alias("firsts")))
     links = usable.where("1 = 0").select(F.col("point").alias("a"), F.col("point").alias("b"))
     may_meet = _placed(F.col("n"), F.col("place"), F.col("pivot_n"), F.col("pivot_place"), percent)
     ahead = live.where((F.col("point") != F.col("pivot")) & may_meet).select(F.col("point").alias("a"), F.col("pivot").alias("b")).distinct()
@@ -232,15 +248,15 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, leaf: int = LEAF) -
         links = links.union(found.where(_near(percent)).select("a", "b"))
     meets = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.point") < F.col("b.point")) & window("a", "b")
     # Regions that fell away lie in one component, and windows hold for pairs, so a pair that is still of interest
-    # meets in the region of the first shingle it shares, and is taken there alone, if its sizes, its places there and
-    # the number of first shingles it shares say that it may be near enough.
+    # meets once for each of the first shingles it shares. Sketches rule out most that share too few before they are counted.
     sized = F.greatest("a.n", "b.n") * percent <= F.least("a.n", "b.n") * 100
-    shared = F.array_intersect("a.firsts", "b.firsts")
-    first = F.get(shared, 0) == F.col("a.shingle")
-    enough = F.size(shared) >= _least_shared(F.col("a.n"), F.col("b.n"), percent)
-    rest = live.select("shingle", "point", "n", "place", "d", "component").join(firsts, "point")
-    left = rest.alias("a").join(rest.alias("b"), meets & sized & placed("a", "b") & first & enough)
-    left = left.select(F.col("a.point").alias("a"), F.col("b.point").alias("b"))
+    enough = _most_shared("a", "b") >= _least_shared(F.col("a.n"), F.col("b.n"), percent)
+    rest = live.join(sketches(firsts), "point")
+    left = rest.alias("a").join(rest.alias("b"), meets & sized & enough).select(
+        F.col("a.point").alias("a"), F.col("b.point").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"), placed("a", "b").alias("placed")
+    )
+    left = left.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"), F.bool_or("placed").alias("placed"))
+    left = left.where(F.col("placed") & (F.col("shared") >= _least_shared(F.col("na"), F.col("nb"), percent))).select("a", "b")
     found = measured(left, docs, own, words, percent)
     links = links.union(found.where(_near(percent)).select("a", "b"))
     # Ids that stand for several sets tie those together.
