@@ -397,3 +397,13 @@ def test_drivers_cover_feeds_and_json(spark, tmp_path):
         assert [(r.title, r.content, r.source_type) for r in p.store.articles().collect()] == [("A", "cat", kind)]
         p.land(spark.createDataFrame([("s1", None, None, body[:-9], None)], schemas.PAYLOADS), 1)
         assert [(r.source_id, "not" in r.error) for r in p.unreadable().filter("source_id = 's1'").collect()] == [("s1", True)]
+
+
+def test_payloads_are_not_dealt_out_by_source(spark, tmp_path):
+    """One source may send most of a batch: joined by a shuffle on its id or route, one task would read all of that."""
+    for kind in ("rss", "http", "webhook"):
+        sources = spark.createDataFrame([{**SOURCE, "type": kind}], schemas.SOURCES)
+        p = ingest.Pipeline(Store(spark, str(tmp_path / kind)), kind, sources, SPEC, as_of=lambda: NOW)
+        found = p.read(spark.createDataFrame([], schemas.PAYLOADS), NOW)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan

@@ -30,9 +30,9 @@ def extract_paths(sources: DataFrame) -> Column:
 
 def with_extract(payloads: DataFrame, sources: DataFrame) -> DataFrame:
     """Payloads with the extraction paths of their source. The sources table is as small
-    as the configuration; Spark broadcasts it by its size."""
+    as the configuration, and is broadcast: payloads of one source may be most of a batch."""
     paths = sources.select(F.col("id").alias("source_id"), extract_paths(sources).alias("paths"))
-    return payloads.join(paths, "source_id", "left")
+    return payloads.join(F.broadcast(paths), "source_id", "left")
 
 
 def read_articles(rows: DataFrame, kind: str, as_of: dt.datetime) -> DataFrame:

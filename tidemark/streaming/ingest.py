@@ -31,6 +31,8 @@ def _rss(payloads: DataFrame, sources: DataFrame, as_of: dt.datetime) -> DataFra
         F.coalesce(F.get_json_object("spec", "$.limit").try_cast("int"), F.lit(0)).alias("limit"),
         F.col("spec").isNotNull().alias("has_spec"),
     )
+    # Payloads of one source may be most of a batch, so they are never dealt out by source.
+    options = F.broadcast(options)
     items = feeds.limit_items(feeds.feed_items(payloads), options.select("source_id", "limit"))
     # A spec that names no target asks for nothing; only a missing spec means description.
     target = F.when(F.col("has_spec"), F.coalesce("target", F.lit("")))
@@ -72,7 +74,8 @@ def with_source_url(articles: DataFrame, sources: DataFrame) -> DataFrame:
     active = sources_scan(sources, active_only=True).select(
         F.col("id").alias("source_id"), F.col("url").alias("source_url")
     )
-    return articles.join(active, "source_id", "left")
+    # Articles of one source may be most of a batch, so they are never dealt out by source.
+    return articles.join(F.broadcast(active), "source_id", "left")
 
 
 def attach_source(articles: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
