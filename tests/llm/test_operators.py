@@ -255,6 +255,25 @@ def test_embedding_cells_lose_nothing(spark):
     assert found[1005].component_id == found[0].component_id
 
 
+def test_bpe_looks_only_where_a_token_may_begin():
+    """The longest token has 128 bytes; an end of a long piece is not tried against as many starts."""
+    looked = 0
+
+    class Ranks(dict):
+        def get(self, key, default=None):
+            nonlocal looked
+            looked += 1
+            return super().get(key, default)
+
+    ranks = bpe.load_ranks(RANKS)
+    encoder, piece = bpe.PrefixEncoder(Ranks(ranks)), b"qzxjkvwq" * 100
+    ids = encoder.encode(piece)
+    assert looked < 20 * len(piece)
+    assert ids == bpe.PrefixEncoder(ranks).merged(piece)
+    pieces = [piece, b" the", b" theaable", b" theaablexx", b" theaabl", b"", b" theaaother" * 3]
+    assert dict(encoder.encode_all(pieces)) == {x: encoder.encode(x) for x in pieces}
+
+
 def test_bpe(spark, texts):
     ranks = bpe.load_ranks(RANKS)
     reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -25,7 +26,9 @@ from pyspark.sql.types import StructType
 
 from tidemark.llm.common import slices
 
-_CACHED = 600_000  # pieces and pairs kept by a worker; beyond that it starts anew
+_CACHED = 600_000  # pairs kept by a worker; beyond that it starts anew
+_FIRST = 7  # bytes whose tables are kept for pieces that begin with them
+_PIECES = 350_000  # pieces kept by a task, likewise; a slice of text may go beyond
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,6 +43,8 @@ class PrefixEncoder:
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
+        self.begun = {token[:n] for token in ranks for n in range(1, len(token) + 1)}  # what some token begins with
+        self.tables: dict[bytes, list[int]] = {}
         self.pairs: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int]] = {}
 
@@ -97,9 +102,13 @@ class PrefixEncoder:
 
     def extend(self, data: bytes, last: list[int]) -> list[int]:
         """Last tokens of all prefixes of ``data``, given those of its first ``len(last)`` bytes."""
-        ranks, pairs, longest = self.ranks, self.pairs, self.longest
+        ranks, pairs, begun = self.ranks, self.pairs, self.begun
+        # Where no token begins with the bytes from a start on, none from there goes further either.
+        least = max(0, len(last) + 1 - self.longest)
         for end in range(len(last) + 1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
+            while least < end and data[least:end] not in begun:
+                least += 1
+            for start in range(least, end):
                 token = ranks.get(data[start:end])
                 if token is None:
                     continue
@@ -127,6 +136,27 @@ class PrefixEncoder:
             return [whole]
         return self.walk(self.extend(piece, []))
 
+    def encode_all(self, pieces: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
+        """Pieces and their ids. In order of bytes, so that a piece goes on from the table of the one before as far as the
+        two agree, or from that of its first bytes."""
+        old, last, tables = b"", [], self.tables
+        if len(tables) >= _CACHED // 6:
+            tables.clear()
+        for piece in sorted(pieces):
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                yield piece, [whole]
+                continue
+            agreed = next((i for i, (x, y) in enumerate(zip(old, piece, strict=False)) if x != y), min(len(old), len(piece)))
+            known = last[:agreed]
+            if agreed < _FIRST < len(piece):
+                known = tables.get(piece[:_FIRST])
+                if known is None:
+                    known = tables[piece[:_FIRST]] = self.extend(piece[:_FIRST], last[:agreed])
+                known = known[:]
+            old, last = piece, self.extend(piece, known)
+            yield piece, self.walk(last)
+
     def append(self, last: list[int], old: bytes, more: bytes) -> list[int]:
         """The table for ``old + more``; that of ``old`` is a prefix of it."""
         return self.extend(old + more, list(last))
@@ -156,13 +186,11 @@ def _encoder(path: str) -> PrefixEncoder:
     return PrefixEncoder(load_ranks(path))
 
 
-_pieces: dict[tuple[str, str], tuple[str, tuple[int, ...]]] = {}
-
-
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", with_ids: bool = False) -> DataFrame:
     """``docs`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``, and ``token_ids`` if asked for.
 
-    Row-local: no shuffle. A worker keeps the encodings of pieces it has met, up to a bound.
+    Row-local: no shuffle. A task keeps of pieces it has met what they add to the digests, up to a bound; those
+    new in a slice of text are encoded together.
     The rank file is read by each worker from a path that all have, like a library's data.
     """
     added = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
@@ -173,21 +201,20 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text: str = "te
         token, sha, name = encoder.token.__getitem__, hashlib.sha256, {i: str(i) for i in encoder.token}.__getitem__
         place = docs_columns.index(text)
         for batch in slices(batches, place, 4 << 20):
+            found = [find(value) if value else [] for value in batch.column(place).to_pylist()]
+            if len(memory) >= _PIECES:
+                memory.clear()
+            for piece, ids in encoder.encode_all({piece.encode() for piece in set(chain.from_iterable(found)).difference(memory)}):
+                memory[piece.decode()] = (" ".join(map(name, ids)), b"".join(map(token, ids)), tuple(ids) if with_ids else None)
             counts, ids_hash, decoded_hash, all_ids = [], [], [], []
-            for value in batch.column(place).to_pylist():
-                ids: list[int] = []
-                for piece in find(value) if value else ():
-                    known = memory.get(piece)
-                    if known is None:
-                        if len(memory) >= _CACHED:
-                            memory.clear()
-                        known = memory[piece] = encoder.encode(piece.encode())
-                    ids += known
-                counts.append(len(ids))
-                ids_hash.append(sha(" ".join(map(name, ids)).encode()).hexdigest())
-                decoded_hash.append(sha(b"".join(map(token, ids))).hexdigest())
+            for pieces in found:
+                known = list(map(memory.__getitem__, pieces))
+                ids = " ".join([k[0] for k in known])
+                counts.append(ids.count(" ") + 1 if ids else 0)
+                ids_hash.append(sha(ids.encode()).hexdigest())
+                decoded_hash.append(sha(b"".join([k[1] for k in known])).hexdigest())
                 if with_ids:
-                    all_ids.append(ids)
+                    all_ids.append(list(chain.from_iterable([k[2] for k in known])))
             more = [pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(decoded_hash, pa.string())]
             more += [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=names)
