@@ -407,6 +407,46 @@ def test_jaccard_regions_split(spark):
     assert {d: r.component_id for d, r in found.items()} == label
 
 
+def test_jaccard_crowd_below_the_border(spark, monkeypatch):
+    """Whole sets are compared for few pairs of a crowd whose texts are all nearly, not quite near enough; and links in it are found."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(80)]
+    texts = {}
+    for d in range(160):
+        copy = list(base)
+        for at in rng.choice(80, 3, replace=False):
+            copy[at] = f"x{rng.integers(10**9)}"
+        texts[d] = " ".join(copy)
+    texts |= {d + 1000: texts[d] + " more" for d in range(0, 160, 8)}
+    compared = []
+    whole = jaccard_join.measured
+
+    def counted(pairs, *more):
+        found = whole(pairs, *more)
+        compared.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard_join, "measured", counted)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = rows(jaccard_join.join(df, 2, 85), "doc_id")
+    label = components_by_hand({d: shingle_set(t, 2) for d, t in texts.items()}, 85)
+    assert {d: r.component_id for d, r in found.items()} == label and len(set(label.values())) >= 100
+    assert sum(compared) < 2 * len(texts)
+
+
+def test_parities_bound_what_differs():
+    """Never above the number of shingles that one set holds alone, and no further below than collisions take them."""
+    rng = np.random.default_rng(12)
+    for size, apart in ((0, 0), (0, 1), (40, 3), (300, 40), (5000, 60), (10, 3000)):
+        value = rng.integers(0, 2**63, size + apart, dtype=np.uint64)
+        a = jaccard_join.parities(np.concatenate((value[:size], value[size::2])), np.zeros(size + (apart + 1) // 2, np.int64), 1)
+        b = jaccard_join.parities(np.concatenate((value[:size], value[size + 1 :: 2])), np.zeros(size + apart // 2, np.int64), 1)
+        differ = sum(int(x).bit_count() for x in (a ^ b).view(np.uint64)[0])
+        assert differ <= apart and differ % 2 == apart % 2
+        if apart <= 60:
+            assert differ >= 0.8 * apart
+
+
 def test_one_of_each_repeated_ids(spark):
     """A kept id keeps one row, of repeats and of different texts; rows without an id all stay."""
     line = "the same ten words stand here once more for all"

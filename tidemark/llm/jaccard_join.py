@@ -8,7 +8,9 @@ looked at if their distances to the pivot differ by at most the radius (triangle
 Voronoi boundary is crossed by those alone that may have a partner beyond. Regions that fell into
 one component are done; the rest is split again by a new pivot from outside the first one's
 component; and what the windows of all pivots leave is compared directly, once the number of regions
-a pair shares and its places in them say that it may be near enough.
+a pair shares and its places in them say that it may be near enough. Before whole sets are fetched, sketches of parities
+bound from below in how many shingles a pair differs, and rule out what is too far, so that a crowd of sets that are
+nearly near enough costs no row a pair.
 
 Null and blank texts have an empty set and link with nothing. Fewer words than a shingle form one shingle. Rows
 with a null id link with nothing and keep a null component. Repeated rows and rows of equal sets
@@ -31,6 +33,8 @@ ROUNDS = 3  # of splits, before what the windows leave is compared
 PIVOTS = 16  # of a region in a split
 LEAF = 40  # members of a region that are compared without another pivot
 COMMON = 500  # a shingle in more than one of COMMON documents of some task is common
+HELD = 1 << 20  # shingles a task holds to count them
+ODD = 8  # words of 64 bits of a sketch of parities
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _STEP = np.arange(1, 9, dtype=np.uint64) * _ODD
 
@@ -59,6 +63,16 @@ def shingles(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray]
     return value[new], owner[new]
 
 
+_ODDS = [f"odd{w}" for w in range(ODD)]
+
+
+def parities(value: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
+    """Sketch of each row's set, ODD words: a bit is set where an odd number of its shingles fall on it."""
+    out = np.zeros(rows * ODD, np.uint64)
+    np.bitwise_xor.at(out, owner * ODD + (value >> np.uint64(6) & np.uint64(ODD - 1)).astype(np.int64), np.uint64(1) << (value & np.uint64(63)))
+    return out.view(np.int64).reshape(rows, ODD)
+
+
 def common_shingles(docs: DataFrame, words: int) -> dict[int, int]:
     """Shingles that stand in a share of over 1 / COMMON of some task's documents, and how often.
 
@@ -77,7 +91,7 @@ def common_shingles(docs: DataFrame, words: int) -> dict[int, int]:
         for batch in slices(batches, "text"):
             value, _ = shingles(batch, words)
             held, docs, size = [*held, value], docs + batch.num_rows, size + len(value)
-            if size > 4_000_000:
+            if size > HELD:
                 yield from flush()
                 held, docs, size = [], 0, 0
         if held:
@@ -89,7 +103,8 @@ def common_shingles(docs: DataFrame, words: int) -> dict[int, int]:
 
 
 def points(docs: DataFrame, words: int, percent: int, common: dict[int, int], whole: bool) -> DataFrame:
-    """(doc_id, n, point, shingles): the set's size and hash, and its first shingles or all of them."""
+    """(doc_id, n, point, shingles): the set's size and hash, and its first shingles or all of them; beside the
+    first ones, odd0 and so on: the sketch of :func:`parities`."""
     known = np.array(sorted(common), np.int64)
     often = np.array([common[k] for k in known.tolist()], np.int64)
 
@@ -101,7 +116,9 @@ def points(docs: DataFrame, words: int, percent: int, common: dict[int, int], wh
             ends = np.cumsum(n)
             sums = np.concatenate(([np.uint64(0)], np.cumsum(mix(value ^ np.uint64(0x5851F42D4C957F2D)))))
             point = mix(sums[ends] - sums[ends - n] + n.astype(np.uint64)).view(np.int64)
+            odd = []
             if not whole:
+                odd = [pa.array(np.ascontiguousarray(x)) for x in parities(value, owner, batch.num_rows).T]
                 weight = np.zeros(len(value), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, signed), len(known) - 1)
@@ -114,10 +131,11 @@ def points(docs: DataFrame, words: int, percent: int, common: dict[int, int], wh
                 signed, owner = signed[order][keep], owner[keep]
             offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=batch.num_rows)))).astype(np.int32)
             arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(point), arrays], names=["doc_id", "n", "point", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(point), arrays, *odd], names=["doc_id", "n", "point", "shingles", *(_ODDS if odd else ())])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, point long, shingles array<long>")
+    more = "" if whole else "".join(f", {name} long" for name in _ODDS)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, point long, shingles array<long>{more}")
 
 
 def _near(percent: int) -> Column:
@@ -139,6 +157,16 @@ def _least_shared(na: Column, nb: Column, percent: int) -> Column:
     return ceil((na + nb) * percent, 100 + percent) - ceil(F.greatest(na, nb) * percent, 100) + 1
 
 
+def _alike(a: list[Column], na: Column, b: list[Column], nb: Column, percent: int) -> Column:
+    """Whether sets of these sketches of parities can be near enough.
+
+    What both sets hold cancels out of the parities, so each bit that differs stands for a shingle that one set holds
+    alone, and near sets differ in at most (1 - t) / (1 + t) of the sum of their sizes.
+    """
+    apart = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)]
+    return sum(apart[1:], apart[0]) * (100 + percent) <= (na + nb) * (100 - percent)
+
+
 SKETCH = 4  # words of 64 bits
 
 
@@ -165,8 +193,10 @@ def _may_link(pairs: DataFrame, firsts: DataFrame, own: DataFrame, percent: int)
     known = firsts.join(own.select("point", "n"), "point").select("point", "n", "firsts")
     most, least = F.greatest("na", "nb"), F.least("na", "nb")
     overlap = _least_shared(F.col("na"), F.col("nb"), percent)
-    sized = pairs.join(own.select(F.col("point").alias("a"), F.col("n").alias("na")), "a").join(own.select(F.col("point").alias("b"), F.col("n").alias("nb")), "b")
-    sized = sized.where(most * percent <= least * 100)
+    of = lambda side: own.select(F.col("point").alias(side), F.col("n").alias(f"n{side}"), *[F.col(x).alias(f"{side}_{x}") for x in _ODDS])
+    odds = lambda side: [F.col(f"{side}_{x}") for x in _ODDS]
+    sized = pairs.join(of("a"), "a").join(of("b"), "b")
+    sized = sized.where((most * percent <= least * 100) & _alike(odds("a"), F.col("na"), odds("b"), F.col("nb"), percent)).select("a", "b", "na", "nb")
     both = sized.join(known.select(F.col("point").alias("a"), F.col("firsts").alias("fa")), "a").join(known.select(F.col("point").alias("b"), F.col("firsts").alias("fb")), "b")
     return both.where(F.size(F.array_intersect("fa", "fb")) >= overlap).select("a", "b")
 
@@ -198,7 +228,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, leaf: int = LEAF) -
     common = common_shingles(docs, words)
     rows = materialize(points(docs, words, percent, common, whole=False))
     usable = rows.where("n > 0 and doc_id is not null")
-    own = materialize(usable.groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
+    own = materialize(usable.groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *[F.max(x).alias(x) for x in _ODDS]))
     members = usable.select("point", "n", F.posexplode("shingles").alias("place", "shingle"))
     regions = members.groupBy("shingle").agg(
         F.min("point").alias("pivot"), F.max("point").alias("last"), F.min_by("n", "point").alias("pivot_n"), F.min_by("place", "point").alias("pivot_place")
@@ -251,8 +281,10 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, leaf: int = LEAF) -
     # meets once for each of the first shingles it shares. Sketches rule out most that share too few before they are counted.
     sized = F.greatest("a.n", "b.n") * percent <= F.least("a.n", "b.n") * 100
     enough = _most_shared("a", "b") >= _least_shared(F.col("a.n"), F.col("b.n"), percent)
-    rest = live.join(sketches(firsts), "point")
-    left = rest.alias("a").join(rest.alias("b"), meets & sized & enough).select(
+    odds = lambda side: [F.col(f"{side}.{x}") for x in _ODDS]
+    alike = _alike(odds("a"), F.col("a.n"), odds("b"), F.col("b.n"), percent)
+    rest = live.join(sketches(firsts), "point").join(own.select("point", *_ODDS), "point")
+    left = rest.alias("a").join(rest.alias("b"), meets & sized & alike & enough).select(
         F.col("a.point").alias("a"), F.col("b.point").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"), placed("a", "b").alias("placed")
     )
     left = left.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"), F.bool_or("placed").alias("placed"))
