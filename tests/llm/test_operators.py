@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import bpe, embedding_dedup, jaccard_join, line_dedup, mixing, ngram_scoring, suffix_dedup, topk_search, toxicity, url_filter
+from tidemark.llm import bpe, common, embedding_dedup, jaccard_join, line_dedup, mixing, ngram_scoring, suffix_dedup, topk_search, toxicity, url_filter
 from tidemark.llm.queries import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
@@ -208,6 +208,31 @@ def test_suffix_dedup_texts_of_one_id(spark, monkeypatch, crowded):
     assert sorted(map(tuple, suffix_dedup.dedup(df).collect())) == sorted(out)
 
 
+def test_shuffles_go_with_their_table(spark):
+    """A written table leaves no shuffle files behind, and the session's setting is as before."""
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, setting = files(), spark.conf.get(common._CLEANUP)
+    numbers = spark.range(5000).repartition(3, "id").groupBy((F.col("id") % 99).alias("k")).count()
+    kept = common.materialize(numbers)
+    assert files() <= before and spark.conf.get(common._CLEANUP) == setting
+    assert kept.count() == 99 and numbers.where("count = 50").count() == kept.where("count = 50").count()
+
+
+def test_anchors_of_a_document(spark):
+    """An anchor that no other surroundings share travels as one number; the text's offset, both sides and the twin survive."""
+    at = lambda place, offset: place << 31 | offset
+    sides = lambda twin, before, behind: twin << 16 | before << 8 | behind
+    data = [(5, at(7, 2**31 - 1), sides(3, 80, 180), 1), (6, at(7, 90), sides(3, 0, 100), 1), (-9, at(7, 40), sides(3, 4, 120), 2), (-9, at(8, 40), sides(0, 4, 120), 6000)]
+    shared = spark.createDataFrame(data, "gram long, at long, sides long, others int")
+    found = {(r.place, r.twin): r for r in suffix_dedup.by_document(shared, 31).collect()}
+    assert found.keys() == {(7, 3), (8, 0)}
+    unpack = lambda x: [v.tolist() for v in suffix_dedup._sides(np.array(x, np.int64))]
+    assert sorted(zip(*unpack(found[7, 3].alone), strict=True)) == [(90, 90, 1), (2**31 - 1, 2**31 - 81, 161)]
+    assert [(x.gram, x.crowded, *unpack([x.packed])) for x in found[7, 3].open] == [(-9, False, [40], [36], [25])]
+    assert found[8, 0].alone == [] and [x.crowded for x in found[8, 0].open] == [True]
+    assert suffix_dedup.by_document(shared, 31).schema["alone"].dataType.simpleString() == "array<bigint>"
+
+
 def test_suffix_order():
     rng = np.random.default_rng(1)
     for turn in range(300):

@@ -48,11 +48,22 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write as a shared table and read it again: cuts lineage, survives lost executors."""
+    """Write as a shared table and read it again: cuts lineage, survives lost executors.
+
+    What was shuffled for it is of no more use and goes at once, not when the driver next collects garbage.
+    """
     spark = df.sparkSession
     folder = shared_folder(spark)
-    df.write.option("compression", "zstd").parquet(folder)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(folder)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -119,6 +119,15 @@ def _first(rows: DataFrame, keys: list[str], twin: str) -> DataFrame:
     return rows.groupBy(*keys, twin).agg(F.min("at").alias("at")).withColumn("least", least).where("at = least").drop("least")
 
 
+def by_document(shared: DataFrame, bits: int) -> DataFrame:
+    """(place, twin, alone, open): anchors of a document whose windows stay, one number each, and those whose windows are to be compared."""
+    packed = F.shiftleft(F.col("at").bitwiseAND((1 << bits) - 1), 16).bitwiseOR(F.col("sides").bitwiseAND(0xFFFF))
+    entry = F.struct(packed.alias("packed"), "gram", (F.col("others") > CROWDED).alias("crowded"))
+    alone, open_ = F.when(F.col("others") == 1, packed), F.when(F.col("others") > 1, entry)
+    place, twin = F.shiftright("at", bits).alias("place"), F.shiftright("sides", 16).alias("twin")
+    return shared.groupBy(place, twin).agg(F.collect_list(alone).alias("alone"), F.collect_list(open_).alias("open"))
+
+
 def suffix_order(s: np.ndarray, need: int) -> np.ndarray:
     """Ranks of all suffixes of s (values from 1), ordered by their first ``need`` symbols at least.
 
@@ -268,6 +277,18 @@ def hashed_windows(pieces: DataFrame, twins: bool) -> DataFrame:
     return first.select(F.col("at").alias("start"), "twin")
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Offsets and values of a column of lists; NULL is empty."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(False)
+    return np.concatenate(([0], np.cumsum(lengths))).astype(np.int64), column.flatten()
+
+
+def _sides(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offset of an anchor, and first and number of its windows, of one number: the offset above the two sides."""
+    at, before = packed >> 16, packed >> 8 & 255
+    return at, at - before, before + (packed & 255) - WINDOW + 1
+
+
 def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and length of runs of consecutive ascending numbers."""
     first = np.flatnonzero(np.concatenate(([True], np.diff(starts) != 1)))
@@ -315,24 +336,21 @@ def dedup(docs: DataFrame) -> DataFrame:
     else:
         first = found.groupBy("gram", "around").agg(F.min("at").alias("at"), F.max("sides").alias("sides"))
     shared = first.withColumn("others", F.count(F.lit(1)).over(Window.partitionBy("gram")).cast("int"))
-    # Per document: where windows stay, and the anchors whose windows are to be compared.
-    place, twin = F.shiftright("at", bits).alias("place"), F.shiftright("sides", 16).alias("twin")
-    entry = F.struct(F.col("at").bitwiseAND(low).cast("int").alias("at"), F.col("sides").bitwiseAND(0xFFFF).cast("int").alias("sides"), F.when(F.col("others") > 1, F.col("gram")).alias("gram"), F.when(F.col("others") > CROWDED, True).alias("crowded"))
-    per_doc = shared.groupBy(place, twin).agg(F.collect_list(entry).alias("anchors"))
+    per_doc = by_document(shared, bits)
     joined = placed.select("doc_id", "place", "twin", "text").join(per_doc, ["place", "twin"], "left")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.name for f in open_schema]
         for batch in slices(batches, "text", _CHUNK):
-            doc_id, place, twin, text, lists = (batch.column(c) for c in ("doc_id", "place", "twin", "text", "anchors"))
+            doc_id, place, twin, text, alone, open_ = (batch.column(c) for c in ("doc_id", "place", "twin", "text", "alone", "open"))
             texts = [t.encode() for t in text.to_pylist()]
-            items, bounds = lists.flatten(), np.concatenate(([0], np.cumsum(np.where(lists.is_null().to_numpy(False), 0, lists.value_lengths().fill_null(0).to_numpy(False))))).astype(np.int64)
-            at, sides, gram = items.field("at").to_numpy(False).astype(np.int64), items.field("sides").to_numpy(False).astype(np.int64), items.field("gram")
-            open_ = gram.is_valid().to_numpy(False)
-            crowded = items.field("crowded").is_valid().to_numpy(False)
-            start, count = at - (sides >> 8), (sides >> 8) + (sides & 255) - WINDOW + 1
-            has_open = np.array([open_[a:b].any() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], bool)
-            kept = [[(int(start[i]), int(count[i])) for i in range(a, b) if not open_[i]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            bounds, packed = _lists(alone)
+            _, start, count = _sides(packed.to_numpy(False))
+            kept = [list(zip(start[a:b].tolist(), count[a:b].tolist(), strict=True)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            bounds, items = _lists(open_)
+            gram, crowded, sides = items.field("gram"), items.field("crowded"), items.field("packed").to_numpy(False)
+            at, start, count = _sides(sides)
+            has_open = np.diff(bounds) > 0
             done = np.flatnonzero(~has_open)
             rows = _result(place.take(pa.array(done)).to_pylist(), [texts[i] for i in done], [kept[i] for i in done])
             yield _filled(names, open_schema, len(done), {"doc_id": doc_id.take(pa.array(done)), **dict(zip(["place", "n_bytes", "n_removed", "n_spans", "kept_sha256"], rows, strict=True))})
@@ -342,13 +360,12 @@ def dedup(docs: DataFrame) -> DataFrame:
                 "doc_id": doc_id.take(pa.array(wait)), "place": place.take(pa.array(wait)), "twin": twin.take(pa.array(wait)), "text": text.take(pa.array(wait)),
                 "first": pa.array([f[0].as_py() for f in flat], pa.list_(pa.int32())), "count": pa.array([f[1].as_py() for f in flat], pa.list_(pa.int32())),
             })
-            owner = np.searchsorted(bounds, np.flatnonzero(open_), side="right") - 1
-            pick = np.flatnonzero(open_)
-            where = place.to_numpy()[owner] << bits | at[pick]
-            pieces = [texts[r][a : a + n + WINDOW - 1] for r, a, n in zip(owner, start[pick], count[pick], strict=True)]
-            yield _filled(names, open_schema, len(pick), {
-                "gram": gram.take(pa.array(pick)), "at": pa.array(where, pa.int64()), "sides": pa.array(sides[pick].astype(np.int32)), "twin": twin.take(pa.array(owner)),
-                "piece": pa.array(pieces, pa.binary()), "crowded": pa.array(crowded[pick]),
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            where = place.to_numpy()[owner] << bits | at
+            pieces = [texts[r][a : a + n + WINDOW - 1] for r, a, n in zip(owner, start, count, strict=True)]
+            yield _filled(names, open_schema, len(owner), {
+                "gram": gram, "at": pa.array(where, pa.int64()), "sides": pa.array((sides & 0xFFFF).astype(np.int32)), "twin": twin.take(pa.array(owner)),
+                "piece": pa.array(pieces, pa.binary()), "crowded": crowded,
             })
 
     kind = docs.schema["doc_id"].dataType.simpleString()
