@@ -82,6 +82,56 @@ def test_a_crowd_of_copies(spark):
     assert "LeftSemi" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_rounding_changes_no_result(spark):
+    """Cosines at, just below and just above the threshold, odd lengths and rows: as by whole vectors."""
+    rng, rows = np.random.default_rng(9), []
+    for i in range(240):
+        v, at = rng.normal(size=24) * (np.eye(24)[0] * 9 + 1 if i % 5 == 0 else 1), BASE + dt.timedelta(hours=i // 8)
+        rows.append((2 * i, at, v.tolist()))
+        rows.append((2 * i + 1, at + dt.timedelta(seconds=i), (turned(rng, v, 0.9 + rng.choice([0, 1e-15, -1e-15, 1e-9, -1e-9, 1e-4, -1e-4, 0.02, -0.02, 0.1, -0.1])) * rng.choice([1, 1e-9, 1e9])).tolist()))
+    later = BASE + dt.timedelta(days=30)
+    # Squares of these are cut to a few steps, so that they are longer than one when divided by their length.
+    rows += [(1000 + i, later, [(1 + i / 7) * 1.2e-162] * 20 + [3e-162] * 4) for i in range(8)]
+    # No id, no time, an id that comes again with another vector, another number of components.
+    rows += [(None, later, rows[0][2]), (None, later + dt.timedelta(seconds=9), rows[0][2]), (2000, None, rows[0][2]), (2001, None, rows[0][2])]
+    rows += [(3000, later, rows[2][2]), (3000, later, rows[4][2]), (3001, later, rows[4][2]), (3000, later + dt.timedelta(seconds=5), rows[4][2]), (3002, later, rows[4][2][:20])]
+    articles = spark.createDataFrame(rows, SCHEMA)
+    expected = {tuple(r) for r in near._exactly(near._units(articles), 3600, 0.9, near._keys(near.BANDS, near.BITS, 7)("v")).collect()}
+    got = [tuple(r) for r in near.near_copies(articles, 3600).collect()]
+    assert set(got) == expected and len(got) == len(expected) > 100
+    assert (None, later + dt.timedelta(seconds=9)) in expected and (3001, later) in expected and max(r[0] for r in expected if r[0] and r[0] < 1900) > 1000
+
+
+def exchanged(plan, seen):
+    """Bytes of each exchange that has run."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return exchanged(plan.executedPlan(), seen)
+    if name.endswith("QueryStageExec"):
+        return exchanged(plan.plan(), seen)
+    if name == "ShuffleExchangeExec":
+        seen[plan.id()] = plan.metrics().apply("dataSize").value()
+    for i in range(plan.children().size()):
+        exchanged(plan.children().apply(i), seen)
+    return seen
+
+
+def test_whole_vectors_are_not_sent_by_band(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, BASE + dt.timedelta(minutes=i), rng.normal(size=64).tolist()) for i in range(600)]
+    rows += [(1000 + i, t + dt.timedelta(minutes=5), (np.array(v) * 2).tolist()) for i, t, v in rows[::8]]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        copies = near.near_copies(spark.createDataFrame(rows, SCHEMA), 3600)
+        assert {r.id for r in copies.collect()} == {r[0] for r in rows[600:]}
+        sent = sum(exchanged(copies._jdf.queryExecution().executedPlan(), {}).values())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # Vectors of 64 doubles, once as the later and twice as the earlier in each band, would be 30,720 bytes an article.
+    assert 2000 < sent / len(rows) < 0.4 * 3 * near.BANDS * 64 * 8
+
+
 def test_state_of_a_stream_expires(spark, tmp_path):
     rows = sorted(crowd(2, 60), key=lambda r: r[1])
     parts = [rows[i : i + 30] for i in range(0, len(rows), 30)]

@@ -7,8 +7,11 @@ bits, and more above). What is found is compared exactly: nothing below the thre
 
 Time is cut into slots as long as the window, and an article is on offer in its own slot and the next. That makes (band, key, slot) an equal
 join key, whose groups hold two windows of articles at most, however long the history is. It is a semi join:
-an article is done with its first match, so a crowd of copies costs a comparison each, not one a pair. The same
-join runs over streams: Spark keeps each side's recent vectors as state by key and drops them as the watermark passes the window.
+an article is done with its first match, so a crowd of copies costs a comparison each, not one a pair.
+
+What is sent for each band are vectors rounded to a byte a component. They bound the cosine from both sides: most pairs are ruled
+out or settled by them, and only articles of pairs in between are fetched with their whole vectors and compared again. The result is that of whole
+vectors throughout. Streams do send these: the same join, with each side's recent vectors as state by key, which Spark drops as the watermark passes the window.
 
 Articles without a vector, or with one that is zero or not finite, are nobody's copy. Of equal times the lower id is the earlier.
 """
@@ -45,15 +48,18 @@ def _keys(bands: int, bits: int, seed: int):
                 out[place] = row
         return pd.Series(out)
 
-    return keys
+    # Else Spark works the keys out once more to drop rows without any.
+    return keys.asNondeterministic()
 
 
-def _unit(vector: Column) -> Column:
-    """The vector at length one, NULL where it has none."""
-    doubles = vector.cast("array<double>")
-    length = F.sqrt(F.aggregate(doubles, F.lit(0.0), lambda a, x: a + x * x))
+def _units(articles: DataFrame) -> DataFrame:
+    """(id, timestamp, v), the vector at length one, of articles that have one."""
+    v, length = F.col("embedding").cast("array<double>"), F.col("length")
+    sized = articles.select("id", "timestamp", v.alias("v")).withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
     # NULL, NaN and infinity all fail the comparison or the bound.
-    return F.when((length > 0) & (length < F.lit(float("inf"))), F.transform(doubles, lambda x: x / length))
+    whole = (length > 0) & (length < F.lit(float("inf")))
+    # Named twice, the length stays a column; else Spark moves its sum into the division, for each component.
+    return sized.filter(whole).select("id", "timestamp", F.when(whole, F.transform("v", lambda x: x / length)).alias("v"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -62,22 +68,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
 
-def near_copies(
-    articles: DataFrame, window_seconds: int, threshold: float = 0.9, *, bands: int = BANDS, bits: int = BITS, seed: int = 7
-) -> DataFrame:
-    """(id, timestamp) of articles (id, timestamp, embedding) with a cosine of ``threshold`` or more to an
-    article at most ``window_seconds`` earlier. In a stream, set a watermark on ``timestamp`` first; an
-    article may then come once for each of its bands."""
-    if window_seconds <= 0:
-        raise ValueError("window_seconds must be positive")
-    made = articles.select("id", "timestamp", _unit(F.col("embedding")).alias("v")).filter("v IS NOT NULL")
-    keyed = made.withColumn("keys", _keys(bands, bits, seed)("v"))
+def _sides(keyed: DataFrame, window_seconds: int, *carried: str) -> tuple[DataFrame, DataFrame, Column]:
+    """Articles as later ones and as earlier ones (``e_``), a row a band, and when two of them are to be compared."""
     slot = F.floor(F.unix_seconds("timestamp") / window_seconds)
-    later = keyed.select("id", "timestamp", "v", F.posexplode("keys").alias("band", "key"), slot.alias("slot"))
+    later = keyed.select("id", "timestamp", *carried, F.posexplode("keys").alias("band", "key"), slot.alias("slot"))
     offered = F.explode(F.array(slot, slot + 1)).alias("e_slot")
-    earlier = keyed.select(
-        F.col("id").alias("e_id"), F.col("timestamp").alias("e_timestamp"), F.col("v").alias("e_v"), offered, "keys"
-    ).select("e_id", "e_timestamp", "e_v", "e_slot", F.posexplode("keys").alias("e_band", "e_key"))
+    earlier = keyed.select(*[F.col(x).alias(f"e_{x}") for x in ("id", "timestamp", *carried)], offered, "keys").select(
+        *[f"e_{x}" for x in ("id", "timestamp", *carried, "slot")], F.posexplode("keys").alias("e_band", "e_key")
+    )
     window = F.expr(f"INTERVAL {int(window_seconds)} SECONDS")
     meets = (
         (F.col("band") == F.col("e_band"))
@@ -86,9 +84,62 @@ def near_copies(
         & (F.col("e_timestamp") <= F.col("timestamp"))
         & (F.col("e_timestamp") >= F.col("timestamp") - window)
         & ((F.col("e_timestamp") < F.col("timestamp")) | (F.col("e_id") < F.col("id")))
-        & (cosine(F.col("v"), F.col("e_v")) >= threshold)
     )
-    return later.join(earlier, meets, "left_semi").select("id", "timestamp")
+    return later, earlier, meets
+
+
+def _rounded(keyed: DataFrame) -> DataFrame:
+    """``v`` as ``rounded``, a byte a component, times ``scale``: off by half a ``scale`` at most in each."""
+    largest = F.array_max(F.transform("v", F.abs))
+    # Lengths that underflow leave vectors that are not of length one. A scale beyond all bounds settles nothing of them.
+    scale = F.when(F.abs(cosine(F.col("v"), F.col("v")) - 1) < 1e-6, largest / 127).otherwise(1e30).cast("float")
+    scaled = keyed.withColumn("scale", scale)
+    return scaled.withColumn("rounded", F.transform("v", lambda x: F.rint(x / F.col("scale")).cast("tinyint"))).drop("v")
+
+
+def _bounds() -> tuple[Column, Column]:
+    """The least and the most the cosine can be, by rounded vectors."""
+    a, b = F.col("rounded"), F.col("e_rounded")
+    products = F.when(F.size(a) == F.size(b), F.zip_with(a, b, lambda x, y: x.cast("int") * y.cast("int")))
+    about = F.aggregate(products, F.lit(0).cast("bigint"), lambda s, x: s + x) * F.col("scale").cast("double") * F.col("e_scale")
+    off, e_off = (F.sqrt(F.size(a)) / 2 * F.col(x).cast("double") for x in ("scale", "e_scale"))
+    # |a.b - a'.b'| <= |a - a'| |b| + |a'| |b - b'|; the rest is for the lengths and sums of doubles.
+    slack = (off + e_off + off * e_off) * 1.00001 + 1e-5
+    return about - slack, about + slack
+
+
+def _exactly(made: DataFrame, window_seconds: int, threshold: float, keys: Column) -> DataFrame:
+    """Near copies by whole vectors, sent for each band; once for each band in which they are found."""
+    later, earlier, meets = _sides(made.withColumn("keys", keys), window_seconds, "v")
+    return later.join(earlier, meets & (cosine(F.col("v"), F.col("e_v")) >= threshold), "left_semi").select("id", "timestamp")
+
+
+def near_copies(
+    articles: DataFrame, window_seconds: int, threshold: float = 0.9, *, bands: int = BANDS, bits: int = BITS, seed: int = 7
+) -> DataFrame:
+    """(id, timestamp) of articles (id, timestamp, embedding) with a cosine of ``threshold`` or more to an
+    article at most ``window_seconds`` earlier. In a stream, set a watermark on ``timestamp`` first; an
+    article may then come once for each of its bands."""
+    if window_seconds <= 0:
+        raise ValueError("window_seconds must be positive")
+    made = _units(articles)
+    keys = _keys(bands, bits, seed)("v")
+    if articles.isStreaming:
+        return _exactly(made, window_seconds, threshold, keys)
+    later, earlier, meets = _sides(_rounded(made.withColumn("keys", keys)), window_seconds, "rounded", "scale")
+    least, most = _bounds()
+    article, e_article = F.struct("id", "timestamp").alias("article"), F.struct("e_id", "e_timestamp").alias("article")
+    # What follows reads these rows several times. They are exchanged, and go through a step that Spark does not look into: with filters and
+    # columns of its own, each reader would run the join again. The values at the end are aggregates for the same reason.
+    maybe = later.join(earlier, meets & (most >= threshold), "left_semi").select("*", article).repartition("article")
+    maybe = maybe.mapInArrow(lambda rows: rows, maybe.schema)
+    sure = maybe.join(earlier, meets & (least >= threshold), "left_semi").select("article").distinct()
+    unsure = maybe.join(sure, "article", "left_anti")
+    beside = earlier.join(unsure, meets & (most >= threshold), "left_semi").select(e_article)
+    close = unsure.select("article").union(beside).distinct()
+    whole = made.withColumn("article", article).join(close, "article", "left_semi").drop("article")
+    found = sure.union(_exactly(whole, window_seconds, threshold, keys).select(article)).groupBy("article")
+    return found.agg(F.any_value("article.id").alias("id"), F.any_value("article.timestamp").alias("timestamp")).drop("article")
 
 
 def without_near_copies(articles: DataFrame, window_seconds: int, threshold: float = 0.9, **more) -> DataFrame:
