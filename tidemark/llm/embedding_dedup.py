@@ -1,12 +1,16 @@
 """Operator 3: near-duplicate embeddings by spherical k-means cells and blocked products.
 
 Vectors equal in value are first grouped to one. Centres are fitted on a bounded sample; every
-vector goes to the cell of the centre with the largest cosine. Two vectors with cosine t
-lie at most sqrt(2 - 2 t) apart, and the plane between two centres separates their cells; so
-a pair in different cells has a member within half of that of the plane, and that member also
-visits the other cell. No linked pair is lost, whatever the centres are. Within a cell, residents and visitors
-are dealt into blocks of bounded size; each pair of blocks is one matrix product in some task, which
-returns counts, and a spanning forest of the links instead of the links.
+vector lives in the cell of the centre with the largest cosine. Cells lie on shelves of bounded size, a large cell
+on several, and each pair of shelves is one task. So a vector is sent once for each shelf: SPREAD times, or
+as often as there are shelves of SHELF_BYTES, where that is more, whatever the number of cells.
+
+Two vectors with cosine t lie sqrt(2 - 2 t) apart, and the plane between two centres separates
+their cells; so the distances of a linked pair from that plane add up to that at most. Vectors too far from the planes to
+all cells of a shelf are not sent to it, and within a task such pairs of blocks are not multiplied. Products of others are
+first taken along the widest directions, where a cosine is at most that of the parts along them plus the product of
+what is left of both lengths, and in full where that reaches the threshold. What single precision cannot tell is settled in double. No linked pair is lost,
+whatever the centres and directions are. A task returns counts, and a spanning forest of its links instead of the links.
 
 Null, zero and non-finite vectors, and those with null components, link with nothing and
 keep themselves. Vectors of different lengths are compared within each length only. Repeated
@@ -17,9 +21,10 @@ component ids are the smallest id there is. An empty table gives an empty result
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations_with_replacement, product
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +35,12 @@ THRESHOLD = 0.9
 SAMPLE = 20_000
 BLOCK = 1024
 CELLS = 256
+# Shelves there are at least, if they have a block each, so that tasks are many; bytes of a shelf's vectors in single precision.
+SPREAD = 8
+SHELF_BYTES = 32 << 20
 _SLACK = 1e-9
+# Links that are looked at together.
+_HITS = 1 << 18
 
 
 def usable(vector: str):
@@ -41,12 +51,13 @@ def usable(vector: str):
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """Rows of a list column of equal lengths, as doubles."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
-    return flat.reshape(len(column), -1)
+    """Rows of a list column of equal lengths."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length one, as doubles."""
+    x = x.astype(float, copy=False)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -64,132 +75,239 @@ def centres(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.nd
     return np.unique(c, axis=0)
 
 
-def placements(distinct: DataFrame, fitted: dict[int, np.ndarray], threshold: float) -> DataFrame:
-    """A row for each cell a vector lives in or visits: (dim, cell, home, key, copies, vector, visits).
+def widest(sample: np.ndarray) -> np.ndarray:
+    """Orthogonal directions, as columns, along which unit vectors have most of their lengths: three for eight components."""
+    some = sample[:1024]
+    return np.linalg.svd(some, full_matrices=False)[2][: -(-3 * some.shape[1] // 8)].T
 
-    ``visits`` is the set of visited cells as bits; cells are at most CELLS, so it is short.
-    """
-    reach = np.sqrt(2 - 2 * threshold) / 2 + _SLACK
+
+class Shelves(NamedTuple):
+    """Where vectors of one length lie. A cell's residents are cut into pieces by key, and pieces lie on shelves."""
+
+    centre: np.ndarray
+    axes: np.ndarray
+    parts: np.ndarray  # pieces of each cell
+    first: np.ndarray  # each cell's first piece
+    shelf: np.ndarray  # of each piece
+    pair: np.ndarray  # number of the task of two shelves
+
+    def gaps(self) -> np.ndarray:
+        """Distances between centres; beyond bounds for two that are too close to tell sides."""
+        gaps = np.sqrt(np.maximum(2 - 2 * self.centre @ self.centre.T, 0))
+        return np.where(gaps > 1e-5, gaps, np.inf)
+
+
+def shelved(centre: np.ndarray, axes: np.ndarray, residents: np.ndarray, shelves: int, number: int) -> Shelves:
+    """Deal cells with so many residents to shelves of about one size; tasks are numbered from ``number``."""
+    most = max(1, -(-int(residents.sum()) // shelves))
+    parts = np.maximum(1, -(-residents // max(1, most // 4)))
+    first = np.cumsum(parts) - parts
+    each = np.repeat(residents / parts, parts)
+    shelf = np.minimum((np.cumsum(each) - each / 2) // most, shelves - 1).astype(int)
+    pair = np.zeros((shelves, shelves), int)
+    low, high = np.triu_indices(shelves)
+    pair[low, high] = pair[high, low] = number + np.arange(len(low))
+    return Shelves(centre, axes, parts, first, shelf, pair)
+
+
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Batches cut by the length of their vectors."""
+    for batch in batches:
+        dims = batch.column("dim").to_numpy()
+        for dim in np.unique(dims):
+            yield int(dim), batch.filter(pa.array(dims == dim))
+
+
+def homes(distinct: DataFrame, fitted: dict[int, np.ndarray]) -> DataFrame:
+    """(dim, cell) of every vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for dim in np.unique(batch.column("dim").to_numpy()):
-                part = batch.filter(pa.array(batch.column("dim").to_numpy() == dim))
-                c, x = fitted[int(dim)], unit(matrix(part.column("vector")))
-                near = x @ c.T
-                home = near.argmax(1)
-                gaps = np.sqrt(np.maximum(2 - 2 * c @ c.T, 1e-30))
-                margin = (near[np.arange(len(x)), home][:, None] - near) / gaps[home]
-                goes = margin <= reach
-                goes[np.arange(len(x)), home] = False
-                bits = [row.tobytes() for row in np.packbits(goes, axis=1)]
-                row, cell = np.nonzero(goes)
-                row, cell = np.concatenate((np.arange(len(x)), row)), np.concatenate((home, cell))
-                taken = part.select(["dim", "key", "copies", "vector"]).take(pa.array(row))
-                more = [pa.array(cell.astype(np.int32)), pa.array(home[row].astype(np.int32)), pa.array([bits[i] for i in row], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*taken.columns, *more], names=["dim", "key", "copies", "vector", "cell", "home", "visits"])
-
-    schema = "dim int, key long, copies long, vector array<double>, cell int, home int, visits binary"
-    return distinct.mapInArrow(run, schema)
-
-
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links (a, b)."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[up]
-        return x
+        for dim, part in _lengths(batches):
+            home = (unit(matrix(part.column("vector"))) @ fitted[dim].T).argmax(1)
+            yield pa.RecordBatch.from_arrays([part.column("dim"), pa.array(home.astype(np.int32))], names=["dim", "cell"])
+
+    return distinct.select("dim", "vector").mapInArrow(run, "dim int, cell int")
+
 
+def placements(distinct: DataFrame, dealt: dict[int, Shelves], threshold: float) -> DataFrame:
+    """A row for each task that a vector takes part in: (pair, shelf, cell, key, copies, vector), with its own shelf and cell."""
+    reach = np.sqrt(2 - 2 * threshold) + _SLACK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = {}
+        for dim, part in _lengths(batches):
+            at = dealt[dim]
+            if dim not in made:
+                holds = np.zeros((len(at.centre), len(at.pair)), np.float32)
+                holds[np.repeat(np.arange(len(at.parts)), at.parts), at.shelf] = 1
+                made[dim] = at.gaps(), holds
+            gaps, holds = made[dim]
+            near = unit(matrix(part.column("vector"))) @ at.centre.T
+            every, home = np.arange(len(near)), near.argmax(1)
+            own = at.shelf[at.first[home] + part.column("key").to_numpy() % at.parts[home]]
+            goes = (near[every, home][:, None] - near) / gaps[home] <= reach
+            meets = goes.astype(np.float32) @ holds > 0
+            meets[every, own] = True
+            row, other = np.nonzero(meets)
+            taken = part.select(["key", "copies", "vector"]).take(pa.array(row))
+            more = [pa.array(x[row].astype(np.int32)) for x in (own, home)]
+            yield pa.RecordBatch.from_arrays([pa.array(at.pair[own[row], other].astype(np.int32)), *more, *taken.columns], names=["pair", "shelf", "cell", "key", "copies", "vector"])
+
+    kind = dict(distinct.dtypes)["vector"]
+    return distinct.select("dim", "key", "copies", "vector").mapInArrow(run, f"pair int, shelf int, cell int, key long, copies long, vector {kind}")
+
+
+def _join_up(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """Those of the links (a, b) that join what ``label`` holds apart, without circles; ``label`` is brought up to date."""
     out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        rx, ry = root(x), root(y)
-        if rx != ry:
-            parent[max(rx, ry)] = min(rx, ry)
-            out.append((x, y))
+    while True:
+        low, high = np.sort((label[a], label[b]), axis=0)
+        apart = np.flatnonzero(low != high)
+        if not len(apart):
+            return out
+        a, b, low, high = a[apart], b[apart], low[apart], high[apart]
+        order = np.lexsort((low, high))
+        order = order[np.diff(high[order], prepend=-1) > 0]
+        out.append(np.stack((a[order], b[order])))
+        up = np.arange(len(label))
+        up[high[order]] = low[order]
+        while (up[up] != up).any():
+            up = up[up]
+        label[:] = up[label]
+
+
+def _exactly(x: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether rows i and j of whole vectors link, in double precision."""
+    out = np.zeros(len(i), bool)
+    for s in range(0, len(i), 1 << 14):
+        here = slice(s, s + (1 << 14))
+        out[here] = np.einsum("ij,ij->i", unit(x[i[here]]), unit(x[j[here]])) >= threshold
     return out
 
 
-def _linked(left: pd.DataFrame, right: pd.DataFrame, cell: int, same: bool, threshold: float) -> pd.DataFrame:
-    x, y = unit(np.stack(left["vector"])), unit(np.stack(right["vector"]))
-    hit = x @ y.T >= threshold
-    i, j = np.nonzero(hit)
-    hi, hj = left["home"].to_numpy()[i], right["home"].to_numpy()[j]
-    ki, kj = left["key"].to_numpy()[i], right["key"].to_numpy()[j]
-    # A pair of cells that visit each other is counted in the larger; visitors don't meet here.
-    away_i, away_j = hi != cell, hj != cell
-    ok = ~(away_i & away_j) & (ki != kj)
+def _linked(batches: list[pa.RecordBatch], at: Shelves, same: bool, threshold: float, block: int) -> Iterator[pa.RecordBatch]:
+    """Counts and forest of the links between the rows of two shelves, or within one. Empties ``batches``."""
+    shelf, cell, key, copies = (np.concatenate([b.column(x) for b in batches]) for x in ("shelf", "cell", "key", "copies"))
+    whole = np.concatenate([matrix(b.column("vector")) for b in batches])
+    batches.clear()
+    order = np.lexsort((cell, shelf))
+    shelf, cell, key, copies, whole = (column[order] for column in (shelf, cell, key, copies, whole))
+    n, dim = whole.shape
+    x, short = np.empty((n, dim), np.float32), np.empty((n, at.axes.shape[1] + 1), np.float32)
+    for s in range(0, n, 1 << 13):
+        here = slice(s, s + (1 << 13))
+        x[here] = u = unit(whole[here])
+        short[here, :-1] = along = u @ at.axes
+        short[here, -1] = np.sqrt(np.maximum(1 - (along * along).sum(1), 0))
+    # What sums in single precision may be off by.
+    slack = 1e-6 + dim * 2.0**-22
+    reach, gaps = np.sqrt(2 - 2 * threshold) + 2 * slack, at.gaps()
+    least, most = threshold - slack, threshold + slack
+    links, label = np.zeros(n, np.int64), np.arange(n)
+    forest, waiting, held = [], [], 0
+
+    def near(c: slice, e: slice) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Linked rows of two cells."""
+        a, b = np.arange(c.start, c.stop), np.arange(e.start, e.stop)
+        one, other = cell[c.start], cell[e.start]
+        far_a = far_b = None
+        if gaps[one, other] < np.inf and one != other:
+            across = ((at.centre[one] - at.centre[other]) / gaps[one, other]).astype(np.float32)
+            far_a, far_b = x[c] @ across, -(x[e] @ across)
+            order_a, order_b = far_a.argsort(), far_b.argsort()
+            a, b, far_a, far_b = a[order_a], b[order_b], far_a[order_a], far_b[order_b]
+        short_a, short_b = short[a], short[b]
+        for s in range(0, len(a), block):
+            stop = len(b) if far_a is None else int(np.searchsorted(far_b, reach - far_a[s], "right"))
+            for t in range(s if c == e else 0, stop, 2 * block):
+                rows, cols = a[s : s + block], b[t : min(t + 2 * block, stop)]
+                hit = np.flatnonzero(short_a[s : s + block] @ short_b[t : t + len(cols)].T >= least)
+                full = None
+                if len(hit) > len(rows) * len(cols) // 64:
+                    full = (x[rows] @ x[cols].T).reshape(-1)
+                    hit = np.flatnonzero(full >= least)
+                for some in np.array_split(hit, -(-len(hit) // _HITS)) if len(hit) else ():
+                    i, j = rows[some // len(cols)], cols[some % len(cols)]
+                    cosine = np.einsum("ij,ij->i", x[i], x[j]) if full is None else full[some]
+                    ok = (cosine >= least) & ((i < j) if c == e else True)
+                    unsure = np.flatnonzero(ok & (cosine < most))
+                    ok[unsure] = _exactly(whole, i[unsure], j[unsure], threshold)
+                    yield i[ok], j[ok]
+
+    cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(shelf) != 0)) + 1
+    runs = [slice(int(p), int(q)) for p, q in zip([0, *cuts], [*cuts, n], strict=True)]
     if same:
-        ok &= ki < kj
-    for away, other_home, mine in ((away_i, hi, right["visits"].to_numpy()), (away_j, hj, left["visits"].to_numpy())):
-        where = np.flatnonzero(ok & away)
-        if len(where):
-            bits = np.stack([np.frombuffer(b, np.uint8) for b in mine])
-            index = (j if away is away_i else i)[where]
-            back = bits[index, other_home[where] >> 3] >> (7 - (other_home[where] & 7)) & 1
-            ok[where[(back == 1) & (other_home[where] > cell)]] = False
-    i, j, ki, kj = i[ok], j[ok], ki[ok], kj[ok]
-    links = np.concatenate((np.bincount(i, right["copies"].to_numpy()[j], len(left)), np.bincount(j, left["copies"].to_numpy()[i], len(right))))
-    keys = np.concatenate((left["key"].to_numpy(), right["key"].to_numpy()))
-    some = links > 0
-    edges = _forest(ki, kj)
-    return pd.DataFrame({
-        "key": [*keys[some].tolist(), *(a for a, _ in edges)],
-        "other": [None] * int(some.sum()) + [b for _, b in edges],
-        "links": [*links[some].astype(np.int64).tolist(), *[0] * len(edges)],
-    }).astype({"other": "Int64"})
+        meetings = combinations_with_replacement(runs, 2)
+    else:
+        meetings = product(*([r for r in runs if (shelf[r.start] == shelf[0]) == side] for side in (True, False)))
+    for c, e in meetings:
+        for i, j in near(c, e):
+            np.add.at(links, i, copies[j])
+            np.add.at(links, j, copies[i])
+            apart = label[i] != label[j]
+            waiting.append((i[apart], j[apart]))
+            held += int(apart.sum())
+            if held > _HITS:
+                forest += _join_up(label, *map(np.concatenate, zip(*waiting, strict=True)))
+                waiting, held = [], 0
+    if held:
+        forest += _join_up(label, *map(np.concatenate, zip(*waiting, strict=True)))
+    some = np.flatnonzero(links)
+    a, b = np.concatenate((np.zeros((2, 0), int), *forest), axis=1)
+    none = np.zeros(len(a), np.int64)
+    for columns in ([pa.array(key[some]), pa.nulls(len(some), pa.int64()), pa.array(links[some])], [pa.array(key[a]), pa.array(key[b]), pa.array(none)]):
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "other", "links"])
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, cells: int = CELLS, block: int = BLOCK) -> DataFrame:
     """(key, n_links, component_id, kept) of every row.
 
-    Sent to the driver: a sample of SAMPLE vectors, and a count per cell.
+    Sent to the driver: a sample of about SAMPLE vectors, and a count per cell.
     """
-    spark = vectors.sparkSession
-    value = F.transform(vector, lambda v: v.cast("double") + F.lit(0.0))  # -0.0 is 0.0
+    # Single precision stays so on the way; cosines are taken in double.
+    kind = "float" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "double"
+    value = F.transform(vector, lambda v: v.cast(kind) + F.lit(0.0).cast(kind))  # -0.0 is 0.0
     fine = usable(vector) & F.exists(vector, lambda v: v != 0)
     rows = vectors.select(F.col(key).alias("id"), F.when(fine, value).alias("vector"))
     hashed = F.when(F.col("vector").isNotNull(), F.xxhash64("vector"))
     rows = materialize(rows.withColumn("key", hashed))
     distinct = rows.where("key is not null").groupBy("key").agg(F.first("vector").alias("vector"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"))
     distinct = materialize(distinct.withColumn("dim", F.size("vector")))
-    sample = distinct.select("dim", "vector").orderBy(F.xxhash64("key")).limit(SAMPLE).toPandas()
     sizes_of = {r["dim"]: r["count"] for r in distinct.groupBy("dim").count().collect()}
-    fitted = {}
-    for dim in sizes_of:
-        own = sample["vector"][sample["dim"] == dim]
-        # A length that the sample misses has one cell.
-        count = min(cells, 1 + sizes_of[dim] // block)
-        fitted[dim] = centres(unit(np.stack(own)), count) if len(own) else np.eye(1, dim)
-    placed = materialize(placements(distinct, fitted, threshold))
-    # Blocks of a cell: residents and visitors apart, each of bounded size.
-    visitor = F.col("home") != F.col("cell")
-    sizes = placed.groupBy("dim", "cell").agg(
-        F.ceil(F.sum(F.when(~visitor, 1).otherwise(0)) / block).alias("own"),
-        F.ceil(F.sum(F.when(visitor, 1).otherwise(0)) / block).alias("away"),
-    )
-    # Cells are at most ``cells`` for each length of vectors.
-    known = spark.createDataFrame(sizes.collect(), "dim int, cell int, own long, away long")
-    dealt = placed.join(F.broadcast(known), ["dim", "cell"])
-    mine = F.when(visitor, F.pmod("key", "away") + F.col("own")).otherwise(F.pmod("key", "own")).cast("int")
-    every = F.sequence(F.lit(0), (F.col("own") - 1).cast("int"))
-    beyond = F.when(F.col("away") > 0, F.sequence(F.col("own").cast("int"), (F.col("own") + F.col("away") - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    # A resident meets its own cell's blocks and its visitors', a visitor the residents'.
-    others = F.when(visitor, every).otherwise(F.concat(every, beyond))
-    copies = dealt.withColumn("mine", mine).withColumn("other", F.explode(others))
-    pairs = copies.select("dim", "cell", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "key", "copies", "home", "visits", "vector")
-
-    def compare(names: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        _, cell, low, high = names
-        left = frame[frame["mine"] == low]
-        right = frame[frame["mine"] == high]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"key": [], "other": [], "links": []}).astype({"key": "int64", "other": "Int64", "links": "int64"})
-        out = _linked(left, right, cell, low == high, threshold)
-        return out
-
-    found = materialize(pairs.groupBy("dim", "cell", "low", "high").applyInPandas(compare, "key long, other long, links long"))
+    share = SAMPLE / max(SAMPLE, sum(sizes_of.values()))
+    drawn = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = distinct.where(drawn).select("dim", "key", "vector").toArrow().sort_by("key").combine_chunks()
+    fitted, axes = {}, {}
+    for dim, n in sorted(sizes_of.items()):
+        own = sample.filter(pa.array(sample.column("dim").to_numpy() == dim)).combine_chunks().column("vector")
+        if len(own):
+            own = unit(matrix(own.chunk(0)))
+            fitted[dim], axes[dim] = centres(own, min(cells, 1 + n // block)), widest(own)
+        else:  # A length that the sample misses has one cell.
+            fitted[dim], axes[dim] = np.eye(1, dim), np.eye(dim, 1)
+    residents = {dim: np.zeros(len(c), np.int64) for dim, c in fitted.items()}
+    for r in homes(distinct, fitted).groupBy("dim", "cell").count().collect():
+        residents[r["dim"]][r["cell"]] = r["count"]
+    dealt: dict[int, Shelves] = {}
+    tasks: list[tuple[int, bool]] = []
+    for dim, n in sorted(sizes_of.items()):
+        shelves = max(min(SPREAD, -(-n // block)), -(-n * dim * 4 // SHELF_BYTES))
+        dealt[dim] = shelved(fitted[dim], axes[dim], residents[dim], shelves, len(tasks))
+        tasks += [(dim, bool(a == b)) for a, b in zip(*np.triu_indices(shelves), strict=True)]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken: dict[int, list[pa.RecordBatch]] = {}
+        for batch in batches:
+            numbers = batch.column("pair").to_numpy()
+            for pair in np.unique(numbers).tolist():
+                taken.setdefault(pair, []).append(batch.filter(pa.array(numbers == pair)))
+        while taken:
+            pair, own = taken.popitem()
+            dim, same = tasks[pair]
+            yield from _linked(own, dealt[dim], same, threshold, block)
+
+    pairs = placements(distinct, dealt, threshold).repartitionById(max(1, len(tasks)), "pair")
+    found = materialize(pairs.mapInArrow(compare, "key long, other long, links long"))
     links = found.where("other is null").groupBy("key").agg(F.sum("links").alias("links"))
     joined = components(found.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
     per_value = distinct.select("key", "copies", "least").join(links, "key", "left").join(joined.withColumnRenamed("id", "key"), "key", "left")
