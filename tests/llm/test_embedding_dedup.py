@@ -73,6 +73,21 @@ def test_threshold(spark):
     assert [r.n_links for r in found] == [1, 1, 0, 0] * 40
 
 
+@pytest.mark.parametrize("kind", ["int", "float", "decimal(9,3)"])
+def test_lengths(spark, kind):
+    """Each length by itself, down to one component, whatever the numbers are."""
+    rng = np.random.default_rng(6)
+    made = [rng.integers(-9, 10, 1 + k % 5) for k in range(400)]
+    df = spark.createDataFrame([(i, r.astype(float).tolist()) for i, r in enumerate(made)], "vec_id long, embedding array<double>")
+    df = df.select("vec_id", df.embedding.cast(f"array<{kind}>").alias("embedding"))
+    found = {r.vec_id: tuple(r)[1:] for r in embedding_dedup.near_duplicates(df, cells=4, block=8).collect()}
+    for size in range(1, 6):
+        ids = [i for i, r in enumerate(made) if len(r) == size and r.any()]
+        links, least = by_brute_force(np.array([made[i] for i in ids], float), 0.9)
+        assert [found[i] for i in ids] == [(n, ids[c], ids[c] == i) for i, n, c in zip(ids, links.tolist(), least.tolist(), strict=True)]
+    assert all(found[i] == (0, i, True) for i, r in enumerate(made) if not r.any())
+
+
 def test_forest():
     rng = np.random.default_rng(5)
     for n, links in ((1, 0), (50, 30), (200, 150), (200, 2000)):
